@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.llm import chat_format, language_id, rp_forest, token_counts, toxicity, url_filter
+from pagelattice.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, rp_forest, token_counts, toxicity, url_filter
 from pagelattice.session import read_table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -22,14 +26,26 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -40,16 +56,59 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(own)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_rp_forest": op5_rp_forest,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": f"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (
+            select distinct doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') as g
+            from d, unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) as t(i) where len(w) > 0),
+        sizes as (select doc_id, count(*) as n from s group by doc_id),
+        met as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (g) where x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+        links as (
+            select a, b from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach as (select doc_id, doc_id as at from d union select r.doc_id, b.b from reach r join both_ways b on b.a = r.at)
+        select d.doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+        from d left join sizes using (doc_id) join (select doc_id, min(at) as least_id from reach group by doc_id) using (doc_id)""",
+    "op6_decontaminate": f"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from documents),
+        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from benchmark),
+        windows as (
+            select distinct item_id, least(10, len(w)) as m, list_slice(w, i, i + least(10, len(w)) - 1) as g
+            from b, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as t(i) where len(w) > 0),
+        grams as (
+            select doc_id, m, i, list_slice(w, i, i + m - 1) as g
+            from d, (select distinct m from windows), unnest(generate_series(1, len(w) - m + 1)) as t(i)),
+        hits as (select doc_id, item_id, i, m from grams join windows using (m, g)),
+        words as (select doc_id, count(distinct i + k) as n_hit from hits, unnest(generate_series(0, m - 1)) as t(k) group by doc_id),
+        items as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
+            from (select distinct doc_id, cast(item_id as varchar) as name from hits) group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+            sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join words using (doc_id) left join items using (doc_id)""",
     "op10_chat_format": """
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

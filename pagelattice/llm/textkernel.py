@@ -70,8 +70,8 @@ def _pieces(texts: list[bytes], table: np.ndarray) -> Iterator[tuple[int, bytes]
         yield k, text[at:] if at else text
 
 
-def _hashed(pieces: list[bytes], table: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the words, and of their first bytes for each length of prefixes; first byte of each word."""
+def _hashed(pieces: list[bytes], table: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, and of their first bytes for each length of prefixes; first byte and end of each word; bytes."""
     buffer = b"\n".join(pieces)
     raw = np.frombuffer(buffer, np.uint8)
     edges = np.zeros(len(raw) + 2, np.int8)
@@ -84,7 +84,7 @@ def _hashed(pieces: list[bytes], table: np.ndarray, prefixes: tuple[int, ...] =
     out = [mix((total[end] - total[first]) * inverse[first])]
     for n in prefixes:
         out.append(mix((total[np.minimum(end, first + n)] - total[first]) * inverse[first] + np.uint64(n)))
-    return out, first
+    return out, first, end, raw
 
 
 def word_blocks(texts: list[str | None], table: np.ndarray, lower: bool = True, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -96,7 +96,7 @@ def word_blocks(texts: list[str | None], table: np.ndarray, lower: bool = True,
     size = 0
 
     def flush() -> tuple[list[np.ndarray], np.ndarray]:
-        hashes, first = _hashed([b for _, b in held], table, prefixes)
+        hashes, first, _, _ = _hashed([b for _, b in held], table, prefixes)
         starts = np.cumsum([0, *(len(b) + 1 for _, b in held[:-1])])
         owner = np.array([k for k, _ in held])[np.searchsorted(starts, first, "right") - 1]
         return hashes, owner
@@ -119,6 +119,61 @@ def words_of(texts: list[str | None], table: np.ndarray, lower: bool = True) ->
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def count_words(texts: list[str | None], table: np.ndarray = SPACED) -> list[int]:
+    """Words of each text."""
+    out = []
+    for text in texts:
+        total, last = 0, 0
+        coded = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, len(coded), BLOCK):
+            word = table[np.frombuffer(coded, np.uint8, min(BLOCK, len(coded) - at), at)]
+            total += int(np.count_nonzero(np.diff(word, prepend=np.int8(last)) == 1))
+            last = int(word[-1])
+        out.append(total)
+    return out
+
+
+def line_blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (word hash, word has a digit, its line, its text) for texts cut at line feeds.
+
+    Lines count from 0 in each text; a text longer than a block is cut behind a line feed.
+    """
+    feeds = byte_class([0x0A])
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (hashes,), first, end, raw = _hashed([b for _, _, b in held], SPACED)
+        digits = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum((raw >= 48) & (raw <= 57), out=digits[1:])
+        line = np.cumsum(raw == 10)
+        starts = np.cumsum([0, *(len(b) + 1 for _, _, b in held[:-1])])
+        piece = np.searchsorted(starts, first, "right") - 1
+        before = np.append(0, line)[starts]
+        offset = np.array([n for _, n, _ in held])
+        return hashes, digits[end] > digits[first], line[first] - before[piece] + offset[piece], np.array([k for k, _, _ in held])[piece]
+
+    lines, last = 0, -1
+    for k, part in _pieces([(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts], feeds):
+        lines = lines if k == last else 0
+        if held and size + len(part) > BLOCK:
+            yield flush()
+            held, size = [], 0
+        held.append((k, lines, part))
+        size += len(part) + 1
+        lines, last = lines + part.count(b"\n"), k
+    if held:
+        yield flush()
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from first to end, in their order, for many runs at once."""
+    power, inverse = _power(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[first]) * inverse[first])
+
+
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n neighbouring words."""
     out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
