@@ -90,9 +90,9 @@ ORACLE_SQL: dict[str, str] = {
         links as (
             select a, b from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
         both_ways as (select a, b from links union all select b, a from links),
-        reach as (select doc_id, doc_id as at from d union select r.doc_id, b.b from reach r join both_ways b on b.a = r.at)
+        reach as (select doc_id, doc_id as to_id from d union select r.doc_id, b.b from reach r join both_ways b on b.a = r.to_id)
         select d.doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
-        from d left join sizes using (doc_id) join (select doc_id, min(at) as least_id from reach group by doc_id) using (doc_id)""",
+        from d left join sizes using (doc_id) join (select doc_id, min(to_id) as least_id from reach group by doc_id) using (doc_id)""",
     "op6_decontaminate": f"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from documents),
         b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from benchmark),
