@@ -76,21 +76,24 @@ def spatially_aligned(a: str, b: str) -> Column:
 
 
 def compare_computed_styles(a: str, b: str) -> Column:
-    x, y = F.col(f"{a}css_array"), F.col(f"{b}css_array")
-    same = F.filter(F.zip_with(x, y, lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-    equal, blank = F.size(same), F.size(F.filter(same, lambda p: p == ""))
-    v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), -(F.lit(CSS_KEYS) - equal) + F.lit(0.5) * (equal - blank)))
+    """By equal positions of two style arrays; equal blanks count less.  One pass over the arrays."""
+    weights = F.zip_with(F.col(f"{a}css_array"), F.col(f"{b}css_array"), lambda p, q: F.when(p != q, 0.0).when(p == "", 1.0).otherwise(1.5))
+    v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), F.aggregate(weights, F.lit(-float(CSS_KEYS)), lambda t, w: t + w)))
     return F.lit(1.0) - (v + 16) / 29.0
 
 
+def css_tags(css_array: Column) -> Column:
+    """`position=value` of the styles that aren't blank; derive it once an element, before pairs are made."""
+    return F.filter(F.transform(css_array, lambda v, k: F.when(v != "", F.concat(k.cast("string"), F.lit("="), v))), lambda v: v.isNotNull())
+
+
 def compare_computed_styles_jaccard(a: str, b: str) -> Column:
-    tagged = lambda c: F.filter(F.transform(c, lambda v, k: F.when(v != "", F.concat(k.cast("string"), F.lit("="), v))), lambda v: v.isNotNull())
-    return jaccard_distance(tagged(F.col(f"{a}css_array")), tagged(F.col(f"{b}css_array")))
+    return jaccard_distance(F.col(f"{a}css_tags"), F.col(f"{b}css_tags"))
 
 
 def jaccard_distance(x: Column, y: Column) -> Column:
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.lit(1.0) - F.size(F.array_intersect(x, y)) / union)
+    shared = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double"))
+    return F.coalesce(F.lit(1.0) - shared, F.lit(0.0))
 
 
 def featureset_overlap(a: str, b: str) -> Column:
@@ -98,9 +101,10 @@ def featureset_overlap(a: str, b: str) -> Column:
 
 
 def mean_of(*signals: Column) -> Column:
-    """Mean of the signals that aren't null, 0.5 without any."""
-    some = F.filter(F.array(*signals), lambda v: v.isNotNull())
-    return F.when(F.size(some) == 0, 0.5).otherwise(F.aggregate(some, F.lit(0.0), lambda t, v: t + v) / F.size(some))
+    """Mean of the signals that aren't null, 0.5 without any; each signal is evaluated once."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    add = lambda t, v: F.struct((t["total"] + F.coalesce(v, F.lit(0.0))).alias("total"), (t["n"] + F.when(v.isNull(), 0).otherwise(1)).alias("n"))
+    return F.aggregate(F.array(*signals), start, add, lambda t: F.coalesce(F.try_divide(t["total"], t["n"].cast("double")), F.lit(0.5)))
 
 
 def compare_visibility(a: str, b: str) -> Column:
@@ -171,7 +175,10 @@ def detail_similarity(a: str, b: str) -> Column:
 
 def combined(*distances: Column) -> Column:
     """Mean of the distances that aren't neutral; 0.5 without any."""
-    return mean_of(*[F.when(F.abs(F.lit(0.5) - d) > NEUTRAL, d) for d in distances])
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    told = lambda v: F.coalesce(F.abs(v - 0.5) > NEUTRAL, F.lit(False))
+    add = lambda t, v: F.struct((t["total"] + F.when(told(v), v).otherwise(0.0)).alias("total"), (t["n"] + F.when(told(v), 1).otherwise(0)).alias("n"))
+    return F.aggregate(F.array(*distances), start, add, lambda t: F.coalesce(F.try_divide(t["total"], t["n"].cast("double")), F.lit(0.5)))
 
 
 #: Users may add functions of the same form: (prefix a, prefix b) -> Column.

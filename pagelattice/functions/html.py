@@ -63,7 +63,7 @@ def outer_key(html: Column) -> Column:
 
 
 def text_fragments(html: Column) -> Column:
-    parts = F.transform(F.regexp_extract_all(html, F.lit(r">([^<>]+?)<"), F.lit(1)), F.trim)
+    parts = F.transform(F.regexp_extract_all(html, F.lit(r">([^<>]+?)<"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The patterns of dates, in the order in which they're tried.
 MONTH = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
@@ -58,7 +59,7 @@ def simple_distance(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest.cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity, 0 to 100; equal pairs of a batch are compared once."""
     known: dict[tuple, float | None] = {}

@@ -33,9 +33,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     executor costs one round at most.  No node's neighbours are gathered: the
     hubs are handled by joins, which may be split.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    nodes = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
-    stars = cut(pairs.filter("a <> b").distinct())
+    pairs = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    nodes = pairs.filter("a = b").select(F.col("a").alias("node"))
+    stars = pairs.filter("a <> b")
     seen = None
     for _ in range(MOST_ROUNDS):
         stars = cut(_small_star(_large_star(stars)))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 PIXELS = 5000
 
@@ -56,7 +57,7 @@ def cosine_matrix(n: int) -> np.ndarray:
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """Hex of the low 8 x 8 frequencies of a 32 x 32 grey image against their median without the first."""
     basis = cosine_matrix(32)[:8]
@@ -70,7 +71,7 @@ def perceptual_hash(pixels: pd.Series) -> pd.Series:
     return pixels.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def structural_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """SSIM with a uniform 7 x 7 window of two grey images of equal size and given width."""
 

@@ -13,59 +13,31 @@ PAGE_HEIGHT = 2400
 DETAIL = r"(?is)<h1\b[^>]*>.*?</h1>|<p\b[^>]*>.*?</p>|<li\b[^>]*>.*?</li>|<footer\b[^>]*>.*?</footer>"
 
 
-def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").selectExpr(
-        "cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx", "cast((p_partkey%6)*210 as int) x",
-        "cast((p_partkey%40)*60 + case when p_partkey%7=0 then 3 else 0 end as int) y",
-        "cast(case when p_partkey%17=0 then 0 else 60+((p_partkey*7)%4)*3 + case when p_partkey%5=0 then 80 else 0 end end as int) width",
-        "cast(12+(p_partkey%3)*(p_partkey%4) as int) height",
-    ).withColumn("area", F.col("width") * F.col("height"))
-
-
-def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").selectExpr(
-        "cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx", "case p_partkey%5 when 0 then 'none' when 1 then 'inline' else 'block' end css_display",
-        "case when p_partkey%9=0 then 'hidden' else 'visible' end css_visibility", "p_partkey%5=0 jquery_is_hidden", "p_partkey%10<>0 driver_is_displayed",
-        "case p_partkey%8 when 0 then 'OUTSIDE_PAGE' when 1 then 'IN_PAGE__ZERO_AREA' else 'IN_PAGE' end spatial_visibility",
-    ).withColumn("all_visible", layout.all_visible())
-
-
-def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").selectExpr(
-        "cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx",
-        "transform(sequence(0,133), k -> case when (k*7+p_partkey)%11=0 then '' else concat('v', cast(p_partkey%(k%3+1) as string)) end) css_array",
-    )
-
-
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").selectExpr(
-        "cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx",
-        "array_sort(array_distinct(concat(split(p_name,' '), array('brand___'||p_brand, 'type___'||p_type, 'size___'||cast(p_size%5 as string))))) feature_set",
-    )
-
-
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four feeds of the part-derived elements, from one scan of the table."""
-    part = read_table(spark, sf_dir, "part")
-    feeds = [f(_One(part), "") for f in (rects, visibility, styles, features)]
-    columns = {}
-    for feed in feeds:
-        columns |= {c: None for c in feed.columns}
-    joined = feeds[0]
-    for feed in feeds[1:]:
-        joined = joined.join(feed, ["page_id", "idx"])
-    return joined
-
-
-class _One:
-    """Hands a table that is already read to a view."""
-
-    def __init__(self, table: DataFrame):
-        self.read = self
-        self._table = table
-
-    def parquet(self, _: str) -> DataFrame:
-        return self._table
+KEYS = ("cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx")
+RECT = (
+    "cast((p_partkey%6)*210 as int) x",
+    "cast((p_partkey%40)*60 + case when p_partkey%7=0 then 3 else 0 end as int) y",
+    "cast(case when p_partkey%17=0 then 0 else 60+((p_partkey*7)%4)*3 + case when p_partkey%5=0 then 80 else 0 end end as int) width",
+    "cast(12+(p_partkey%3)*(p_partkey%4) as int) height",
+)
+VISIBILITY = (
+    "case p_partkey%5 when 0 then 'none' when 1 then 'inline' else 'block' end css_display",
+    "case when p_partkey%9=0 then 'hidden' else 'visible' end css_visibility",
+    "p_partkey%5=0 jquery_is_hidden",
+    "p_partkey%10<>0 driver_is_displayed",
+    "case p_partkey%8 when 0 then 'OUTSIDE_PAGE' when 1 then 'IN_PAGE__ZERO_AREA' else 'IN_PAGE' end spatial_visibility",
+)
+STYLES = ("transform(sequence(0,133), k -> case when (k*7+p_partkey)%11=0 then '' else concat('v', cast(p_partkey%(k%3+1) as string)) end) css_array",)
+FEATURES = ("array_sort(array_distinct(concat(split(p_name,' '), array('brand___'||p_brand, 'type___'||p_type, 'size___'||cast(p_size%5 as string))))) feature_set",)
+
+
+def elements(spark: SparkSession, sf_dir: str, *groups: tuple[str, ...]) -> DataFrame:
+    """Elements made of the rows of part, with the columns of the groups (all without any), in one scan."""
+    chosen = groups or (RECT, VISIBILITY, STYLES, FEATURES)
+    rows = read_table(spark, sf_dir, "part").selectExpr(*KEYS, *[c for g in chosen for c in g])
+    if RECT in chosen:
+        rows = rows.withColumn("area", F.col("width") * F.col("height"))
+    return rows.withColumn("all_visible", layout.all_visible()) if VISIBILITY in chosen else rows
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
