@@ -5,7 +5,7 @@ LEADING words; words that hold a digit are one wildcard.  Below a leaf, a word
 is constant at its position if enough of the leaf's distinct lines have it
 there; all else generalises to a wildcard.  Lines whose constant words are at
 least SIMILARITY of their words share the template of those words; any other
-line is a template of its own.  Of a template that recurs across documents the
+line is a template of its own, with its digits as they are.  Of a template that recurs across documents the
 document with the smallest id keeps its lines, and all others lose theirs.
 
 Lines of fewer than `least_words` words are kept: they recur by chance.
@@ -33,26 +33,30 @@ _WILD = np.uint64(0x5851F42D4C957F2D)
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
-def parsed_lines(texts: list[str | None], least_words: int, words: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (text, line, words, leaf, line hash[, words' hashes with their positions, border of each line's words])."""
+def parsed_lines(texts: list[str | None], least_words: int, words: bool, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (text, line, words, leaf, line hash[, words' hashes with their positions but for those with a digit, border of each line's])."""
     for hashes, digit, line, owner in line_blocks(texts):
         if not len(hashes):
             continue
-        hashes = np.where(digit, _WILD, hashes)
+        exact, hashes = hashes, np.where(digit, _WILD, hashes)
+        digits = np.append(0, np.cumsum(digit))
         first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
         end = np.append(first[1:], len(hashes))
         long = end - first >= least_words
         first, end = first[long], end[long]
         size = end - first
         leaf = run_hashes(hashes, first, np.minimum(end, first + LEADING)) ^ mix(size.astype(np.uint64))
-        out = [owner[first], line[first], size, leaf.astype(np.int64), run_hashes(hashes, first, end).astype(np.int64)]
+        plain = size - (digits[end] - digits[first])
+        whole = np.where(plain >= similarity * size, run_hashes(hashes, first, end), run_hashes(exact, first, end))
+        out = [owner[first], line[first], size, leaf.astype(np.int64), whole.astype(np.int64)]
         if words:
             inside = np.zeros(len(hashes) + 1, np.int64)
             inside[first] += 1
             inside[end] -= 1
             chosen = np.cumsum(inside[:-1]) > 0
             place = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-            out += [mix(hashes[chosen] + (place + np.uint64(1)) * _PLACE).astype(np.int64), np.append(0, np.cumsum(size))]
+            keys = mix(hashes[chosen] + (place + np.uint64(1)) * _PLACE).astype(np.int64)
+            out += [keys[~digit[chosen]], np.append(0, np.cumsum(plain))]
         yield tuple(out)
 
 
@@ -64,7 +68,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, line, size, leaf, whole in parsed_lines(batch.column(1).to_pylist(), least_words, False):
+            for text, line, size, leaf, whole in parsed_lines(batch.column(1).to_pylist(), least_words, False, similarity):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(x.astype(t)) for x, t in ((line, np.int32), (size, np.int32), (leaf, np.int64), (whole, np.int64)))], names=["doc_id", "line", "size", "leaf", "whole"])
 
     lines = cut(texts.mapInArrow(lines_of, f"doc_id {kind}, line int, size int, leaf long, whole long"))
@@ -81,14 +85,14 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
     def words_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, size, leaf, whole, words, border in parsed_lines(batch.column(0).to_pylist(), least_words, True):
+            for _, _, size, leaf, whole, words, border in parsed_lines(batch.column(0).to_pylist(), least_words, True, similarity):
                 rows = [k for k in np.flatnonzero(shared.value[leaf % bits]) if int(whole[k]) not in seen and not seen.add(int(whole[k]))]
                 if len(seen) > 2_000_000:
                     seen.clear()
                 keys = pa.array([words[border[k] : border[k + 1]] for k in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[rows]), pa.array(whole[rows]), keys], names=["leaf", "whole", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[rows]), pa.array(whole[rows]), pa.array(size[rows].astype(np.int32)), keys], names=["leaf", "whole", "n", "words"])
 
-    worded = texts.select("text").mapInArrow(words_of_lines, "leaf long, whole long, words array<long>").join(leaves, "leaf").dropDuplicates(["leaf", "whole"])
+    worded = texts.select("text").mapInArrow(words_of_lines, "leaf long, whole long, n int, words array<long>").join(leaves, "leaf").dropDuplicates(["leaf", "whole"])
     worded = cut(worded)
     constant = (
         worded.select("leaf", "kinds", F.explode("words").alias("word")).groupBy("leaf", "word").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
@@ -96,7 +100,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
         .groupBy("leaf").agg(F.collect_list("word").alias("constant"))
     )
     same = F.array_intersect("words", "constant")
-    templates = worded.join(constant, "leaf").select("leaf", "whole", F.size("words").alias("n"), same.alias("same")).filter(F.size("same") >= F.col("n") * similarity).select("leaf", "whole", F.xxhash64("leaf", "same").alias("template"))
+    templates = worded.join(constant, "leaf").select("leaf", "whole", "n", same.alias("same")).filter(F.size("same") >= F.col("n") * similarity).select("leaf", "whole", F.xxhash64("leaf", "same").alias("template"))
     variants = exact.select("leaf", "whole", "lo", "hi").join(templates, ["leaf", "whole"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "whole")))
     owners = variants.groupBy("template").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper <> last").select("template", "keeper")
     recurring = variants.join(owners, "template").filter(F.col("hi") > F.col("keeper")).select("leaf", "whole", "keeper")
