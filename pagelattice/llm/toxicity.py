@@ -29,7 +29,7 @@ from pagelattice.llm.folds import held_out, learns, share
 from pagelattice.llm.textkernel import ALNUM, word_blocks
 from pagelattice.session import small_batches
 
-POSITIVES, NEGATIVES = 3000, 6000
+POSITIVES, NEGATIVES = 2000, 4000
 VOCABULARY = 4096
 PREFIXES = (4, 5)
 FACTORS = 4
@@ -128,9 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return ToxicModel(empty[0], -30.0, *empty[1:])
-    all_terms, place = np.unique(np.concatenate(sets), return_inverse=True)
-    label = np.repeat(y, [len(s) for s in sets])
-    with_1, with_0 = np.bincount(place, label, len(all_terms)), np.bincount(place, 1 - label, len(all_terms))
+    (terms_1, often_1), (terms_0, often_0) = (np.unique(np.concatenate([s for s, k in zip(sets, y) if k == kind]), return_counts=True) for kind in (1, 0))
+    all_terms = np.union1d(terms_1, terms_0)
+    with_1, with_0 = np.zeros(len(all_terms)), np.zeros(len(all_terms))
+    with_1[np.searchsorted(all_terms, terms_1)] = often_1
+    with_0[np.searchsorted(all_terms, terms_0)] = often_0
     odds = np.log((with_1 + 0.5) / (n1 - with_1 + 0.5)) - np.log((with_0 + 0.5) / (n0 - with_0 + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (with_1 + 0.5) + 1 / (with_0 + 0.5))
     z[(with_1 + with_0 < 4) | (z < 2.0)] = 0
