@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelattice.functions.text import quick_distance, simple_distance
+from pagelattice.functions.text import blended_distance, gestalt_percent, quick_distance, simple_distance
 
 CSS_KEYS = 134
 NEUTRAL = 0.04
@@ -82,6 +82,31 @@ def compare_computed_styles(a: str, b: str) -> Column:
     return F.lit(1.0) - (v + 16) / 29.0
 
 
+def compare_style_maps(a: str, b: str) -> Column:
+    """The same score over arrays with null for a key that an element lacks: what both lack says nothing."""
+    weights = F.zip_with(F.col(f"{a}styles"), F.col(f"{b}styles"), lambda p, q: F.when(~p.eqNullSafe(q), -1.0).when(F.coalesce(p, F.lit("")) == "", 0.0).otherwise(0.5))
+    v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)))
+    return F.lit(1.0) - (v + 16) / 29.0
+
+
+def compare_weighted_styles(a: str, b: str) -> Column:
+    """Mean over the keys that either has; rare values count for more.
+
+    `styles` holds structs (v, w) in the order of the keys: a value and its
+    weight, v null where it's missing.
+    """
+
+    def point(p: Column, q: Column) -> Column:
+        one = F.coalesce(F.when(p["v"].isNotNull(), p["w"]), q["w"])
+        alone = F.when(one < 0.1, 0.6).when(one < 0.3, 0.7).otherwise(0.8)
+        both = F.when((p["w"] < 0.12) & (q["w"] < 0.12), 0.75).when((p["w"] < 0.12) & (q["w"] > 0.75), 1.0).otherwise(0.6)
+        unequal = F.when(p["v"].isNotNull() & q["v"].isNotNull(), both).otherwise(alone)
+        return F.when(p["v"].isNull() & q["v"].isNull(), None).when(p["v"].eqNullSafe(q["v"]), F.least(F.lit(0.44), p["w"] / 2)).otherwise(unequal)
+
+    points = F.filter(F.zip_with(F.col(f"{a}styles"), F.col(f"{b}styles"), point), lambda v: v.isNotNull())
+    return F.aggregate(points, F.lit(0.0), lambda t, v: t + v, lambda t: F.try_divide(t, F.size(points).cast("double")))
+
+
 def css_tags(css_array: Column) -> Column:
     """`position=value` of the styles that aren't blank; derive it once an element, before pairs are made."""
     return F.filter(F.transform(css_array, lambda v, k: F.when(v != "", F.concat(k.cast("string"), F.lit("="), v))), lambda v: v.isNotNull())
@@ -157,6 +182,37 @@ def compare_navigation(a: str, b: str) -> Column:
     return F.when(n1 & n2, 0.0).when(n1 | n2, 1.0).otherwise(0.5)
 
 
+def compare_outer(a: str, b: str, quick: bool = True) -> Column:
+    """By HTML alone: unlike tags, the cheap bound, the parents' gestalt, then the elements' own; null if none decides."""
+    c = lambda n: (F.col(f"{a}{n}"), F.col(f"{b}{n}"))
+    (t1, t2), (pt1, pt2), (h1, h2), (p1, p2), (n1, n2) = map(c, ("tag_name", "parent_tag_name", "outer_html_no_content", "parent_outer_html_no_content", "num_tags"))
+    long, short = F.greatest(F.length(p1), F.length(p2)), F.least(F.length(p1), F.length(p2))
+    parents = short > 1
+    unlike = parents & (long > 450) & (long > 3 * short)
+    cheap = quick_distance(F.lower(h1), F.lower(h2))
+    open_ = ~((t1 != t2) & (pt1 != pt2)) & ((cheap <= 0.57) | F.lit(not quick))
+    near = lambda x: F.substring(F.lower(x), 1, 300 if quick else 430)
+    parent = F.lit(1.0) - gestalt_percent(F.when(open_ & parents & ~unlike, near(p1)), F.when(open_ & parents & ~unlike, near(p2))) / 100
+    large = ((n1 > 2) & (n2 > 2)) | ((F.length(h1) > 160) & (F.length(h2) > 160))
+    chosen = lambda x: F.when(open_ & large, F.lower(x))
+    gestalt = lambda x, y: F.lit(1.0) - gestalt_percent(x, y) / 100
+    own = blended_distance(gestalt(chosen(h1), chosen(h2)), F.lit(0.0) if quick else gestalt(F.reverse(chosen(h1)), F.reverse(chosen(h2))), simple_distance(h1, h2), quick)
+    return (
+        F.when((t1 != t2) & (pt1 != pt2), 1.0).when((cheap > 0.57) & F.lit(quick), cheap).when(unlike, 1.0)
+        .when(parents & (parent < 0.11), 0.0).when(large & (own < 0.1), 0.0).when(large & (own > 0.85), 1.0)
+    )
+
+
+def compare_content(a: str, b: str, quick: bool = True) -> Column:
+    """Mean of what text, start tags, images and HTML say; 0.5 if they say nothing."""
+    return mean_of(compare_text(a, b), compare_start_tag(a, b), compare_img(a, b), compare_outer(a, b, quick))
+
+
+def where_displayed(a: str, b: str, distance: Column) -> Column:
+    """0.5 as soon as either element isn't displayed."""
+    return F.when(~F.col(f"{a}driver_is_displayed") | ~F.col(f"{b}driver_is_displayed"), 0.5).otherwise(distance)
+
+
 def outer_quick(a: str, b: str) -> Column:
     """The multiset bound that decides cheap cases of the HTML comparison."""
     return quick_distance(F.col(f"{a}outer_html_no_content"), F.col(f"{b}outer_html_no_content"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelattice.functions.distances import detail_similarity
-from pagelattice.functions.html import outer_key
+from pagelattice.functions.html import outer_key, text_fragments
 from pagelattice.operators.pairs import prefixed
+from pagelattice.session import cut
 
 PAIR_LIMIT, TRIPLE_LIMIT, BOX = 0.24, 0.25, 15
 
@@ -74,3 +75,137 @@ def gap_groups(found: DataFrame) -> DataFrame:
 def first_of_equals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Keeps the first row of those equal in keys."""
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("r = 1").drop("r")
+
+
+#: Rows of gaps below are: key columns, page_idx, gap, y_low, y_high.
+TAG = r"</?[a-zA-Z0-9]+"
+
+
+def _tags(gap: str = "gap") -> Column:
+    return F.regexp_extract_all(F.col(gap), F.lit(TAG), F.lit(0))
+
+
+def split_gaps(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The gaps of a field to read texts from, with `part` naming where they come from.
+
+    If all of a field's gaps share one sequence of tags (at least two), or more
+    than two do, the largest such group is read (`whole`).  Otherwise every gap
+    is cut at the tags that all start or end with, where those are six or more.
+    """
+    keyed = found.withColumn("tags", _tags()).withColumn("key", F.array_join("tags", "__"))
+    sizes = keyed.groupBy(*keys, "key").agg(F.count("*").alias("n"), F.min("page_idx").alias("first_idx"), F.first("tags").alias("tags"))
+    fields = sizes.groupBy(*keys).agg(
+        F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("first_idx")).alias("early"), "key")).alias("top"), F.collect_list("tags").alias("all_tags"), F.min_by("tags", "first_idx").alias("lead")
+    )
+    least = F.aggregate("all_tags", F.lit(2147483647), lambda m, t: F.least(m, F.size(t)))
+
+    def run(tail: bool) -> Column:
+        """Number of tags all sequences have in common at one end."""
+        at = lambda t, k: F.get(t, (F.size(t) - k) if tail else (k - 1))
+        agree = lambda k: F.forall("all_tags", lambda t: at(t, k) == at(F.col("lead"), k))
+        longest = F.least(least, F.size("lead") - (1 if tail else 2))
+        steps = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n == k - 1) & agree(k), k).otherwise(n))
+
+    fields = fields.withColumns({"regular": ((F.col("kinds") == 1) & (F.col("top.n") > 1)) | (F.col("top.n") > 2), "head": run(False), "tail": run(True)})
+    rows = keyed.join(fields.select(*keys, "regular", "head", "tail", F.col("top.key").alias("top_key")), keys)
+    kept = [*keys, "page_idx", "gap", "y_low", "y_high"]
+    whole = rows.filter(F.col("regular") & (F.col("key") == F.col("top_key"))).select(*kept, F.lit("whole").alias("part"))
+    pieces = F.split("gap", f"(?={TAG})")
+    lead = (~F.rlike("gap", F.lit(f"^{TAG}"))).cast("int")
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("head") - 1 + lead), "")
+    tail = F.array_join(F.slice(pieces, F.size(pieces) - F.col("tail") + 1, F.col("tail")), "")
+    rest = rows.filter(~F.col("regular"))
+    first = rest.filter("head >= 6").withColumn("gap", head).select(*kept, F.lit("head").alias("part"))
+    last = rest.filter("tail >= 6").withColumn("gap", tail).select(*kept, F.lit("tail").alias("part"))
+    return whole.unionByName(first).unionByName(last)
+
+
+def text_columns(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, col_index, page_idx, text: what stands after each tag but the last of a gap.
+
+    Fields whose gaps have unequal numbers of texts, or none, go, and so do
+    columns that are blank on every page.
+    """
+    own = [*keys, "part"]
+    bare = F.regexp_replace("gap", r"(?i)</?br/?>", "")
+    marked = F.split(F.regexp_replace(bare, f"({TAG})", "\u0001$1"), "\u0001")
+    texts = F.transform(F.slice(marked, F.lit(2), F.greatest(F.lit(0), F.size(marked) - 2)), lambda v: F.trim(F.regexp_extract(v, r"(?s)([^>]*)$", 1)))
+    rows = parts.withColumn("n_tags", F.size(marked) - 1).filter("n_tags > 0").withColumn("texts", texts)
+    even = rows.groupBy(*own).agg(F.countDistinct("n_tags").alias("kinds"), F.max("n_tags").alias("most")).filter("kinds = 1 and most > 1").select(*own)
+    cells = rows.join(even, own, "left_semi").select(*own, "page_idx", "y_low", "y_high", F.posexplode("texts").alias("col_index", "text"))
+    told = cells.filter("text <> ''").select(*own, "col_index").distinct()
+    return cells.join(told, [*own, "col_index"], "left_semi")
+
+
+def locate_texts(texts: DataFrame, lines: DataFrame, words: DataFrame, margin: int = 30, width: int = 1300) -> DataFrame:
+    """The box of each text (row_id, page_id, text, y_low, y_high) by recognised lines, else words.
+
+    A text's box is that of the only line near it that equals or starts with it;
+    else it spans from the first to the last of its words near it; else null.
+    lines and words: page_id, text, x, y, x2, y2.
+    """
+    near = lambda o: (F.col(f"{o}.page_id") == F.col("t.page_id")) & (F.col(f"{o}.x") <= width) & (F.col(f"{o}.x2") >= 0) & (F.col(f"{o}.y") <= F.col("t.y_high") + margin) & (F.col(f"{o}.y2") >= F.col("t.y_low") - margin)
+    corners = lambda o: [F.col(f"{o}.{n}").alias(n) for n in ("x", "y", "x2", "y2")]
+    t = texts.select("row_id", "page_id", F.lower("text").alias("text"), "y_low", "y_high").alias("t")
+    by_line = t.join(lines.alias("l"), near("l") & F.startswith(F.lower("l.text"), F.col("t.text"))).select("t.row_id", *corners("l"))
+    by_line = by_line.groupBy("row_id").agg(F.count("*").alias("n"), *[F.first(n).alias(n) for n in ("x", "y", "x2", "y2")]).filter("n = 1").drop("n")
+    spoken = t.join(by_line, "row_id", "left_anti").select("*", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).alias("t")
+    by_word = spoken.join(words.alias("w"), near("w") & (F.lower("w.text") == F.col("t.word"))).select("t.row_id", *corners("w"))
+    by_word = by_word.groupBy("row_id").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x2", "y2")).alias("b")).select("row_id", "a.x", "a.y", "b.x2", "b.y2")
+    found = by_line.unionByName(by_word)
+    box = [F.col("x"), F.col("y"), (F.col("x2") - F.col("x")).alias("width"), (F.col("y2") - F.col("y")).alias("height")]
+    return texts.select("row_id").join(found, "row_id", "left").select("row_id", *box)
+
+
+def fix_widths(elements: DataFrame, locations: DataFrame, keys: list[str]) -> DataFrame:
+    """Elements with exactly one recognised location take its width."""
+    only = locations.groupBy(*keys).agg(F.count("*").alias("n_found"), F.first("width").alias("found_width")).filter("n_found = 1").drop("n_found")
+    return elements.join(only, keys, "left").withColumn("width", F.coalesce("found_width", "width")).drop("found_width")
+
+
+def positions(columns: DataFrame, key: str = "col_id", source: str = "html") -> DataFrame:
+    """avg_pos in the sources where the element is found, mean corner, and horizontal extent of each column."""
+    at = F.instr(F.col(source), F.col("outer_html"))
+    return columns.groupBy(key).agg(
+        F.avg(F.when(at > 0, at - 1)).alias("avg_pos"), F.avg("x").alias("avg_x"), F.avg("y").alias("avg_y"),
+        F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"),
+    )
+
+
+def told_apart(columns: DataFrame, key: str = "col_id") -> DataFrame:
+    """Whether a column's fragments differ between pages or hold a digit; others are redundant."""
+    rows = columns.withColumn("fragments", text_fragments(F.col("outer_html"))).filter(F.size("fragments") > 0)
+    return rows.groupBy(key).agg((F.countDistinct("fragments") > 1).alias("varies"), F.bool_or(F.exists("fragments", lambda v: F.rlike(v, F.lit(r"\d")))).alias("digit"))
+
+
+def find_columns(details: DataFrame, sources: DataFrame) -> DataFrame:
+    """All fields of sibling pages: matched elements and the texts between them.
+
+    details: g, page_idx and the elements of `match`; sources: g, page_idx, html.
+    Returns g, kind, col_id, page_idx, text, one row a page on which the field is.
+    """
+    page = [details.filter(F.col("page_idx") == n) for n in range(3)]
+    best = cut(best_matches(match(page[0], page[1])))
+    found = extend(best, *page).withColumn("col_id", F.concat_ws("-", "pos1", "pos2"))
+    cells = found.select("g", "col_id", F.posexplode(F.array("pos1", "pos2", "pos3")).alias("page_idx", "pos")).filter("pos is not null")
+    cells = cells.join(details.select("g", "page_idx", "pos", "outer_html", "x", "y", "width"), ["g", "page_idx", "pos"]).withColumn("key", F.concat_ws("#", "g", "col_id"))
+    cells = cut(cells)
+    kept = told_apart(cells, "key").filter("varies or digit").select("key")
+    cells = cut(cells.join(kept, "key", "left_semi")).join(sources, ["g", "page_idx"])
+    placed = positions(cells, "key").join(cells.select("key", "g").distinct(), "key")
+    elements = cells.select("g", F.lit("element").alias("kind"), "col_id", "page_idx", F.array_join(text_fragments(F.col("outer_html")), "\n").alias("text"))
+    mined = []
+    for order in (["avg_pos"], ["avg_y", "avg_x"]):
+        before = F.lag("key").over(Window.partitionBy("g").orderBy(*order, "key"))
+        steps = placed.withColumn("before", before).filter("before is not null").select("key", "before")
+        here = cells.select("key", "g", "page_idx", "html", "y", "col_id", F.instr(F.col("html"), F.col("outer_html")).alias("at"))
+        prior = here.select(F.col("key").alias("before"), "page_idx", F.col("at").alias("from_at"), F.col("y").alias("from_y"))
+        both = here.join(steps, "key").join(prior, ["before", "page_idx"]).filter("at > 0 and from_at > 0")
+        gap = F.trim(F.substr(F.col("html"), F.col("from_at"), F.greatest(F.lit(0), F.col("at") - F.col("from_at"))))
+        mined.append(both.select("g", "before", "key", "page_idx", gap.alias("gap"), F.least("y", "from_y").alias("y_low"), F.greatest("y", "from_y").alias("y_high")))
+    own = ["g", "before", "key"]
+    parts = cut(split_gaps(cut(mined[0].unionByName(mined[1]).distinct()), own))
+    texts = text_columns(parts, own)
+    between = texts.select("g", F.lit("text").alias("kind"), F.concat_ws("|", "before", "key", "part", F.col("col_index").cast("string")).alias("col_id"), "page_idx", "text")
+    return elements.unionByName(between)

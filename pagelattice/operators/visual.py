@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -91,3 +91,89 @@ def structural_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Serie
 
     for a, b, width in batches:
         yield pd.Series([one(*row) for row in zip(a, b, width)], dtype="float64")
+
+
+def compare_colours(histogram: Column, summary: Column, factor: Column, area1: Column, area2: Column) -> Column:
+    """Mean of both colour measures, drawn in for equal dimensions and pushed out for unequal areas; at most 1."""
+    small, large = F.least(area1, area2), F.greatest(area1, area2)
+    uneven = F.when((small > 0) & (large > small * 2.4), 1.15).otherwise(1.0)
+    return F.least(F.lit(1.0), (histogram + summary) / 2 * F.coalesce(factor, F.lit(1.0)) * uneven)
+
+
+def sizes_comparable(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
+    """Whether two crops are near enough in size for SSIM, whose window needs 7 pixels a side."""
+    dw, dh = F.abs(w1 - w2), F.abs(h1 - h2)
+    near = ((dw < 5) & (dh < 11)) | ((dh < 5) & (dw < 11)) | ((dw == 0) & (dh < 17)) | ((dh == 0) & (dw < 17))
+    return near & (F.least(w1, h1, w2, h2) >= 7)
+
+
+def cropped(pixels: Column, width: Column, w: Column, h: Column) -> Column:
+    """The top left w x h pixels of a flat image."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda row: F.slice(pixels, row * width + 1, w)))
+
+
+def compare_structure(a: str, b: str) -> Column:
+    """1 - SSIM of the part both grey crops have; null where the sizes differ too much."""
+    (w1, h1, g1), (w2, h2, g2) = ([F.col(f"{side}{n}") for n in ("width", "height", "grey")] for side in (a, b))
+    w, h, ok = F.least(w1, w2), F.least(h1, h2), sizes_comparable(w1, h1, w2, h2)
+    part = lambda g, own: F.when(ok, cropped(g, own, w, h))
+    return F.lit(1.0) - structural_similarity(part(g1, w1), part(g2, w2), w)
+
+
+def visual_cascade(colours: Column, structure: Column) -> Column:
+    """The older verdict of both measures: 0, 0.25, 0.5 or 1."""
+    agreed = (F.abs(structure - colours) < 0.12) & ((structure + colours) / 2 < 0.5)
+    by_structure = (
+        F.when((structure < 0.27) | agreed, 0.0).when((structure < 0.35) & (colours > 0.5), 0.5)
+        .when((structure < 0.3) & (colours < 0.5), 0.0).when(structure > 0.7, 1.0).otherwise(0.5)
+    )
+    by_colour = F.when(colours < 0.4, 0.25).when(colours < 0.6, 0.5).otherwise(1.0)
+    return F.when(colours < 0.25, 0.0).when(structure.isNotNull(), by_structure).otherwise(by_colour)
+
+
+def mean_squared_error(a: Column, b: Column) -> Column:
+    squares = F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("double"))
+    return F.aggregate(squares, F.lit(0.0), lambda t, v: t + v) / F.size(a)
+
+
+CROP = "dummy boolean, is_photo boolean, pixels array<int>, histogram array<int>, grey array<int>"
+
+
+def crop_elements(elements: DataFrame, screens: DataFrame, side: int = 50, colours: int = 16) -> DataFrame:
+    """Elements with their crop of the page's screenshot.
+
+    `screens` holds page_id, width, image (RGB bytes), palette (RGB bytes of the
+    colours) and indices (one byte a pixel).  Added: dummy (outside or without
+    area), is_photo (large, names an image, and quantising changed most pixels),
+    pixels (side x side palette indices, nearest), histogram of those, and grey.
+    A page's elements meet its screenshot by a join; a crop is cut in Arrow batches.
+    """
+    names = elements.columns
+
+    def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                x, y, w, h, wide = (int(v) for v in (row.x, row.y, row.width, row.height, row.screen_width))
+                if x < 0 or y < 0 or w <= 0 or h <= 0:
+                    out.append((True, None, None, None, None))
+                    continue
+                index = np.frombuffer(row.indices, np.uint8).reshape(-1, wide)[y : y + h, x : x + w]
+                full = np.frombuffer(row.image, np.uint8).reshape(-1, wide, 3)[y : y + h, x : x + w].astype(int)
+                if not index.size:
+                    out.append((True, None, None, None, None))
+                    continue
+                drawn = np.frombuffer(row.palette, np.uint8).reshape(-1, 3).astype(int)[index]
+                kept = float((np.abs(full - drawn).mean(2) < 7).mean())
+                lower = (row.outer_html or "").lower()
+                photo = w * h > 5000 and any(s in lower for s in ("<img", ".jpg", ".png")) and 0.05 < kept < 0.31
+                at = lambda n: ((np.arange(side) + 0.5) * n / side).astype(int)
+                small = index[at(index.shape[0])][:, at(index.shape[1])].ravel()
+                grey = np.rint(full @ np.array([0.299, 0.587, 0.114])).astype(int)
+                out.append((False, photo, small.astype(int).tolist(), np.bincount(small, minlength=colours)[:colours].tolist(), grey.ravel().tolist()))
+            made = pd.DataFrame(out, columns=["dummy", "is_photo", "pixels", "histogram", "grey"])
+            yield pd.concat([batch[names].reset_index(drop=True), made], axis=1)
+
+    joined = elements.join(screens.select("page_id", F.col("width").alias("screen_width"), "image", "palette", "indices"), "page_id")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
+    return joined.mapInPandas(crop, f"{fields}, {CROP}")

@@ -58,6 +58,7 @@ def described_links(found: DataFrame) -> DataFrame:
         "page_id", "idx", "outer_html", "url", urls.url_host(F.col("page_url")).alias("page_host"), *[c.alias(n) for n, c in urls.described(F.col("url")).items()],
         html.visible_text(h).alias("text"), html.start_tag(h).alias("start_tag"), html.tag_name(h).alias("tag_name"), html.img_type(F.lower(h)).alias("img_type"),
         html.start_tag(parent).alias("parent_start_tag"), html.img_type(F.lower(parent)).alias("parent_img_type"), html.no_content(h).alias("outer_html_no_content"),
+        html.tag_name(parent).alias("parent_tag_name"), html.no_content(parent).alias("parent_outer_html_no_content"), html.num_tags(h).alias("num_tags"),
     ).withColumns({"text_is_digit": text.text_is_digit(F.col("text")), "text_has_date": text.text_has_date(F.col("text")), "text_is_more_link": text.text_is_more_link(F.col("text"))})
 
 
