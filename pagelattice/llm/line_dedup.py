@@ -8,7 +8,12 @@ least SIMILARITY of their words share the template of those words; any other
 line is a template of its own, with its digits as they are.  Of a template that recurs across documents the
 document with the smallest id keeps its lines, and all others lose theirs.
 
-Lines of fewer than `least_words` words are kept: they recur by chance.
+A line of fewer than `least_words` words recurs by chance, so it counts with
+its neighbours only: it goes if it lies in a passage of whole lines that holds
+`least_words` words or more, starts or ends with a short line, has no line to
+spare, and is word by word in a document with a smaller id.  Lines without a
+word are no neighbours and stay.  A text of over a block's bytes is cut between
+two lines, and no passage reaches over that cut.
 
 Defined results: a null text stays null and an empty one empty; a row with a
 null doc_id stays as it is; lines repeated inside one document only are kept;
@@ -29,52 +34,98 @@ from pagelattice.llm.textkernel import line_blocks, mix, run_hashes
 from pagelattice.session import cut, small_batches
 
 LEADING, LEAST_WORDS, SIMILARITY, SHARE = 3, 8, 0.7, 0.02
+#: The leaf of all passages of short lines.
+PASSAGE = 0
 _WILD = np.uint64(0x5851F42D4C957F2D)
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
 def parsed_lines(texts: list[str | None], least_words: int, words: bool, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of (text, line, words, leaf, line hash[, words' hashes with their positions but for those with a digit, border of each line's])."""
+    for block in bordered_lines(texts):
+        yield long_lines(block, least_words, words, similarity)
+
+
+def bordered_lines(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (word hash, word has a digit, first word and end of each line that has words, its number, its text)."""
     for hashes, digit, line, owner in line_blocks(texts):
-        if not len(hashes):
-            continue
-        exact, hashes = hashes, np.where(digit, _WILD, hashes)
-        digits = np.append(0, np.cumsum(digit))
-        first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        end = np.append(first[1:], len(hashes))
-        long = end - first >= least_words
-        first, end = first[long], end[long]
-        size = end - first
-        leaf = run_hashes(hashes, first, np.minimum(end, first + LEADING)) ^ mix(size.astype(np.uint64))
-        plain = size - (digits[end] - digits[first])
-        whole = np.where(plain >= similarity * size, run_hashes(hashes, first, end), run_hashes(exact, first, end))
-        out = [owner[first], line[first], size, leaf.astype(np.int64), whole.astype(np.int64)]
-        if words:
-            inside = np.zeros(len(hashes) + 1, np.int64)
-            inside[first] += 1
-            inside[end] -= 1
-            chosen = np.cumsum(inside[:-1]) > 0
-            place = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-            keys = mix(hashes[chosen] + (place + np.uint64(1)) * _PLACE).astype(np.int64)
-            out += [keys[~digit[chosen]], np.append(0, np.cumsum(plain))]
-        yield tuple(out)
-
-
-def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
-    """doc_id, line: the lines of recurring templates that a document with a smaller id keeps."""
+        if len(hashes):
+            first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            yield hashes, digit, first, np.append(first[1:], len(hashes)), line[first], owner[first]
+
+
+def long_lines(block: tuple[np.ndarray, ...], least_words: int, words: bool, similarity: float) -> tuple[np.ndarray, ...]:
+    exact, digit, first, end, line, owner = block
+    hashes = np.where(digit, _WILD, exact)
+    digits = np.append(0, np.cumsum(digit))
+    long = end - first >= least_words
+    first, end, line, owner = first[long], end[long], line[long], owner[long]
+    size = end - first
+    leaf = run_hashes(hashes, first, np.minimum(end, first + LEADING)) ^ mix(size.astype(np.uint64))
+    plain = size - (digits[end] - digits[first])
+    whole = np.where(plain >= similarity * size, run_hashes(hashes, first, end), run_hashes(exact, first, end))
+    out = [owner, line, size, leaf.astype(np.int64), whole.astype(np.int64)]
+    if words:
+        inside = np.zeros(len(hashes) + 1, np.int64)
+        inside[first] += 1
+        inside[end] -= 1
+        chosen = np.cumsum(inside[:-1]) > 0
+        place = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+        keys = mix(hashes[chosen] + (place + np.uint64(1)) * _PLACE).astype(np.int64)
+        out += [keys[~digit[chosen]], np.append(0, np.cumsum(plain))]
+    return tuple(out)
+
+
+def short_passages(block: tuple[np.ndarray, ...], least_words: int) -> tuple[np.ndarray, ...]:
+    """(text, line, mask, passage hash): bit j of the mask is set if line + j is a short line of the passage; one of over 64 lines takes several rows."""
+    hashes, _, first, end, line, owner = block
+    short = np.flatnonzero(end - first < least_words)
+    last = np.searchsorted(end, first[short] + least_words)
+    start = np.searchsorted(first, end[short] - least_words, "right") - 1
+    on, back = last < len(end), start >= 0
+    pairs = np.concatenate([np.stack([short[on], last[on]], 1), np.stack([start[back], short[back]], 1)])
+    pairs = np.unique(pairs[owner[pairs[:, 0]] == owner[pairs[:, 1]]], axis=0)
+    start, last = pairs[:, 0], pairs[:, 1]
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    whole = mix(run_hashes(hashes, first[start], end[last]) + (end[last] - first[start]).astype(np.uint64))
+    held = last - start + 1
+    passage = np.repeat(np.arange(len(start)), held)
+    member = start[passage] + np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
+    few = (end - first)[member] < least_words
+    passage, member = passage[few], member[few]
+    offset = line[member] - line[start[passage]]
+    edge = np.flatnonzero((np.diff(passage, prepend=-1) != 0) | (np.diff(offset // 64, prepend=-1) != 0))
+    mask = np.bitwise_or.reduceat(np.uint64(1) << (offset % 64).astype(np.uint64), edge)
+    at = passage[edge]
+    return owner[start[at]], line[start[at]] + offset[edge] // 64 * 64, mask.astype(np.int64), whole[at].astype(np.int64)
+
+
+def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, share: float = SHARE, lines: bool = True, passages: bool = True) -> DataFrame:
+    """doc_id, line: the lines of recurring templates, and the short lines of recurring passages, that a document with a smaller id keeps; a line may come twice."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, line, size, leaf, whole in parsed_lines(batch.column(1).to_pylist(), least_words, False, similarity):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(x.astype(t)) for x, t in ((line, np.int32), (size, np.int32), (leaf, np.int64), (whole, np.int64)))], names=["doc_id", "line", "size", "leaf", "whole"])
-
-    lines = cut(texts.mapInArrow(lines_of, f"doc_id {kind}, line int, size int, leaf long, whole long"))
-    exact = lines.groupBy("leaf", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("size").alias("size"))
-    exact = cut(exact)
-    leaves = exact.groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("kinds > 1 and lo <> hi").select("leaf", "kinds")
+            for block in bordered_lines(batch.column(1).to_pylist()):
+                found = []
+                if lines:
+                    text, line, _, leaf, whole = long_lines(block, least_words, False, similarity)
+                    found.append((text, line, np.ones(len(text), np.int64), leaf, whole))
+                if passages:
+                    text, line, mask, whole = short_passages(block, least_words)
+                    found.append((text, line, mask, np.full(len(text), PASSAGE), whole))
+                for text, line, mask, leaf, whole in found:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(x.astype(t)) for x, t in ((line, np.int32), (mask, np.int64), (leaf, np.int64), (whole, np.int64)))], names=["doc_id", "line", "mask", "leaf", "whole"])
+
+    rows = cut(texts.mapInArrow(lines_of, f"doc_id {kind}, line int, mask long, leaf long, whole long"))
+    exact = cut(rows.groupBy("leaf", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    bit = "case when mask = 1 then array(line) else transform(filter(sequence(0, 63), j -> bit_get(mask, j) = 1), j -> line + j) end"
+    if not lines:
+        return rows.join(exact.filter("lo <> hi"), ["leaf", "whole"]).filter("doc_id > lo").select("doc_id", F.explode(F.expr(bit)).alias("line"))
+    leaves = exact.filter(F.col("leaf") != PASSAGE).groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("kinds > 1 and lo <> hi").select("leaf", "kinds")
 
     bits = 1 << 23
     marked = leaves.select(F.pmod("leaf", F.lit(bits)).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
@@ -104,7 +155,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
     variants = exact.select("leaf", "whole", "lo", "hi").join(templates, ["leaf", "whole"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "whole")))
     owners = variants.groupBy("template").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper <> last").select("template", "keeper")
     recurring = variants.join(owners, "template").filter(F.col("hi") > F.col("keeper")).select("leaf", "whole", "keeper")
-    return lines.join(recurring, ["leaf", "whole"]).filter(F.col("doc_id") > F.col("keeper")).select("doc_id", "line")
+    return rows.join(recurring, ["leaf", "whole"]).filter(F.col("doc_id") > F.col("keeper")).select("doc_id", F.explode(F.expr(bit)).alias("line"))
 
 
 def drop_repeats(docs: DataFrame, **settings) -> DataFrame:

@@ -93,6 +93,24 @@ def test_line_dedup_keeps_first_and_clean(spark):
     assert line_dedup.drop_repeats(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_passages_of_short_lines(spark):
+    wrapped = [words(5, 300 + k) for k in range(30)]
+    single = [f"w{k}" for k in range(12)]
+    long, tail = words(20, 400), "ends in short"
+    texts = [
+        "\n".join(wrapped), "\n".join(["own first", *wrapped[:10], "", *wrapped[10:], "own last"]),
+        "\n".join(single), "\n\n\n".join(["x y z", *single, "z y x"]),
+        f"{long}\n{tail}\none thing", f"{words(20, 401)}\n{long}\n{tail}\nother thing", f"{words(20, 402)}\n{tail}\n{words(20, 403)}",
+        f"a b c d\n{chr(10) * 200}e f g h", "a b c d\ne f g h", "a b c d\ne f g i",
+    ]
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeats(docs(spark, texts)).collect()}
+    assert [out[k]["n_dropped"] for k in range(len(texts))] == [0, 30, 0, 12, 0, 2, 0, 0, 2, 0]
+    assert out[1]["text"] == "own first\n\nown last" and out[3]["text"].split() == "x y z z y x".split()
+    assert out[5]["text"] == f"{words(20, 401)}\nother thing" and out[8]["text"] == ""
+    last = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeats(docs(spark, [texts[8], texts[7]])).collect()}
+    assert last == {0: 0, 1: 2}
+
+
 def test_token_counts_match_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
