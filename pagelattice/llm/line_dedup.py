@@ -1,12 +1,16 @@
 """Line dedup by a log-template tree.
 
 A line is parsed at fixed depth: by its number of words, then by its leading
-LEADING words; words that hold a digit are one wildcard.  Below a leaf, a word
-is constant at its position if enough of the leaf's distinct lines have it
-there; all else generalises to a wildcard.  Lines whose constant words are at
-least SIMILARITY of their words share the template of those words; any other
-line is a template of its own, with its digits as they are.  Of a template that recurs across documents the
-document with the smallest id keeps its lines, and all others lose theirs.
+LEADING words; words that hold a digit are one wildcard.  Two lines of a leaf
+are alike if they have the same words, none with a digit, at SIMILARITY of
+their places or more.  In the order of the smallest document that holds it, a
+line that is like no line kept in a document with a smaller id is kept, and is
+a template for what follows; any other is a variant and goes from all
+documents.  What is kept stays in the smallest document and goes from the
+others.  So each line that goes is like one that stays, no two lines that stay
+in different documents are alike, and neither the leaf's size nor the order of
+rows matters.  A line with too few words without digits is like none, and is
+compared with its digits as they are.
 
 A line of fewer than `least_words` words recurs by chance, so it counts with
 its neighbours only: it goes if it lies in a passage of whole lines that holds
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pagelattice.llm.textkernel import line_blocks, mix, run_hashes
 from pagelattice.session import cut, small_batches
 
-LEADING, LEAST_WORDS, SIMILARITY, SHARE = 3, 8, 0.7, 0.02
+LEADING, LEAST_WORDS, SIMILARITY = 3, 8, 0.7
 #: The leaf of all passages of short lines.
 PASSAGE = 0
 _WILD = np.uint64(0x5851F42D4C957F2D)
@@ -41,7 +45,7 @@ _PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
 def parsed_lines(texts: list[str | None], least_words: int, words: bool, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (text, line, words, leaf, line hash[, words' hashes with their positions but for those with a digit, border of each line's])."""
+    """Blocks of (text, line, words, leaf, line hash[, words' hashes with their positions and 0 for those with a digit, border of each line's])."""
     for block in bordered_lines(texts):
         yield long_lines(block, least_words, words, similarity)
 
@@ -72,7 +76,7 @@ def long_lines(block: tuple[np.ndarray, ...], least_words: int, words: bool, sim
         chosen = np.cumsum(inside[:-1]) > 0
         place = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
         keys = mix(hashes[chosen] + (place + np.uint64(1)) * _PLACE).astype(np.int64)
-        out += [keys[~digit[chosen]], np.append(0, np.cumsum(plain))]
+        out += [np.where(digit[chosen], 0, keys), np.append(0, np.cumsum(size))]
     return tuple(out)
 
 
@@ -101,8 +105,62 @@ def short_passages(block: tuple[np.ndarray, ...], least_words: int) -> tuple[np.
     return owner[start[at]], line[start[at]] + offset[edge] // 64 * 64, mask.astype(np.int64), whole[at].astype(np.int64)
 
 
-def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, share: float = SHARE, lines: bool = True, passages: bool = True) -> DataFrame:
-    """doc_id, line: the lines of recurring templates, and the short lines of recurring passages, that a document with a smaller id keeps; a line may come twice."""
+class Kept:
+    """The lines kept of one leaf, by runs of places: lines with at most d places that differ agree in one of d + 1 runs."""
+
+    def __init__(self, size: int, similarity: float) -> None:
+        self.least = size * similarity
+        runs = size - int(np.ceil(self.least)) + 1
+        border = np.linspace(LEADING, size, runs + 1).astype(int).tolist() if size - LEADING >= runs else [0, 0]
+        self.runs = list(zip(border[:-1], border[1:]))
+        self.rows, self.n = np.zeros((4, size), np.int64), 0
+        self.index: dict[tuple[int, bytes], list[int]] = {}
+
+    def keys(self, words: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        for a, b in self.runs:
+            if words[a:b].all():
+                yield a, words[a:b].tobytes()
+
+    def has_like(self, words: np.ndarray) -> bool:
+        for key in self.keys(words):
+            at = self.index.get(key)
+            if at and (((self.rows[at] == words) & (words != 0)).sum(1) >= self.least).any():
+                return True
+        return False
+
+    def add(self, words: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = words
+        for key in self.keys(words):
+            self.index.setdefault(key, []).append(self.n)
+        self.n += 1
+
+
+def variants_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """leaf, whole of the variants among rows of (leaf, whole, lo, words) that come by leaf and lo; only the kept lines of one leaf are held."""
+    state, lo, kept, waiting = None, None, Kept(0, similarity), []
+    for batch in batches:
+        leaf, whole, least, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+        border = words.offsets.to_numpy() - words.offsets[0].as_py()
+        words, gone = words.flatten().to_numpy(), []
+        for k in range(len(leaf)):
+            own = words[border[k] : border[k + 1]]
+            if state != (leaf[k], len(own)):
+                state, lo, kept, waiting = (leaf[k], len(own)), least[k], Kept(len(own), similarity), []
+            if lo != least[k]:
+                for x in waiting:
+                    kept.add(x)
+                lo, waiting = least[k], []
+            if kept.has_like(own):
+                gone.append(k)
+            else:
+                waiting.append(own.copy())
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[gone]), pa.array(whole[gone])], names=["leaf", "whole"])
+
+
+def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, lines: bool = True, passages: bool = True) -> DataFrame:
+    """doc_id, line: the variants and recurring lines, and the short lines of recurring passages, that a document with a smaller id keeps; a line may come twice."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
@@ -125,7 +183,7 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
     bit = "case when mask = 1 then array(line) else transform(filter(sequence(0, 63), j -> bit_get(mask, j) = 1), j -> line + j) end"
     if not lines:
         return rows.join(exact.filter("lo <> hi"), ["leaf", "whole"]).filter("doc_id > lo").select("doc_id", F.explode(F.expr(bit)).alias("line"))
-    leaves = exact.filter(F.col("leaf") != PASSAGE).groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("kinds > 1 and lo <> hi").select("leaf", "kinds")
+    leaves = exact.filter(F.col("leaf") != PASSAGE).groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("kinds > 1 and lo <> hi").select("leaf")
 
     bits = 1 << 23
     marked = leaves.select(F.pmod("leaf", F.lit(bits)).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
@@ -137,25 +195,19 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
         seen: set[int] = set()
         for batch in batches:
             for _, _, size, leaf, whole, words, border in parsed_lines(batch.column(0).to_pylist(), least_words, True, similarity):
-                rows = [k for k in np.flatnonzero(shared.value[leaf % bits]) if int(whole[k]) not in seen and not seen.add(int(whole[k]))]
+                plain = np.add.reduceat(words != 0, border[:-1]) if len(size) else size
+                rows = [k for k in np.flatnonzero(shared.value[leaf % bits] & (plain >= similarity * size)) if int(whole[k]) not in seen and not seen.add(int(whole[k]))]
                 if len(seen) > 2_000_000:
                     seen.clear()
                 keys = pa.array([words[border[k] : border[k + 1]] for k in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[rows]), pa.array(whole[rows]), pa.array(size[rows].astype(np.int32)), keys], names=["leaf", "whole", "n", "words"])
-
-    worded = texts.select("text").mapInArrow(words_of_lines, "leaf long, whole long, n int, words array<long>").join(leaves, "leaf").dropDuplicates(["leaf", "whole"])
-    worded = cut(worded)
-    constant = (
-        worded.select("leaf", "kinds", F.explode("words").alias("word")).groupBy("leaf", "word").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
-        .filter(F.col("n") >= F.greatest(F.lit(2.0), F.lit(share) * F.col("kinds")))
-        .groupBy("leaf").agg(F.collect_list("word").alias("constant"))
-    )
-    same = F.array_intersect("words", "constant")
-    templates = worded.join(constant, "leaf").select("leaf", "whole", "n", same.alias("same")).filter(F.size("same") >= F.col("n") * similarity).select("leaf", "whole", F.xxhash64("leaf", "same").alias("template"))
-    variants = exact.select("leaf", "whole", "lo", "hi").join(templates, ["leaf", "whole"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "whole")))
-    owners = variants.groupBy("template").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper <> last").select("template", "keeper")
-    recurring = variants.join(owners, "template").filter(F.col("hi") > F.col("keeper")).select("leaf", "whole", "keeper")
-    return rows.join(recurring, ["leaf", "whole"]).filter(F.col("doc_id") > F.col("keeper")).select("doc_id", F.explode(F.expr(bit)).alias("line"))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[rows]), pa.array(whole[rows]), keys], names=["leaf", "whole", "words"])
+
+    worded = texts.select("text").mapInArrow(words_of_lines, "leaf long, whole long, words array<long>").dropDuplicates(["leaf", "whole"])
+    worded = worded.join(exact.join(leaves, "leaf", "left_semi").select("leaf", "whole", "lo"), ["leaf", "whole"]).select("leaf", "whole", "lo", "words")
+    variants = worded.repartition("leaf").sortWithinPartitions("leaf", "lo").mapInArrow(lambda batches: variants_of(batches, similarity), "leaf long, whole long")
+    # cut here, so that the join of all rows stands alone and Spark can split a very common line
+    found = cut(exact.join(variants.withColumn("variant", F.lit(True)), ["leaf", "whole"], "left").filter("variant or lo <> hi").select("leaf", "whole", "lo", "variant"))
+    return rows.join(found, ["leaf", "whole"]).filter("variant or doc_id > lo").select("doc_id", F.explode(F.expr(bit)).alias("line"))
 
 
 def drop_repeats(docs: DataFrame, **settings) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from pagelattice.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, token_counts, toxicity
@@ -111,6 +112,29 @@ def test_line_dedup_takes_passages_of_short_lines(spark):
     assert last == {0: 0, 1: 2}
 
 
+def test_line_dedup_takes_variants_of_few_values(spark):
+    texts = [f"job started on host {a} for queue {b} and ended" for a in "abcdefghij" for b in "klmnopqrst"]
+    near = words(20, 500).split()
+    changed = [" ".join([*near[:4], *("cut" if k in at else near[k] for k in range(4, 20))]) for at in ((6,), (6, 9), (12,), ())]
+    texts += [*changed, "one two three " + words(17, 501), "a b c d e\na b c d e f g h i j\na b c d e f g h k j", "a b c d e f g h i j", "a b c d e f g h l j", "a b c 1 2 3 4 x y z", "a b c 5 6 7 8 x y w"]
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeats(docs(spark, texts)).collect()}
+    assert [out[k]["n_dropped"] for k in range(len(texts))] == [0] + [1] * 99 + [0, 1, 1, 1, 0, 0, 1, 1, 0, 0]
+
+
+def test_variants_against_brute_force():
+    rng = random.Random(9)
+    for size in (8, 9, 14, 23):
+        rows = sorted({(rng.randrange(60), (1, 2, 3, *(rng.choice((0, 1, 2)) if rng.random() < 0.6 else 7 for _ in range(size - 3)))) for _ in range(300)})
+        kept, gone = [], []
+        for lo, own in rows:
+            alike = any(at < lo and sum(x == y != 0 for x, y in zip(own, other)) >= 0.7 * size for at, other in kept)
+            gone.append(alike)
+            kept += [] if alike else [(lo, own)]
+        batch = pa.RecordBatch.from_arrays([pa.array([5] * len(rows)), pa.array(range(len(rows))), pa.array([lo for lo, _ in rows]), pa.array([w for _, w in rows], pa.list_(pa.int64()))], names=["leaf", "whole", "lo", "words"])
+        found = [k for b in line_dedup.variants_of(iter([batch.slice(0, 100), batch.slice(100)]), 0.7) for k in b.column(1).to_pylist()]
+        assert found == [k for k, x in enumerate(gone) if x] and 0 < len(found) < len(rows)
+
+
 def test_token_counts_match_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
