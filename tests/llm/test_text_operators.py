@@ -121,6 +121,15 @@ def test_line_dedup_takes_variants_of_few_values(spark):
     assert [out[k]["n_dropped"] for k in range(len(texts))] == [0] + [1] * 99 + [0, 1, 1, 1, 0, 0, 1, 1, 0, 0]
 
 
+@pytest.mark.parametrize("others", [960, 2000])
+def test_line_dedup_is_independent_of_the_leafs_size(spark, others):
+    fill = [f"all begin alike {words(7, 10_000 + k, 10**6)}" for k in range(others)]
+    variants = [f"all begin alike then stay the same up to v{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
+    many = [f"these begin alike {words(6, 600 + t, 10**6)} {words(1, 700 + v, 10**6)}" for t in range(60) for v in range(5)]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeats(docs(spark, fill + variants + many)).collect()}
+    assert [out[k] for k in range(len(out))] == [0] * others + [0] + [1] * 29 + [0, 1, 1, 1, 1] * 60
+
+
 def test_variants_against_brute_force():
     rng = random.Random(9)
     for size in (8, 9, 14, 23):
