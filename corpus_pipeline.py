@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm.decontaminate import find_contamination
-from pagelattice.llm.jaccard_join import jaccard_components
+from pagelattice.llm.jaccard_join import class_components, with_class
 from pagelattice.llm.line_dedup import drop_repeats
 from pagelattice.llm.packing import pack_documents
 from pagelattice.llm.toxicity import score_toxicity
-from pagelattice.session import read_table
+from pagelattice.session import cut, read_table
 
 #: Near duplicates share 80 of 100 shingles of five words.
 WORDS, SHARE, PER = 5, 80, 100
@@ -34,17 +34,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays.
+    """The row with the smallest id of each group stays.
 
-    Passages of short lines that repeat in what stays go from all but one
-    document only now, as near duplicates are told by them too.
+    Rows are told apart by their id and set of shingles: of texts that share an
+    id only those go that are copies, and of rows with the same id and set the
+    one with the smallest text stays.  A null id is larger than any other; a row
+    with one counts as a copy only of rows with the same set, as op4's SQL links
+    nothing by a null id.  Texts without a word all stay.
     """
-    found = jaccard_components(docs, WORDS, SHARE, PER)
-    kept = docs.join(found.filter("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return drop_repeats(kept, lines=False).select(*docs.columns)
+    records, named = class_components(docs, WORDS, SHARE, PER)
+    tally = records.filter("n > 0").groupBy("doc_id", "rid").count().join(named.select("rid", "component"), "rid")
+    first = tally.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    judged = tally.join(first, "component").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.rid") == F.col("rid")))
+    judged = cut(judged.filter("not stays or count > 1").select(F.col("doc_id").alias("at_id"), F.col("rid").alias("at_rid"), "stays"))
+    rows = with_class(docs.select(*docs.columns), WORDS)
+    same = rows["doc_id"].eqNullSafe(F.col("at_id")) & (rows["rid"] == F.col("at_rid"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = rows.join(judged.filter("stays"), same, "left_semi").groupBy("doc_id", "rid").agg(F.min(F.struct("text", *others)).alias("row"))
+    kept = rows.join(judged, same, "left_anti").select(*docs.columns)
+    return kept.unionByName(repeated.select("doc_id", "row.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Before, passages of short lines go from all but one document: only now, as near duplicates are told by them too."""
+    docs = cut(drop_repeats(docs, lines=False).select(*docs.columns))
     found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return found.filter("n_hit = 0").select(*docs.columns)
 

@@ -31,3 +31,12 @@ def test_pipeline_drops_what_it_must_and_keeps_the_rest(spark, tmp_path):
     assert len(kept & {k for k in range(400) if k % 4 == 0}) <= 3
     assert all(r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) for r in out if r["doc_id"] != line_copy)
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+
+
+def test_near_duplicates_are_decided_row_by_row(spark):
+    one, two, three = words(40, 1), words(40, 2), words(40, 3)
+    near = " ".join([*one.split()[:39], "changed"])
+    rows = [(1, one), (1, one), (1, two), (2, near), (2, three), (None, three), (None, three), (None, words(40, 4)), (None, words(40, 4)), (3, two), (None, None), (4, ""), (4, ""), (5, one.upper()), (1, one + " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, one), (1, two), (2, three), (None, words(40, 4)), (None, None), (4, ""), (4, "")], key=str)
