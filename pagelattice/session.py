@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
+from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +33,54 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors reach: spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir.  Only where that is unset,
-    as in local tests, a temporary folder of this machine is used.
+    Where that is unset, local mode gets a temporary folder, which goes with the
+    process; on a cluster no such folder would be shared, so that's an error.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="pagelattice-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and cuts the lineage there."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"cut-{os.getpid()}-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, or the name with underscores behind it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch of whole texts can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds what one Arrow batch of whole texts can hold, by rows and by bytes.
+
+    Plans read the bounds when they run, so they stay set for the session.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if spark.conf.get(name) != str(most):
+            spark.conf.set(name, str(most))
