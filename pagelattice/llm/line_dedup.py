@@ -19,10 +19,16 @@ spare, and is word by word in a document with a smaller id.  Lines without a
 word are no neighbours and stay.  A text of over a block's bytes is cut between
 two lines, and no passage reaches over that cut.
 
+With `copies`, a document that is a copy as a whole keeps its lines for a join
+of near duplicates to judge: of two documents' words, taken without the lines
+that go for a third one's sake, that share or more stand in lines of both.
+Without that, such a join would see what is left of a copy and not the copy.
+
 Defined results: a null text stays null and an empty one empty; a row with a
 null doc_id stays as it is; lines repeated inside one document only are kept;
 rows that share a doc_id count as one document; n_chars, if there, is counted
-anew; all columns of the input are returned.
+anew; all columns of the input are returned, but a column n_dropped of the
+input is replaced if the operator's own is asked for.
 """
 
 from __future__ import annotations
@@ -35,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.textkernel import line_blocks, mix, run_hashes
-from pagelattice.session import cut, small_batches
+from pagelattice.session import cut, small_batches, unused
 
 LEADING, LEAST_WORDS, SIMILARITY = 3, 8, 0.7
-#: The leaf of all passages of short lines.
-PASSAGE = 0
+#: The leaf of all passages of short lines, and the line number of rows that hold a document's words.
+PASSAGE, WHOLE = 0, -1
+WHITE = " \t\n\v\f\r"
 _WILD = np.uint64(0x5851F42D4C957F2D)
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 
@@ -81,7 +88,7 @@ def long_lines(block: tuple[np.ndarray, ...], least_words: int, words: bool, sim
 
 
 def short_passages(block: tuple[np.ndarray, ...], least_words: int) -> tuple[np.ndarray, ...]:
-    """(text, line, mask, passage hash): bit j of the mask is set if line + j is a short line of the passage; one of over 64 lines takes several rows."""
+    """(text, line, mask, passage hash, words a line): bit j of the mask is set if line + j is a short line of the passage; one of over 64 lines takes several rows."""
     hashes, _, first, end, line, owner = block
     short = np.flatnonzero(end - first < least_words)
     last = np.searchsorted(end, first[short] + least_words)
@@ -91,7 +98,7 @@ def short_passages(block: tuple[np.ndarray, ...], least_words: int) -> tuple[np.
     pairs = np.unique(pairs[owner[pairs[:, 0]] == owner[pairs[:, 1]]], axis=0)
     start, last = pairs[:, 0], pairs[:, 1]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     whole = mix(run_hashes(hashes, first[start], end[last]) + (end[last] - first[start]).astype(np.uint64))
     held = last - start + 1
     passage = np.repeat(np.arange(len(start)), held)
@@ -102,7 +109,8 @@ def short_passages(block: tuple[np.ndarray, ...], least_words: int) -> tuple[np.
     edge = np.flatnonzero((np.diff(passage, prepend=-1) != 0) | (np.diff(offset // 64, prepend=-1) != 0))
     mask = np.bitwise_or.reduceat(np.uint64(1) << (offset % 64).astype(np.uint64), edge)
     at = passage[edge]
-    return owner[start[at]], line[start[at]] + offset[edge] // 64 * 64, mask.astype(np.int64), whole[at].astype(np.int64)
+    size = np.add.reduceat((end - first)[member], edge) / np.diff(np.append(edge, len(member)))
+    return owner[start[at]], line[start[at]] + offset[edge] // 64 * 64, mask.astype(np.int64), whole[at].astype(np.int64), size
 
 
 class Kept:
@@ -121,12 +129,17 @@ class Kept:
             if words[a:b].all():
                 yield a, words[a:b].tobytes()
 
-    def has_like(self, words: np.ndarray) -> bool:
+    def first_like(self, words: np.ndarray) -> int | None:
+        """Number of the first kept line that is like this one."""
+        found = None
         for key in self.keys(words):
             at = self.index.get(key)
-            if at and (((self.rows[at] == words) & (words != 0)).sum(1) >= self.least).any():
-                return True
-        return False
+            if at:
+                alike = ((self.rows[at] == words) & (words != 0)).sum(1) >= self.least
+                if alike.any():
+                    k = at[int(alike.argmax())]
+                    found = k if found is None else min(found, k)
+        return found
 
     def add(self, words: np.ndarray) -> None:
         if self.n == len(self.rows):
@@ -138,29 +151,32 @@ class Kept:
 
 
 def variants_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """leaf, whole of the variants among rows of (leaf, whole, lo, words) that come by leaf and lo; only the kept lines of one leaf are held."""
-    state, lo, kept, waiting = None, None, Kept(0, similarity), []
+    """leaf, whole of the variants and lo of the line they're like, among rows of (leaf, whole, lo, words) that come by leaf and lo; only the kept lines of one leaf are held."""
+    state, lo, kept, owners, waiting = None, None, Kept(0, similarity), [], []
     for batch in batches:
         leaf, whole, least, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
         border = words.offsets.to_numpy() - words.offsets[0].as_py()
-        words, gone = words.flatten().to_numpy(), []
+        words, gone, like = words.flatten().to_numpy(), [], []
         for k in range(len(leaf)):
             own = words[border[k] : border[k + 1]]
             if state != (leaf[k], len(own)):
-                state, lo, kept, waiting = (leaf[k], len(own)), least[k], Kept(len(own), similarity), []
+                state, lo, kept, owners, waiting = (leaf[k], len(own)), least[k], Kept(len(own), similarity), [], []
             if lo != least[k]:
                 for x in waiting:
                     kept.add(x)
+                owners += [lo] * len(waiting)
                 lo, waiting = least[k], []
-            if kept.has_like(own):
+            found = kept.first_like(own)
+            if found is not None:
                 gone.append(k)
+                like.append(owners[found])
             else:
                 waiting.append(own.copy())
-        yield pa.RecordBatch.from_arrays([pa.array(leaf[gone]), pa.array(whole[gone])], names=["leaf", "whole"])
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[gone]), pa.array(whole[gone]), pa.array(like, batch.column(2).type)], names=["leaf", "whole", "like"])
 
 
-def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, lines: bool = True, passages: bool = True) -> DataFrame:
-    """doc_id, line: the variants and recurring lines, and the short lines of recurring passages, that a document with a smaller id keeps; a line may come twice."""
+def repeated_rows(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, lines: bool = True, passages: bool = True) -> tuple[DataFrame, DataFrame]:
+    """doc_id, line, lo (whose line stays) and size of the lines that go, some of them twice; n_words of each doc_id."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
@@ -168,35 +184,44 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in bordered_lines(batch.column(1).to_pylist()):
-                found = []
+                _, _, first, end, _, owner = block
+                words = np.bincount(owner, end - first).astype(np.int64)
+                some = np.flatnonzero(words)
+                found = [(some, np.full(len(some), WHOLE), words[some], np.zeros(len(some)), np.zeros(len(some)), np.zeros(len(some)))]
                 if lines:
-                    text, line, _, leaf, whole = long_lines(block, least_words, False, similarity)
-                    found.append((text, line, np.ones(len(text), np.int64), leaf, whole))
+                    text, line, size, leaf, whole = long_lines(block, least_words, False, similarity)
+                    found.append((text, line, np.ones(len(text)), leaf, whole, size))
                 if passages:
-                    text, line, mask, whole = short_passages(block, least_words)
-                    found.append((text, line, mask, np.full(len(text), PASSAGE), whole))
-                for text, line, mask, leaf, whole in found:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(x.astype(t)) for x, t in ((line, np.int32), (mask, np.int64), (leaf, np.int64), (whole, np.int64)))], names=["doc_id", "line", "mask", "leaf", "whole"])
-
-    rows = cut(texts.mapInArrow(lines_of, f"doc_id {kind}, line int, mask long, leaf long, whole long"))
+                    text, line, mask, whole, size = short_passages(block, least_words)
+                    found.append((text, line, mask, np.full(len(text), PASSAGE), whole, size))
+                for text, line, mask, leaf, whole, size in found:
+                    columns = ((line, np.int32), (mask, np.int64), (leaf, np.int64), (whole, np.int64), (size, np.float32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(x.astype(t)) for x, t in columns)], names=["doc_id", "line", "mask", "leaf", "whole", "size"])
+
+    all_rows = cut(texts.mapInArrow(lines_of, f"doc_id {kind}, line int, mask long, leaf long, whole long, size float"))
+    words = all_rows.filter(F.col("line") == WHOLE).groupBy("doc_id").agg(F.sum("mask").alias("n_words"))
+    rows = all_rows.filter(F.col("line") != WHOLE)
     exact = cut(rows.groupBy("leaf", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
     bit = "case when mask = 1 then array(line) else transform(filter(sequence(0, 63), j -> bit_get(mask, j) = 1), j -> line + j) end"
+    out = [F.col("doc_id"), F.explode(F.expr(bit)).alias("line"), F.col("lo"), F.col("size")]
     if not lines:
-        return rows.join(exact.filter("lo <> hi"), ["leaf", "whole"]).filter("doc_id > lo").select("doc_id", F.explode(F.expr(bit)).alias("line"))
+        return rows.join(exact.filter("lo <> hi"), ["leaf", "whole"]).filter("doc_id > lo").select(*out), words
     leaves = exact.filter(F.col("leaf") != PASSAGE).groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("kinds > 1 and lo <> hi").select("leaf")
 
     bits = 1 << 23
     marked = leaves.select(F.pmod("leaf", F.lit(bits)).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[marked["word"].to_numpy()] = marked["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
     def words_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, size, leaf, whole, words, border in parsed_lines(batch.column(0).to_pylist(), least_words, True, similarity):
                 plain = np.add.reduceat(words != 0, border[:-1]) if len(size) else size
-                rows = [k for k in np.flatnonzero(shared.value[leaf % bits] & (plain >= similarity * size)) if int(whole[k]) not in seen and not seen.add(int(whole[k]))]
+                cell = leaf % bits
+                maybe = (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                rows = [k for k in np.flatnonzero(maybe & (plain >= similarity * size)) if int(whole[k]) not in seen and not seen.add(int(whole[k]))]
                 if len(seen) > 2_000_000:
                     seen.clear()
                 keys = pa.array([words[border[k] : border[k + 1]] for k in rows], pa.list_(pa.int64()))
@@ -204,17 +229,43 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: fl
 
     worded = texts.select("text").mapInArrow(words_of_lines, "leaf long, whole long, words array<long>").dropDuplicates(["leaf", "whole"])
     worded = worded.join(exact.join(leaves, "leaf", "left_semi").select("leaf", "whole", "lo"), ["leaf", "whole"]).select("leaf", "whole", "lo", "words")
-    variants = worded.repartition("leaf").sortWithinPartitions("leaf", "lo").mapInArrow(lambda batches: variants_of(batches, similarity), "leaf long, whole long")
+    variants = worded.repartition("leaf").sortWithinPartitions("leaf", "lo").mapInArrow(lambda batches: variants_of(batches, similarity), f"leaf long, whole long, like {kind}")
     # cut here, so that the join of all rows stands alone and Spark can split a very common line
-    found = cut(exact.join(variants.withColumn("variant", F.lit(True)), ["leaf", "whole"], "left").filter("variant or lo <> hi").select("leaf", "whole", "lo", "variant"))
-    return rows.join(found, ["leaf", "whole"]).filter("variant or doc_id > lo").select("doc_id", F.explode(F.expr(bit)).alias("line"))
+    found = cut(exact.join(variants, ["leaf", "whole"], "left").filter("like is not null or lo <> hi").select("leaf", "whole", "lo", "like"))
+    shared.destroy()
+    gone = rows.join(found, ["leaf", "whole"]).filter("like is not null or doc_id > lo")
+    return gone.withColumn("lo", F.coalesce("like", "lo")).select(*out), words
 
 
-def drop_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """The documents without their repeated lines; n_dropped counts those of each row."""
-    gone = find_repeats(docs, **settings).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    joined = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left")
-    names, schema = docs.columns, docs.schema
+def find_repeats(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, line: the variants and recurring lines, and the short lines of recurring passages, that a document with a smaller id keeps; a line may come twice."""
+    return repeated_rows(docs, **settings)[0].select("doc_id", "line")
+
+
+def without_copies(gone: DataFrame, words: DataFrame, copies: float) -> DataFrame:
+    """The lines that go, but for those by which a document is a copy of the one that keeps them."""
+    gone = cut(gone.groupBy("doc_id", "line").agg(F.min("lo").alias("lo"), F.max("size").alias("size")))
+    lost = gone.groupBy("doc_id").agg(F.sum("size").alias("lost"))
+    rest = words.join(lost, "doc_id", "left").select("doc_id", (F.col("n_words") - F.coalesce("lost", F.lit(0.0))).alias("kept"))
+    common = gone.groupBy("doc_id", "lo").agg(F.sum("size").alias("common"))
+    pairs = common.join(rest, "doc_id").join(rest.select(F.col("doc_id").alias("lo"), F.col("kept").alias("lo_kept")), "lo")
+    alike = pairs.filter(F.col("common") >= copies * (F.col("kept") + F.col("lo_kept"))).select("doc_id", "lo")
+    return gone.join(alike, ["doc_id", "lo"], "left_anti")
+
+
+def drop_repeats(docs: DataFrame, counted: bool = True, emptied: bool = True, copies: float | None = None, **settings) -> DataFrame:
+    """The documents without their repeated lines.
+
+    counted: n_dropped counts the lines of each row that went; emptied: rows
+    stay of whose words none is left; copies: see above.
+    """
+    found, words = repeated_rows(docs, **settings)
+    if copies is not None:
+        found = without_copies(found, words, copies)
+    names = [n for n in docs.columns if not (counted and n == "n_dropped")]
+    own_id, own_lines = unused("gone_id", names), unused("gone_lines", names)
+    gone = found.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line").alias(own_lines))
+    joined = docs.join(gone, docs["doc_id"] == gone[own_id], "left")
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
 
@@ -232,8 +283,9 @@ def drop_repeats(docs: DataFrame, **settings) -> DataFrame:
             if at_chars is not None:
                 new = [len(t) if n and t is not None else c for t, n, c in zip(texts, dropped, columns[at_chars].to_pylist())]
                 columns[at_chars] = pa.array(new, columns[at_chars].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(dropped, pa.int64())], names=[*names, "n_dropped"])
+            made = pa.RecordBatch.from_arrays([*columns, *([pa.array(dropped, pa.int64())] if counted else [])], names=[*names, *(["n_dropped"] if counted else [])])
+            yield made if emptied else made.filter(pa.array([not n or t is None or bool(t.strip(WHITE)) for n, t in zip(dropped, texts)]))
 
     small_batches(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return joined.select(*[docs[n] for n in names], "gone_lines").mapInArrow(rewrite, f"{fields}, n_dropped long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    return joined.select(*[docs[n] for n in names], own_lines).mapInArrow(rewrite, fields + (", n_dropped long" if counted else ""))
