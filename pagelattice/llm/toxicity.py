@@ -7,16 +7,26 @@ insult with a group mention counts for more, or less, than its parts.
 
 The model is fitted on a bounded sample of labelled rows of the learning folds:
 at most `positives` and `negatives` rows, chosen by a hash of the id.  Texts
-that are copies of each other count once.  Everything else reads all rows.
+that are copies of each other count once.  Everything else reads all rows.  The
+sample is fitted in one task, so the driver holds the model only.
+
+The machine has a weight and factors for at most VOCABULARY terms.  A term gets
+its place by its own log-odds (LEAST_ROWS rows of the sample and a z of LEAST_Z
+or more), or by a pair: of the PAIR_TERMS terms that divide the sample most
+evenly, the PAIRS pairs whose covariance differs most between the labels (a z
+of PAIR_Z or more, and PAIR_ROWS rows that hold both or would by chance) bring
+both their terms in, however neutral each is alone.
 
 Defined results: null and empty texts have no terms, so they get the score of
 the bias; with no label of one kind every score is that kind's constant 0 or 1
 (0 without any label); where an id has several labels the larger one holds;
-rows that repeat are scored each; extra columns are ignored.
+rows that repeat are scored each; extra columns are ignored; drop_toxic returns
+the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +40,12 @@ from pagelattice.llm.textkernel import ALNUM, word_blocks
 from pagelattice.session import small_batches
 
 POSITIVES, NEGATIVES = 3000, 6000
-VOCABULARY = 4096
+VOCABULARY, LEAST_ROWS, LEAST_Z = 4096, 4, 2.0
+PAIR_TERMS, PAIRS, PAIR_Z, PAIR_ROWS = 2048, 512, 6.0, 10
 PREFIXES = (4, 5)
 FACTORS = 4
+#: A text of this score or more is toxic.
+LIMIT = 0.5
 
 
 def term_blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,14 +108,92 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int, epochs: int =
     return bias, w, v
 
 
+def places(sets: list[np.ndarray], terms: np.ndarray) -> list[np.ndarray]:
+    """Positions in the sorted terms of each set's members."""
+    out = []
+    for own in sets:
+        at = np.searchsorted(terms, own)
+        inside = at < len(terms)
+        at, own = at[inside], own[inside]
+        out.append(at[terms[at] == own])
+    return out
+
+
+def own_signal(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Each term's z of its log-odds; 0 in too few rows."""
+    n = [int((y == k).sum()) for k in (0, 1)]
+    held = [np.zeros(len(terms)), np.zeros(len(terms))]
+    for own, label in zip(sets, y):
+        held[label][np.searchsorted(terms, own)] += 1
+    odds = [np.log((h + 0.5) / (m - h + 0.5)) for h, m in zip(held, n)]
+    z = np.abs(odds[1] - odds[0]) / np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
+    return np.where(held[0] + held[1] < LEAST_ROWS, 0, z)
+
+
+def pair_signal(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Each pair's z of the difference between its covariances in the two labels."""
+    inner, size = places(sets, terms), len(terms)
+    cov, spread, held, chance = [], [], 0, 0
+    for label in (0, 1):
+        rows = [r for r, k in zip(inner, y) if k == label]
+        met, one = np.zeros((size, size), np.float32), np.zeros(size)
+        for at in range(0, len(rows), 512):
+            x = np.zeros((min(512, len(rows) - at), size), np.float32)
+            for k, r in enumerate(rows[at : at + 512]):
+                x[k, r] = 1
+            met += x.T @ x
+            one += x.sum(0)
+        p = (one / len(rows)).astype(np.float32)
+        held, chance = held + met, chance + np.outer(p, p) * np.float32(len(rows))
+        cov.append(met / np.float32(len(rows)) - np.outer(p, p))
+        spread.append(p * (1 - p) + np.float32(0.5 / len(rows)))
+        spread[-1] = np.outer(spread[-1], spread[-1]) / np.float32(len(rows))
+    z = np.abs(cov[1] - cov[0]) / np.sqrt(spread[0] + spread[1])
+    return np.triu(np.where(np.maximum(held, chance) >= PAIR_ROWS, z, np.float32(0)), 1)
+
+
+def choose_terms(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The terms of the machine, sorted."""
+    terms, rows = np.unique(np.concatenate(sets), return_counts=True)
+    z = own_signal(sets, y, terms)
+    z[z < LEAST_Z] = 0
+    even = np.minimum(rows, len(sets) - rows)
+    split = np.sort(np.argsort(-even, kind="stable")[:PAIR_TERMS])
+    split = split[even[split] >= LEAST_ROWS]
+    if len(split):
+        pairs = pair_signal(sets, y, terms[split])
+        known = z[split] > 0
+        pairs[np.outer(known, known)] = 0
+        best = np.argsort(-pairs, axis=None, kind="stable")[:PAIRS]
+        best = best[pairs.reshape(-1)[best] >= PAIR_Z]
+        for at in (best // len(split), best % len(split)):
+            np.maximum.at(z, split[at], pairs.reshape(-1)[best])
+    return terms[np.sort(np.argsort(-z, kind="stable")[: min(VOCABULARY, int((z > 0).sum()))])]
+
+
+def fit(rows: list[tuple[int, np.ndarray]]) -> ToxicModel:
+    """The model of a sample of (label, terms); the order of the rows doesn't matter."""
+    known = {(hash_of(own), label): own for label, own in rows}
+    order = sorted(known)
+    y, sets = np.array([label for _, label in order], np.int64), [known[k] for k in order]
+    if not y.any() or y.all():
+        return constant(bool(len(y)) and bool(y.all()))
+    terms = choose_terms(sets, y)
+    bias, w, v = fit_machine(places(sets, terms), y.astype(float), len(terms))
+    return ToxicModel(terms, bias - float(np.log(y.sum() / (len(y) - y.sum()))), w, v)
+
+
+def constant(toxic: bool) -> ToxicModel:
+    return ToxicModel(np.zeros(0, np.uint32), 30.0 if toxic else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> ToxicModel:
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & learns()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    empty = np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS))
     if not n.get(1) or not n.get(0):
-        return ToxicModel(empty[0], 30.0 if n.get(1) else -30.0, *empty[1:])
+        return constant(bool(n.get(1)))
     ids = [r for kind, most in ((1, positives), (0, negatives)) for r in known.filter(F.col("toxic") == kind).orderBy(share(), "doc_id").limit(most).collect()]
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -119,29 +210,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
                     own[k] = np.unique(np.append(own[k], ids[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array([hash_of(x) for x in own], pa.int64()), pa.array(y, pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], names=["h", "toxic", "terms"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(y, np.frombuffer(x, np.uint32)) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
     texts = sample.select("text", "toxic").mapInArrow(terms, "h long, toxic int, terms binary").dropDuplicates(["h", "toxic"])
-    rows = texts.toArrow()
-    y = rows["toxic"].to_numpy()
-    sets = [np.frombuffer(x, np.uint32) for x in rows["terms"].to_pylist()]
-    order = np.argsort(rows["h"].to_numpy(), kind="stable")
-    y, sets = y[order], [sets[k] for k in order]
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return ToxicModel(empty[0], -30.0, *empty[1:])
-    (terms_1, often_1), (terms_0, often_0) = (np.unique(np.concatenate([s for s, k in zip(sets, y) if k == kind]), return_counts=True) for kind in (1, 0))
-    all_terms = np.union1d(terms_1, terms_0)
-    with_1, with_0 = np.zeros(len(all_terms)), np.zeros(len(all_terms))
-    with_1[np.searchsorted(all_terms, terms_1)] = often_1
-    with_0[np.searchsorted(all_terms, terms_0)] = often_0
-    odds = np.log((with_1 + 0.5) / (n1 - with_1 + 0.5)) - np.log((with_0 + 0.5) / (n0 - with_0 + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (with_1 + 0.5) + 1 / (with_0 + 0.5))
-    z[(with_1 + with_0 < 4) | (z < 2.0)] = 0
-    best = np.sort(np.argsort(-z, kind="stable")[: min(VOCABULARY, int((z > 0).sum()))])
-    terms_kept = all_terms[best]
-    inner = [np.flatnonzero(np.isin(terms_kept, s, assume_unique=True)) for s in sets]
-    bias, w, v = fit_machine(inner, y.astype(float), len(terms_kept))
-    bias += float(np.log(n[1] / n[0]) - np.log(n1 / n0))
-    return ToxicModel(terms_kept, bias, w, v)
+    made = texts.select("toxic", "terms").repartition(1).mapInArrow(fitted, "model binary").collect()
+    if not made:
+        return constant(False)
+    model: ToxicModel = pickle.loads(made[0]["model"])
+    model.bias += float(np.log(n[1] / n[0]))
+    return model
 
 
 def hash_of(ids: np.ndarray) -> int:
@@ -149,21 +229,28 @@ def hash_of(ids: np.ndarray) -> int:
     return int((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (ids.astype(np.uint64) << np.uint64(29))).sum(dtype=np.uint64).astype(np.int64))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row, with the columns of `keep` behind them."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, negatives))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = shared.value.score(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= LIMIT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """The rows whose score is under LIMIT, as they are."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, negatives))
-    carried = [f for f in docs.schema if f.name in keep and f.name != "doc_id"]
-    at_text = next((2 + k for k, f in enumerate(carried) if f.name == "text"), None)
-    columns = [F.col("doc_id"), held_out().alias("held_out"), *[F.col(f.name) for f in carried], *([] if at_text else [F.col("text")])]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(batch.column(at_text or 2).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *[batch.column(2 + k) for k in range(len(carried))]],
-                names=["doc_id", "held_out", "score", "predicted", *[f.name for f in carried]],
-            )
+            yield batch.filter(pa.array(shared.value.score(batch.column(at_text).to_pylist()) < LIMIT))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
