@@ -8,12 +8,16 @@ exactly 0; a temperature fitted on rows kept out of the training calibrates
 the probabilities.
 
 The document frequencies are counted over all rows of the learning folds; the
-classifier is fitted on a bounded sample of them: about `per_language` rows a
-language, `most_rows` at most, chosen by a hash of the id.
+classifier is fitted on a bounded sample of them: of each language's distinct
+texts the `per_language` first by a hash of the text, and fewer of each if the
+languages share `most_rows`, but LEAST_EACH at least.  Every language with a
+labelled text is learnt; the weights on the driver grow with the number of
+languages, not with the rows.  The sample, and with it every prediction, depends
+on the rows alone and not on their order or partitions.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 without any labelled row every text is `und`; rows that repeat are predicted
-each; extra columns are ignored.
+each; languages that tie go to the first by name; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,39 +30,47 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagelattice.llm.folds import held_out, learns, share
+from pagelattice.llm.folds import held_out, learns
 from pagelattice.session import small_batches
 
 SIZE = 1 << 15
-PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES = 1000, 4000, 200
+PER_LANGUAGE, MOST_ROWS, LEAST_EACH = 1000, 4000, 5
 PIECE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 _letters = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)] + [True])
 
 
 def cells(text: str) -> Iterator[np.ndarray]:
-    """Cells of the text's character n-grams, by pieces of PIECE characters that overlap by two."""
+    """Cells of the text's character n-grams; each n-gram counts in the piece of PIECE characters in which it ends."""
+    last, inside = np.zeros(0, np.uint64), True
     for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters[np.minimum(codes, 0x10000)]
-        blank = ~letter
-        kept = letter | (blank & np.append(True, letter[:-1]))
-        codes = np.where(letter, codes, 32)[kept].astype(np.uint64)
+        kept = letter | np.append(inside, letter[:-1])
+        inside = bool(letter[-1])
+        codes = np.append(last, np.where(letter, codes, 32)[kept].astype(np.uint64))
+        old = len(last)
         gram = np.zeros(len(codes), np.uint64)
         for n in range(1, 4):
             if len(codes) < n:
                 break
             gram = gram[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
-            spread = (gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            spread = (gram[max(0, old - n + 1) :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             yield (spread >> np.uint64(49)).astype(np.int64)
+        last = codes[-2:]
 
 
-def counts(text: str) -> np.ndarray:
-    out = np.zeros(SIZE, np.int64)
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the text's n-grams, sorted, and how often each occurs."""
+    if 3 * len(text) < SIZE:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *cells(text)]), return_counts=True)
+    total = np.zeros(SIZE, np.int64)
     for cell in cells(text):
-        out += np.bincount(cell, minlength=SIZE)
-    return out
+        total += np.bincount(cell, minlength=SIZE)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 @dataclass
@@ -69,19 +81,18 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(own)
-        x = (1 + np.log(own[at])) * self.idf[at]
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(n)) * self.idf[at]
         return at, x / max(np.sqrt((x * x).sum()), 1e-12)
 
-    def logits(self, own: np.ndarray) -> np.ndarray:
-        at, x = self.vector(own)
+    def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at, x = self.vector(at, n)
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not LETTER.search(text):
             return "und", 0.0
-        p = softmax(self.logits(counts(text)) / self.temperature)
+        p = softmax(self.logits(*counts(text)) / self.temperature)
         return self.languages[int(p.argmax())], float(p.max())
 
 
@@ -122,7 +133,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> LanguageModel:
     learnt = docs.select("doc_id", "text", "lang").filter(learns() & F.col("lang").isNotNull())
-    tally = learnt.filter("text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    tally = learnt.filter("text is not null").groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in tally)
     if not languages:
         return LanguageModel([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0))
@@ -131,10 +142,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
         held, rows = np.zeros(SIZE, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                present = np.zeros(SIZE, bool)
-                for cell in cells(text):
-                    present[cell] = True
-                held += present
+                held[counts(text)[0]] += 1
                 rows += 1
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], rows))], names=["cell", "n"])
@@ -144,26 +152,23 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
     frequency[found["cell"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + frequency[SIZE]) / (1 + frequency[:SIZE])) + 1
 
-    each = max(1, min(per_language, most_rows // len(languages)))
-    part = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1 + 1_200_000 * each // r["count"])) for r in tally], "lang string, part long")
-    chosen = learnt.filter("text is not null").join(F.broadcast(part), "lang").filter(share() < F.col("part")).select("text", "lang", share().alias("share")).limit(most_rows)
+    each = max(LEAST_EACH, min(per_language, most_rows // len(languages)))
+    # a threshold on the hash lets somewhat more through than wanted, so that no language is sorted whole
+    part = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1 + 1_500_000 * each // r["count"]) if r["count"] > 4 * each else 1_000_000) for r in tally], "lang string, part long")
+    marked = learnt.filter("text is not null").select("text", "lang", F.xxhash64("text").alias("share"))
+    chosen = marked.join(F.broadcast(part), "lang").filter(F.pmod("share", F.lit(1_000_000)) < F.col("part")).select("text", "lang", "share")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [counts(t) for t in batch.column(0).to_pylist()]
-            at = [np.flatnonzero(x) for x in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([np.minimum(x[a], 65535).astype(np.uint16).tobytes() for x, a in zip(own, at)], pa.binary())],
-                names=["lang", "share", "at", "n"],
-            )
+            packed = [pa.array([x[k].astype(kind).tobytes() for x in own], pa.binary()) for k, kind in ((0, np.uint16), (1, np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], names=["lang", "share", "at", "n"])
 
-    rows = chosen.mapInArrow(featured, "lang string, share long, at binary, n binary").toArrow().sort_by([("share", "ascending"), ("lang", "ascending")])
+    features = chosen.mapInArrow(featured, "lang string, share long, at binary, n binary").dropDuplicates(["lang", "share"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share"))
+    rows = features.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").toArrow().sort_by([("share", "ascending"), ("lang", "ascending")])
     model = LanguageModel(languages, idf, np.zeros((SIZE, len(languages))), np.zeros(len(languages)))
-    vectors = []
-    for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist()):
-        own = np.zeros(SIZE, np.int64)
-        own[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint16)
-        vectors.append(model.vector(own))
+    vectors = [model.vector(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.int64)) for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist())]
     y = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
     if not len(y):
         return LanguageModel([], idf, model.weights, model.bias)
