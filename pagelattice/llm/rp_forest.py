@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Rows are dealt by a hash of their id to shards of about `shard_rows` rows.  Each
+Distinct rows are dealt by a hash to shards of about `shard_rows` rows.  Each
 shard's task builds `trees` trees over all its rows; a tree splits a node at the
 median of the rows' projections on a random direction, down to `leaf_rows`.
 Every query visits every shard.  There one priority queue, shared by all trees,
@@ -14,8 +14,10 @@ recall (measured against brute force in the tests and the README).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of different lengths aren't neighbours; rows
-equal in id and vector count once; a row isn't its own neighbour (same id);
-ties go to the smaller id; with few candidates all are returned.
+equal in id and vector count once; of rows that share an id but not the vector,
+the nearest counts, for each of the query's vectors; a row isn't its own
+neighbour (same id); ties go to the smaller id; with few candidates all are
+returned.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ class Forest:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 0):
         self.exact, self.ids = vectors, ids
+        #: Rows that one id has at most: so many may stand for one neighbour.
+        self.alike = int(np.unique(ids, return_counts=True)[1].max())
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.unit = vectors / self.norms[:, None]
         self.random = np.random.default_rng(seed)
@@ -78,7 +82,7 @@ class Forest:
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         found = np.zeros(len(self.ids), bool)
-        want, have = max(16 * k, int(np.ceil(search * len(self.ids)))), 0
+        want, have = max(16 * k * self.alike, int(np.ceil(search * len(self.ids)))), 0
         while queue and have < want:
             missed, node = heapq.heappop(queue)
             while node >= 0:
@@ -92,11 +96,14 @@ class Forest:
             found[rows] = True
         rows = np.flatnonzero(found & (self.ids != query_id))
         score = self.exact[rows] @ query / (self.norms[rows] * size)
-        if len(rows) > 4 * k:
-            edge = np.partition(score, len(rows) - 2 * k)[len(rows) - 2 * k] - 1e-12
+        keep = min(len(rows), 2 * k * self.alike)
+        if len(rows) > 4 * k * self.alike:
+            edge = np.partition(score, len(rows) - keep)[len(rows) - keep] - 1e-12
             rows, score = rows[score >= edge], score[score >= edge]
         score = np.array([float(np.dot(self.exact[r], query)) for r in rows]) / (self.norms[rows] * size)
-        best = np.lexsort((self.ids[rows], -score))[:k]
+        order = np.lexsort((self.ids[rows], -score))
+        _, first = np.unique(self.ids[rows][order], return_index=True)
+        best = order[np.sort(first)[:k]]
         return [(int(self.ids[rows[b]]), min(1.0, max(-1.0, float(score[b])))) for b in best]
 
 
@@ -108,10 +115,10 @@ def usable(vector: Column) -> Column:
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, search: float = SEARCH, shard_rows: int = SHARD_ROWS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     shards = max(SHARDS, -(-rows.count() // shard_rows))
-    own = rows.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)), "ask": F.lit(False)})
-    asked = rows.filter(F.pmod("id", F.lit(every)) == 0).distinct().withColumns({"shard": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))), "ask": F.lit(True)})
+    own = rows.withColumns({"shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)), "ask": F.lit(False)})
+    asked = rows.filter(F.pmod("id", F.lit(every)) == 0).withColumns({"shard": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))), "ask": F.lit(True)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, tuple[int, np.ndarray]]] = defaultdict(dict)
@@ -136,7 +143,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, search: float = SEA
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    dealt = own.union(asked.select(own.columns)).select("shard", "ask", "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "ask", "id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    # one shard, one task: hashes of the shards' numbers would meet in some tasks and miss others
+    dealt = own.union(asked.select(own.columns)).select("shard", "ask", "id", "v").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "ask", "id")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
