@@ -9,21 +9,25 @@ on if the window, laid at the token's position, lies inside the document
 
 Benchmarks are taken in blocks of at most `block_windows` windows; only one
 block at a time is sent to the executors, and rows pass one block after
-another, so a benchmark of any size stays in bounded memory.
+another, so a benchmark of any size stays in bounded memory.  An item of more
+windows than a block is cut into parts that share WINDOW - 1 words.
 
 Defined results: null or empty texts have no words; items without a word have
 no window; equal item ids count as one item; a null item id is named `null`;
-rows that repeat are judged each; extra columns are carried only on demand.
+rows that repeat are judged each; find_contamination ignores extra columns, and
+drop_contaminated returns the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,17 +156,33 @@ def windows_of(rows: list[tuple[object, str | None]]) -> Windows:
     return Windows(words, sizes, items)
 
 
+#: A word of a text that isn't lower-cased yet.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def item_parts(text: str, most: int) -> Iterator[tuple[str, int]]:
+    """The text and its windows, at most; a text of more than `most` in parts, each window in one of them."""
+    if len(text) // 2 + 1 <= most:
+        yield text, len(text) // 2 + 1
+        return
+    spans = [m.span() for m in WORD.finditer(text)]
+    windows = max(1, len(spans) - WINDOW + 1)
+    for at in range(0, windows if spans else 0, most):
+        end = min(len(spans), at + most + WINDOW - 1)
+        yield text[spans[at][0] : spans[end - 1][1]], min(most, windows - at)
+
+
 def item_blocks(benchmark: DataFrame, block_windows: int) -> Iterator[Windows]:
     """Windows of the benchmark, block by block; the driver holds one block."""
     rows: list[tuple[object, str | None]] = []
     size = 0
     for row in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
-        words = len(row["text"]) // 2 + 1
-        if rows and size + words > block_windows:
-            yield windows_of(rows)
-            rows, size = [], 0
-        rows.append((row["item_id"], row["text"]))
-        size += words
+        for text, windows in item_parts(row["text"], block_windows):
+            if rows and size + windows > block_windows:
+                yield windows_of(rows)
+                rows, size = [], 0
+            rows.append((row["item_id"], text))
+            size += windows
     yield windows_of(rows)
 
 
@@ -187,33 +207,51 @@ def rarity_of(docs: DataFrame, windows: Windows) -> dict[int, int]:
     return dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist()))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings) of each row, with the columns of `keep` behind them."""
+def matchers(docs: DataFrame, benchmark: DataFrame, block_windows: int) -> Iterator[Broadcast]:
+    """A matcher for each block of the benchmark."""
+    for windows in item_blocks(benchmark, block_windows):
+        yield docs.sparkSession.sparkContext.broadcast(Matcher(windows, rarity_of(docs, windows)))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings) of each row."""
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    carried = [f for f in docs.schema if f.name in keep and f.name not in ("doc_id", "text")]
-    fixed = [docs.schema["doc_id"], docs.schema["text"], *carried]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed) + ", n_words long, hits binary, items array<string>"
-    rows = docs.select(*[f.name for f in fixed])
-    for number, windows in enumerate(item_blocks(benchmark, block_windows)):
-        shared = context.broadcast(Matcher(windows, rarity_of(docs, windows)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text")
+    for number, shared in enumerate(matchers(docs, benchmark, block_windows)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 mask, border, items = shared.value.match(batch.column(1).to_pylist())
                 hits = [mask[a:b] for a, b in zip(border[:-1], border[1:])]
                 if number:
-                    old = batch.column(len(fixed) + 1).to_pylist()
-                    hits = [h | np.unpackbits(np.frombuffer(o, np.uint8), count=len(h)).astype(bool) if o else h for h, o in zip(hits, old)]
-                    items = [i | set(o or ()) for i, o in zip(items, batch.column(len(fixed) + 2).to_pylist())]
+                    hits = [h | np.unpackbits(np.frombuffer(o, np.uint8), count=len(h)).astype(bool) if o else h for h, o in zip(hits, batch.column(3).to_pylist())]
+                    items = [i | set(o or ()) for i, o in zip(items, batch.column(4).to_pylist())]
                 packed = [np.packbits(h).tobytes() if h.any() else None for h in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(fixed)], pa.array(np.diff(border), pa.int64()), pa.array(packed, pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                    names=[*(f.name for f in fixed), "n_words", "hits", "items"],
+                    [batch.column(0), batch.column(1), pa.array(np.diff(border), pa.int64()), pa.array(packed, pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                    names=["doc_id", "text", "n_words", "hits", "items"],
                 )
 
-        rows = rows.mapInArrow(run, schema)
-    return rows.select("doc_id", "n_words", _bit_total("hits").cast("long").alias("n_hit"), "items", *(["text"] if "text" in keep else []), *[f.name for f in carried])
+        rows = rows.mapInArrow(run, f"doc_id {kind}, text string, n_words long, hits binary, items array<string>")
+    return rows.select("doc_id", "n_words", _bit_total("hits").cast("long").alias("n_hit"), "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows that hold no window of the benchmark, as they are."""
+    small_batches(docs.sparkSession)
+    at_text = docs.columns.index("text")
+    rows = docs
+    for shared in matchers(docs, benchmark, block_windows):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask, border, _ = shared.value.match(batch.column(at_text).to_pylist())
+                before = np.append(0, np.cumsum(mask))
+                yield batch.filter(pa.array(before[border[1:]] == before[border[:-1]]))
+
+        rows = rows.mapInArrow(run, docs.schema)
+    return rows
 
 
 def _bit_total(column: str):
