@@ -1,65 +1,53 @@
 """A training corpus from raw documents, stage by stage.
 
-Toxic documents go; lines that repeat across documents stay in one of them; one
-document of each group of near duplicates stays; documents that hold a passage
-of the benchmark go; what is left is packed into sequences.
+Toxic documents go; lines and passages that repeat across documents stay in one
+of them; one document of each group of near duplicates stays; documents that
+hold a passage of the benchmark go; what is left is packed into sequences.
+
+Line dedup comes before near duplicates are looked for, so a document that is a
+copy as a whole keeps the lines that make it one: the next stage judges it whole
+and not by what is left of it.  A document of which line dedup leaves no word
+goes there.
+
+Defined results: a null text, and one without a word, passes every stage and is
+packed as a piece of no tokens; a row without an id takes part in no line dedup
+and is a near duplicate like others; rows that share an id are one document to
+line dedup and rows of their own to all other stages, but texts of one id that
+are copies become one; extra columns are carried, whatever their names, up to
+packing, which returns its own; empty tables give empty tables, an empty
+benchmark or labels table drops nothing.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagelattice.llm.decontaminate import find_contamination
-from pagelattice.llm.jaccard_join import class_components, with_class
+from pagelattice.llm import decontaminate, toxicity
+from pagelattice.llm.jaccard_join import keep_one
 from pagelattice.llm.line_dedup import drop_repeats
 from pagelattice.llm.packing import pack_documents
-from pagelattice.llm.toxicity import score_toxicity
-from pagelattice.session import cut, read_table
+from pagelattice.session import delete_folder, read_table, shared_folder
 
 #: Near duplicates share 80 of 100 shingles of five words.
 WORDS, SHARE, PER = 5, 80, 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeats(docs, passages=False).select(*docs.columns)
+    return drop_repeats(docs, counted=False, emptied=False, copies=SHARE / PER)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group stays.
-
-    Rows are told apart by their id and set of shingles: of texts that share an
-    id only those go that are copies, and of rows with the same id and set the
-    one with the smallest text stays.  A null id is larger than any other; a row
-    with one counts as a copy only of rows with the same set, as op4's SQL links
-    nothing by a null id.  Texts without a word all stay.
-    """
-    records, named = class_components(docs, WORDS, SHARE, PER)
-    tally = records.filter("n > 0").groupBy("doc_id", "rid").count().join(named.select("rid", "component"), "rid")
-    first = tally.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    judged = tally.join(first, "component").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.rid") == F.col("rid")))
-    judged = cut(judged.filter("not stays or count > 1").select(F.col("doc_id").alias("at_id"), F.col("rid").alias("at_rid"), "stays"))
-    rows = with_class(docs.select(*docs.columns), WORDS)
-    same = rows["doc_id"].eqNullSafe(F.col("at_id")) & (rows["rid"] == F.col("at_rid"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeated = rows.join(judged.filter("stays"), same, "left_semi").groupBy("doc_id", "rid").agg(F.min(F.struct("text", *others)).alias("row"))
-    kept = rows.join(judged, same, "left_anti").select(*docs.columns)
-    return kept.unionByName(repeated.select("doc_id", "row.*").select(*docs.columns))
+    return keep_one(docs, WORDS, SHARE, PER)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Before, passages of short lines go from all but one document: only now, as near duplicates are told by them too."""
-    docs = cut(drop_repeats(docs, lines=False).select(*docs.columns))
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,11 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    own = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the whole table; each is written to the shared folder and read again, and its input deleted there."""
+    own = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{own}/{k}-{name}")
-        docs = spark.read.parquet(f"{own}/{k}-{name}")
+        at = f"{own}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            delete_folder(spark, before)
+        before = at
     return docs
