@@ -244,12 +244,14 @@ def find_repeats(docs: DataFrame, **settings) -> DataFrame:
 
 def without_copies(gone: DataFrame, words: DataFrame, copies: float) -> DataFrame:
     """The lines that go, but for those by which a document is a copy of the one that keeps them."""
+    # cut before each join, so that it stands alone and Spark can split what meets at one document
     gone = cut(gone.groupBy("doc_id", "line").agg(F.min("lo").alias("lo"), F.max("size").alias("size")))
     lost = gone.groupBy("doc_id").agg(F.sum("size").alias("lost"))
-    rest = words.join(lost, "doc_id", "left").select("doc_id", (F.col("n_words") - F.coalesce("lost", F.lit(0.0))).alias("kept"))
+    rest = cut(words.join(lost, "doc_id", "left").select("doc_id", (F.col("n_words") - F.coalesce("lost", F.lit(0.0))).alias("kept")))
     common = gone.groupBy("doc_id", "lo").agg(F.sum("size").alias("common"))
-    pairs = common.join(rest, "doc_id").join(rest.select(F.col("doc_id").alias("lo"), F.col("kept").alias("lo_kept")), "lo")
-    alike = pairs.filter(F.col("common") >= copies * (F.col("kept") + F.col("lo_kept"))).select("doc_id", "lo")
+    likely = cut(common.join(rest, "doc_id").filter(F.col("common") >= copies * F.col("kept")))
+    pairs = likely.join(rest.select(F.col("doc_id").alias("lo"), F.col("kept").alias("lo_kept")), "lo")
+    alike = cut(pairs.filter(F.col("common") >= copies * (F.col("kept") + F.col("lo_kept"))).select("doc_id", "lo"))
     return gone.join(alike, ["doc_id", "lo"], "left_anti")
 
 
