@@ -6,18 +6,39 @@ and a select of several reads the pairs once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.text import blended_distance, gestalt_percent, quick_distance, simple_distance
 
+# Number of style keys, half-width of the neutral band, longest distance of two corners.
 CSS_KEYS = 134
 NEUTRAL = 0.04
 MAX_SPREAD = 2817.8
 
 
+def with_ids(elements: DataFrame) -> DataFrame:
+    """Style arrays and feature sets as numbers, made once an element, so that pairs compare numbers and not strings.
+
+    css_ids: a 64-bit hash of position and value of each style that isn't blank;
+    css_blank: a bit for each position that is; feature_ids: a hash of each
+    distinct feature.
+    """
+    if "css_array" in elements.columns:
+        styles = F.col("css_array")
+        ids = F.filter(F.transform(styles, lambda v, k: F.when(v != "", F.xxhash64(k, v))), lambda v: v.isNotNull())
+        bits = lambda at: F.aggregate(
+            F.transform(F.slice(styles, at + 1, F.lit(64)), lambda v, k: F.when(v == "", F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))),
+            F.lit(0).cast("long"), lambda t, v: t.bitwiseOR(v),
+        )
+        elements = elements.withColumns({"css_ids": ids, "css_blank": F.array(*[bits(F.lit(at)) for at in range(0, CSS_KEYS, 64)])})
+    if "feature_set" in elements.columns:
+        elements = elements.withColumn("feature_ids", F.array_distinct(F.transform("feature_set", lambda v: F.xxhash64(v))))
+    return elements
+
+
 def _both(a: str, b: str, *names: str) -> list[Column]:
     return [F.col(f"{side}{n}").cast("double") for n in names for side in (a, b)]
 
@@ -76,9 +97,13 @@ def spatially_aligned(a: str, b: str) -> Column:
 
 
 def compare_computed_styles(a: str, b: str) -> Column:
-    """By equal positions of two style arrays; equal blanks count less.  One pass over the arrays."""
-    weights = F.zip_with(F.col(f"{a}css_array"), F.col(f"{b}css_array"), lambda p, q: F.when(p != q, 0.0).when(p == "", 1.0).otherwise(1.5))
-    v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), F.aggregate(weights, F.lit(-float(CSS_KEYS)), lambda t, w: t + w)))
+    """By equal positions of two style arrays, from `with_ids`; equal blanks count less."""
+    equal = F.size(F.array_intersect(f"{a}css_ids", f"{b}css_ids"))
+    blank = lambda k: F.bit_count(F.get(f"{a}css_blank", F.lit(k)).bitwiseAND(F.get(f"{b}css_blank", F.lit(k))))
+    blanks = blank(0)
+    for k in range(1, -(-CSS_KEYS // 64)):
+        blanks = blanks + blank(k)
+    v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), F.lit(1.5) * equal + blanks - CSS_KEYS))
     return F.lit(1.0) - (v + 16) / 29.0
 
 
@@ -122,14 +147,25 @@ def jaccard_distance(x: Column, y: Column) -> Column:
 
 
 def featureset_overlap(a: str, b: str) -> Column:
-    return jaccard_distance(F.col(f"{a}feature_set"), F.col(f"{b}feature_set"))
+    """Jaccard distance of two sets of distinct features, from `with_ids`."""
+    x, y = F.col(f"{a}feature_ids"), F.col(f"{b}feature_ids")
+    shared = F.size(F.array_intersect(x, y))
+    every = F.size(x) + F.size(y) - shared
+    return F.when(every > 0, F.lit(1.0) - shared / every.cast("double")).otherwise(F.lit(0.0))
+
+
+def _mean(signals: Sequence[Column], told: Callable[[Column], Column]) -> Column:
+    """Mean of the signals that tell something, 0.5 without any; plain sums, so that code is generated for them."""
+    total, n = F.lit(0.0), F.lit(0)
+    for v in signals:
+        total = total + F.when(told(v), v).otherwise(F.lit(0.0))
+        n = n + F.when(told(v), 1).otherwise(0)
+    return F.when(n > 0, total / n).otherwise(F.lit(0.5))
 
 
 def mean_of(*signals: Column) -> Column:
-    """Mean of the signals that aren't null, 0.5 without any; each signal is evaluated once."""
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
-    add = lambda t, v: F.struct((t["total"] + F.coalesce(v, F.lit(0.0))).alias("total"), (t["n"] + F.when(v.isNull(), 0).otherwise(1)).alias("n"))
-    return F.aggregate(F.array(*signals), start, add, lambda t: F.coalesce(F.try_divide(t["total"], t["n"].cast("double")), F.lit(0.5)))
+    """Mean of the signals that aren't null, 0.5 without any."""
+    return _mean(signals, lambda v: v.isNotNull())
 
 
 def compare_visibility(a: str, b: str) -> Column:
@@ -230,11 +266,8 @@ def detail_similarity(a: str, b: str) -> Column:
 
 
 def combined(*distances: Column) -> Column:
-    """Mean of the distances that aren't neutral; 0.5 without any."""
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
-    told = lambda v: F.coalesce(F.abs(v - 0.5) > NEUTRAL, F.lit(False))
-    add = lambda t, v: F.struct((t["total"] + F.when(told(v), v).otherwise(0.0)).alias("total"), (t["n"] + F.when(told(v), 1).otherwise(0)).alias("n"))
-    return F.aggregate(F.array(*distances), start, add, lambda t: F.coalesce(F.try_divide(t["total"], t["n"].cast("double")), F.lit(0.5)))
+    """Mean of the distances that aren't neutral; 0.5 without any.  Give columns, not expressions: each is read several times."""
+    return _mean(distances, lambda v: F.coalesce(F.abs(v - 0.5) > NEUTRAL, F.lit(False)))
 
 
 #: Users may add functions of the same form: (prefix a, prefix b) -> Column.
@@ -247,3 +280,13 @@ REGISTRY: dict[str, Callable[[str, str], Column]] = {
     "compare_visibility": compare_visibility,
     "featureset_overlap": featureset_overlap,
 }
+
+
+def all_functions(visually_similar: Callable[[str, str], Column]) -> dict[str, Callable[[str, str], Column]]:
+    """The ten functions; how crops compare is given, as screenshots are inputs.  page_host: the page's own host."""
+    return {
+        **REGISTRY,
+        "url_similarity": lambda a, b: url_similarity(a, b, F.col(f"{a}page_host")),
+        "compare_content": compare_content,
+        "visually_similar": visually_similar,
+    }

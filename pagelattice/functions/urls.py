@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What URLs are told apart by, here and in the patterns below.
 SOCIAL = r"(^|\.)(facebook|twitter|x|instagram|linkedin|youtube|pinterest|tiktok)\.[a-z.]+$"
 
 
@@ -76,8 +77,23 @@ def described(url: Column) -> dict[str, Column]:
     }
 
 
-def url_param_names(url: Column) -> Column:
-    """Sorted names of the query's parameters by comma; a query without `=` names itself."""
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    names = F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, r"^([^=]*)", 1))))
-    return F.when(~F.contains(query, F.lit("=")), query).otherwise(F.array_join(names, ","))
+def url_params(url: Column, host: Column, page_host: Column) -> Column:
+    """Parameters of a URL on the page's own host as structs (name, value), by name; of equal names the last.
+
+    A query without `=` is a parameter of its own with a blank value, and a
+    parameter without one among others has the value NO_EQUALS.
+    """
+    query = F.regexp_replace(F.trim(F.regexp_extract(url, r"\?([^#]*)", 1)), "&+$", "")
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    one = lambda p: F.struct(F.regexp_extract(p, r"(?s)^([^=]*)", 1).alias("name"), F.when(F.contains(p, F.lit("=")), F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).otherwise("NO_EQUALS").alias("value"))
+    names = F.transform(parts, lambda p: F.regexp_extract(p, r"(?s)^([^=]*)", 1))
+    last = F.filter(parts, lambda p, k: ~F.array_contains(F.slice(names, k + 2, F.size(names)), F.regexp_extract(p, r"(?s)^([^=]*)", 1)))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    lone = F.array(F.struct(query.alias("name"), F.lit("").alias("value")))
+    told = F.coalesce((host == page_host) & F.contains(url, F.lit("?")) & (query != ""), F.lit(False))
+    return F.when(~told, none).when(~F.contains(query, F.lit("=")), lone).otherwise(F.array_sort(F.transform(last, one)))
+
+
+def url_param_names(url: Column, host: Column, page_host: Column) -> Column:
+    """Names of the parameters, sorted, by comma."""
+    return F.array_join(F.transform(url_params(url, host, page_host), lambda p: p["name"]), ",")

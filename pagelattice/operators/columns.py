@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from pagelattice.functions.distances import detail_similarity
 from pagelattice.functions.html import outer_key, text_fragments
+from pagelattice.functions.layout import pair_bounds, search_bounds
 from pagelattice.operators.pairs import prefixed
 from pagelattice.session import cut
 
-PAIR_LIMIT, TRIPLE_LIMIT, BOX = 0.24, 0.25, 15
+# Limits of a pair's and a triple's distance, side of a corner box, tags of an element at most.
+PAIR_LIMIT, TRIPLE_LIMIT, BOX, MAX_TAGS = 0.24, 0.25, 15, 8
 
 
 def candidates(anchors: DataFrame, others: DataFrame) -> DataFrame:
@@ -28,28 +30,46 @@ def candidates(anchors: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def match(anchors: DataFrame, others: DataFrame, limit: float = PAIR_LIMIT) -> DataFrame:
-    """g, pos1, pos2, sim of the matches under the limit."""
-    scored = candidates(anchors, others).select(F.col("a_g").alias("g"), F.col("a_pos").alias("pos1"), F.col("b_pos").alias("pos2"), detail_similarity("a_", "b_").alias("sim"))
+    """g, pos1, pos2, sim of the matches under the limit; anchors of more than MAX_TAGS tags have none."""
+    scored = candidates(anchors.filter(F.col("num_tags") <= MAX_TAGS), others).select(F.col("a_g").alias("g"), F.col("a_pos").alias("pos1"), F.col("b_pos").alias("pos2"), detail_similarity("a_", "b_").alias("sim"))
     return scored.filter(F.col("sim") < limit)
 
 
-def best_matches(matches: DataFrame) -> DataFrame:
-    """The best partner of each element of page 1, then of page 2's elements that none has."""
+def best_matches(matches: DataFrame, others: DataFrame) -> DataFrame:
+    """The best partner of each element of page 1, then of page 2's elements (`others`) that none has.
+
+    An element of page 2 with more than MAX_TAGS tags may be a partner, but
+    doesn't choose one.
+    """
     top = lambda key, other: Window.partitionBy("g", key).orderBy("sim", other)
     first = matches.withColumn("r", F.row_number().over(top("pos1", "pos2"))).filter("r = 1").drop("r")
-    unused = matches.join(first.select("g", "pos2").distinct(), ["g", "pos2"], "left_anti")
+    choosing = others.filter(F.col("num_tags") <= MAX_TAGS).select("g", F.col("pos").alias("pos2"))
+    unused = matches.join(first.select("g", "pos2").distinct(), ["g", "pos2"], "left_anti").join(choosing, ["g", "pos2"], "left_semi")
     second = unused.withColumn("r", F.row_number().over(top("pos2", "pos1"))).filter("r = 1").drop("r")
     return first.unionByName(second.select(first.columns))
 
 
-def extend(best: DataFrame, first: DataFrame, second: DataFrame, third: DataFrame, limit: float = TRIPLE_LIMIT) -> DataFrame:
-    """pos3 and the mean similarity of each match's best element of page 3; null if none is near enough."""
-    keyed = best.select("g", "pos1", "pos2")
-    one = match(first, third, 10.0).select("g", "pos1", F.col("pos2").alias("pos3"), F.col("sim").alias("sim13"))
-    two = match(second, third, 10.0).select("g", F.col("pos1").alias("pos2"), F.col("pos2").alias("pos3"), F.col("sim").alias("sim23"))
-    both = keyed.join(one, ["g", "pos1"]).join(two, ["g", "pos2", "pos3"]).withColumn("avg_sim", (F.col("sim13") + F.col("sim23")) / 2).filter(F.col("avg_sim") < limit)
-    top = both.withColumn("r", F.row_number().over(Window.partitionBy("g", "pos1", "pos2").orderBy("avg_sim", "pos3"))).filter("r = 1")
-    return keyed.join(top.select("g", "pos1", "pos2", "pos3", "avg_sim"), ["g", "pos1", "pos2"], "left")
+def _bounded(rows: DataFrame, prefix: str) -> DataFrame:
+    box = search_bounds(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    return prefixed(rows.withColumns(box), prefix)
+
+
+def extend(best: DataFrame, first: DataFrame, second: DataFrame, later: DataFrame, limit: float = TRIPLE_LIMIT) -> DataFrame:
+    """g, pos1, pos2, page_idx, pos, avg_sim: each match's best element of each later page.
+
+    It lies in the box around both elements' search boxes, has their tag and at
+    most MAX_TAGS tags, and its mean distance to both is under the limit.  A
+    match without one on a page has no row there.
+    """
+    one, two = _bounded(first, "a_"), _bounded(second, "b_")
+    pairs = best.select("g", "pos1", "pos2").join(one, (F.col("g") == F.col("a_g")) & (F.col("pos1") == F.col("a_pos"))).join(two, (F.col("g") == F.col("b_g")) & (F.col("pos2") == F.col("b_pos")))
+    box = pair_bounds("a_", "b_")
+    third = prefixed(later.filter(F.col("num_tags") <= MAX_TAGS), "c_")
+    inside = (F.col("c_x") <= box["x2"]) & (F.col("c_x") + BOX >= box["x1"]) & (F.col("c_y") <= box["y2"]) & (F.col("c_y") + BOX >= box["y1"])
+    met = pairs.join(third, (F.col("g") == F.col("c_g")) & (F.col("a_tag") == F.col("c_tag")) & inside)
+    scored = met.select("g", "pos1", "pos2", F.col("c_page_idx").alias("page_idx"), F.col("c_pos").alias("pos"), ((detail_similarity("a_", "c_") + detail_similarity("b_", "c_")) / 2).alias("avg_sim"))
+    top = Window.partitionBy("g", "pos1", "pos2", "page_idx").orderBy("avg_sim", "pos")
+    return scored.filter(F.col("avg_sim") < limit).withColumn("r", F.row_number().over(top)).filter("r = 1").drop("r")
 
 
 def drop_redundant(columns: DataFrame, key: str = "col_id", text: str = "text") -> DataFrame:
@@ -68,13 +88,15 @@ def gaps(columns: DataFrame, source: str = "html") -> DataFrame:
 
 
 def gap_groups(found: DataFrame) -> DataFrame:
-    """Gaps by their tags, with the number of gaps and pages."""
-    return found.withColumn("key", outer_key(F.col("gap"))).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+    """Gaps by their tags, with the number of gaps and pages, largest group first."""
+    return found.withColumn("key", outer_key(F.col("gap"))).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")).orderBy(F.desc("n"), "key")
 
 
 def first_of_equals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keeps the first row of those equal in keys."""
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("r = 1").drop("r")
+    """Keeps the first row of those equal in keys; partial minima leave little of a value that many rows share."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), order).alias("row")
+    return rows.groupBy(*keys).agg(first).select(*keys, "row.*").select(*rows.columns)
 
 
 #: Rows of gaps below are: key columns, page_idx, gap, y_low, y_high.
@@ -92,10 +114,10 @@ def split_gaps(found: DataFrame, keys: list[str]) -> DataFrame:
     than two do, the largest such group is read (`whole`).  Otherwise every gap
     is cut at the tags that all start or end with, where those are six or more.
     """
-    keyed = found.withColumn("tags", _tags()).withColumn("key", F.array_join("tags", "__"))
-    sizes = keyed.groupBy(*keys, "key").agg(F.count("*").alias("n"), F.min("page_idx").alias("first_idx"), F.first("tags").alias("tags"))
+    keyed = found.withColumn("tags", _tags()).withColumn("tag_key", F.array_join("tags", "__"))
+    sizes = keyed.groupBy(*keys, "tag_key").agg(F.count("*").alias("n"), F.min("page_idx").alias("first_idx"), F.first("tags").alias("tags"))
     fields = sizes.groupBy(*keys).agg(
-        F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("first_idx")).alias("early"), "key")).alias("top"), F.collect_list("tags").alias("all_tags"), F.min_by("tags", "first_idx").alias("lead")
+        F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("first_idx")).alias("early"), "tag_key")).alias("top"), F.collect_list("tags").alias("all_tags"), F.min_by("tags", "first_idx").alias("lead")
     )
     least = F.aggregate("all_tags", F.lit(2147483647), lambda m, t: F.least(m, F.size(t)))
 
@@ -108,9 +130,9 @@ def split_gaps(found: DataFrame, keys: list[str]) -> DataFrame:
         return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n == k - 1) & agree(k), k).otherwise(n))
 
     fields = fields.withColumns({"regular": ((F.col("kinds") == 1) & (F.col("top.n") > 1)) | (F.col("top.n") > 2), "head": run(False), "tail": run(True)})
-    rows = keyed.join(fields.select(*keys, "regular", "head", "tail", F.col("top.key").alias("top_key")), keys)
+    rows = keyed.join(fields.select(*keys, "regular", "head", "tail", F.col("top.tag_key").alias("top_key")), keys)
     kept = [*keys, "page_idx", "gap", "y_low", "y_high"]
-    whole = rows.filter(F.col("regular") & (F.col("key") == F.col("top_key"))).select(*kept, F.lit("whole").alias("part"))
+    whole = rows.filter(F.col("regular") & (F.col("tag_key") == F.col("top_key"))).select(*kept, F.lit("whole").alias("part"))
     pieces = F.split("gap", f"(?={TAG})")
     lead = (~F.rlike("gap", F.lit(f"^{TAG}"))).cast("int")
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("head") - 1 + lead), "")
@@ -179,33 +201,62 @@ def told_apart(columns: DataFrame, key: str = "col_id") -> DataFrame:
     return rows.groupBy(key).agg((F.countDistinct("fragments") > 1).alias("varies"), F.bool_or(F.exists("fragments", lambda v: F.rlike(v, F.lit(r"\d")))).alias("digit"))
 
 
-def find_columns(details: DataFrame, sources: DataFrame) -> DataFrame:
+def find_columns(details: DataFrame, sources: DataFrame, lines: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """All fields of sibling pages: matched elements and the texts between them.
 
-    details: g, page_idx and the elements of `match`; sources: g, page_idx, html.
-    Returns g, kind, col_id, page_idx, text, one row a page on which the field is.
+    details: g, page_idx, page_id and the elements of `match`; sources: g,
+    page_idx, html.  Any number of pages: fields are matched on the first two
+    and looked for on all others.  With recognised lines and words (page_id,
+    text, x, y, x2, y2) an element that is found in exactly one line takes its
+    width, and texts get boxes.  Of text columns that agree in all their texts
+    and corners one stays, the first by source position, then by corner.
+    Returns g, kind, col_id, page_idx, text, x, y, width, height, one row a page
+    on which the field is.
     """
-    page = [details.filter(F.col("page_idx") == n) for n in range(3)]
-    best = cut(best_matches(match(page[0], page[1])))
-    found = extend(best, *page).withColumn("col_id", F.concat_ws("-", "pos1", "pos2"))
-    cells = found.select("g", "col_id", F.posexplode(F.array("pos1", "pos2", "pos3")).alias("page_idx", "pos")).filter("pos is not null")
-    cells = cells.join(details.select("g", "page_idx", "pos", "outer_html", "x", "y", "width"), ["g", "page_idx", "pos"]).withColumn("key", F.concat_ws("#", "g", "col_id"))
+    page = [details.filter(F.col("page_idx") == n) for n in range(2)]
+    best = cut(best_matches(match(page[0], page[1]), page[1]))
+    later = extend(best, *page, details.filter("page_idx >= 2"))
+    ends = best.select("g", "pos1", "pos2", F.posexplode(F.array("pos1", "pos2")).alias("page_idx", "pos"))
+    cells = ends.unionByName(later.select(ends.columns)).withColumn("col_id", F.concat_ws("-", "pos1", "pos2")).drop("pos1", "pos2")
+    cells = cells.join(details.select("g", "page_idx", "page_id", "pos", "outer_html", "x", "y", "width", "height"), ["g", "page_idx", "pos"]).withColumn("key", F.concat_ws("#", "g", "col_id"))
     cells = cut(cells)
     kept = told_apart(cells, "key").filter("varies or digit").select("key")
-    cells = cut(cells.join(kept, "key", "left_semi")).join(sources, ["g", "page_idx"])
+    cells = cells.join(kept, "key", "left_semi")
+    if lines is not None:
+        cells = _recognised_widths(cells, lines)
+    cells = cut(cells)
+    elements = cells.select("g", F.lit("element").alias("kind"), "col_id", "page_idx", F.array_join(text_fragments(F.col("outer_html")), "\n").alias("text"), "x", "y", "width", "height")
+    cells = cells.join(sources, ["g", "page_idx"])
     placed = positions(cells, "key").join(cells.select("key", "g").distinct(), "key")
-    elements = cells.select("g", F.lit("element").alias("kind"), "col_id", "page_idx", F.array_join(text_fragments(F.col("outer_html")), "\n").alias("text"))
     mined = []
-    for order in (["avg_pos"], ["avg_y", "avg_x"]):
+    for way, order in enumerate((["avg_pos"], ["avg_y", "avg_x"])):
         before = F.lag("key").over(Window.partitionBy("g").orderBy(*order, "key"))
         steps = placed.withColumn("before", before).filter("before is not null").select("key", "before")
         here = cells.select("key", "g", "page_idx", "html", "y", "col_id", F.instr(F.col("html"), F.col("outer_html")).alias("at"))
         prior = here.select(F.col("key").alias("before"), "page_idx", F.col("at").alias("from_at"), F.col("y").alias("from_y"))
         both = here.join(steps, "key").join(prior, ["before", "page_idx"]).filter("at > 0 and from_at > 0")
         gap = F.trim(F.substr(F.col("html"), F.col("from_at"), F.greatest(F.lit(0), F.col("at") - F.col("from_at"))))
-        mined.append(both.select("g", "before", "key", "page_idx", gap.alias("gap"), F.least("y", "from_y").alias("y_low"), F.greatest("y", "from_y").alias("y_high")))
+        mined.append(both.select("g", "before", "key", "page_idx", gap.alias("gap"), F.least("y", "from_y").alias("y_low"), F.greatest("y", "from_y").alias("y_high"), F.lit(way).alias("way")))
     own = ["g", "before", "key"]
-    parts = cut(split_gaps(cut(mined[0].unionByName(mined[1]).distinct()), own))
-    texts = text_columns(parts, own)
-    between = texts.select("g", F.lit("text").alias("kind"), F.concat_ws("|", "before", "key", "part", F.col("col_index").cast("string")).alias("col_id"), "page_idx", "text")
+    gaps_of = cut(mined[0].unionByName(mined[1]).groupBy(*own, "page_idx", "gap", "y_low", "y_high").agg(F.min("way").alias("way")))
+    texts = text_columns(cut(split_gaps(gaps_of.drop("way"), own)), own).join(gaps_of.groupBy(*own).agg(F.min("way").alias("way")), own)
+    texts = texts.withColumn("col_id", F.concat_ws("|", "before", "key", "part", F.col("col_index").cast("string")))
+    corner = ["x", "y", "width", "height"]
+    if lines is not None and words is not None:
+        spoken = texts.join(details.select("g", "page_idx", "page_id").distinct(), ["g", "page_idx"]).withColumn("row_id", F.concat_ws("@", "col_id", "page_idx"))
+        texts = cut(spoken).join(locate_texts(cut(spoken), lines, words), "row_id", "left")
+    else:
+        texts = texts.withColumns({n: F.lit(None).cast("int") for n in corner})
+    texts = cut(texts.select("g", "col_id", "way", "page_idx", "text", *corner))
+    same = texts.groupBy("g", "col_id", "way").agg(F.array_sort(F.collect_list(F.struct("page_idx", "text", "x", "y"))).alias("cells"))
+    first = same.groupBy("g", "cells").agg(F.min(F.struct("way", "col_id")).alias("first")).select("g", "first.col_id")
+    between = texts.join(first, ["g", "col_id"], "left_semi").select("g", F.lit("text").alias("kind"), "col_id", "page_idx", "text", *corner)
     return elements.unionByName(between)
+
+
+def _recognised_widths(cells: DataFrame, lines: DataFrame, margin: int = 30) -> DataFrame:
+    """Elements that exactly one recognised line near them equals or begins with take its width."""
+    told = cells.select("key", "page_idx", "page_id", "y", F.lower(F.get(text_fragments(F.col("outer_html")), F.lit(0))).alias("told")).alias("e")
+    near = (F.col("l.page_id") == F.col("e.page_id")) & (F.col("l.y") <= F.col("e.y") + margin) & (F.col("l.y2") >= F.col("e.y") - margin) & F.startswith(F.lower("l.text"), F.col("e.told"))
+    found = told.join(lines.alias("l"), near).select("key", "page_idx", (F.col("x2") - F.col("x")).alias("width"))
+    return fix_widths(cells, found, ["key", "page_idx"])

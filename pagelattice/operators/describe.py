@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelattice.functions.layout import all_visible
+from pagelattice.functions.html import attributes, class_features
+from pagelattice.functions.styles import STYLE_KEYS
+from pagelattice.functions.urls import is_social
 
 
 def consolidate(feeds: Sequence[DataFrame], keys: Sequence[str] = ("page_id", "node_id")) -> DataFrame:
@@ -29,10 +31,6 @@ def new_elements(found: DataFrame, known: DataFrame, key: str = "node_id") -> Da
     return found.join(known.select(key).distinct(), key, "left_anti")
 
 
-def with_visibility(elements: DataFrame) -> DataFrame:
-    return elements.withColumn("all_visible", all_visible())
-
-
 def filter_invisible(elements: DataFrame) -> DataFrame:
     """Drops elements outside the page, without area or hidden; numbers the others anew."""
     gone = (F.col("spatial_visibility") == "OUTSIDE_PAGE") | F.endswith("spatial_visibility", F.lit("__ZERO_AREA")) | F.col("jquery_is_hidden")
@@ -40,36 +38,61 @@ def filter_invisible(elements: DataFrame) -> DataFrame:
     return kept.withColumn("index", F.row_number().over(Window.partitionBy("page_id").orderBy("index_original")) - 1)
 
 
-def style_frequency(styles: DataFrame, elements: int | None = None) -> DataFrame:
-    """k, v, frequency: share of the elements (page_id, idx) that have value v for key k."""
-    n = F.lit(elements) if elements else F.lit(styles.select("page_id", "idx").distinct().count())
-    return styles.groupBy("k", "v").agg((F.count("*") / n.cast("double")).alias("frequency"))
+def style_frequency(styles: DataFrame, elements: DataFrame) -> DataFrame:
+    """k, v, frequency: share of the elements that have value v for key k.  The number of elements is a scalar of the same plan."""
+    n = elements.agg(F.count("*").cast("double")).scalar()
+    return styles.groupBy("k", "v").agg(F.count("*").alias("n")).select("k", "v", (F.col("n") / n).alias("frequency"))
 
 
-def style_weight(styles: DataFrame, elements: int | None = None) -> DataFrame:
+def style_weight(styles: DataFrame, elements: DataFrame) -> DataFrame:
     """k, v, weight: rare values weigh more, none less than 0.12."""
     return style_frequency(styles, elements).select("k", "v", F.greatest(F.lit(1.0) - F.col("frequency"), F.lit(0.12)).alias("weight"))
 
 
-def number_repeats(rows: DataFrame, value: str, order: str, out: str = "name") -> DataFrame:
-    """The k-th occurrence of a value is named value__k; the first has no suffix."""
-    n = F.row_number().over(Window.partitionBy(value).orderBy(order))
+def number_repeats(rows: DataFrame, value: str, order: str, within: str = "page_id", out: str = "name") -> DataFrame:
+    """The k-th occurrence of a value in a page's list is named value__k; the first has no suffix."""
+    n = F.row_number().over(Window.partitionBy(within, value).orderBy(order))
     return rows.withColumn(out, F.when(n == 1, F.col(value)).otherwise(F.concat(F.col(value), F.lit("__"), n.cast("string"))))
 
 
-def feature_set(fields: dict[str, Column], ancestors: Column, tag_class: Column, classes: Column, attrs: Column, displayed: Column, url: Column, url_host: Column, url_type: Column) -> Column:
-    """Strings `key___value`.
+#: The fields whose features are `field___value`, in this order, with the columns that hold them.
+FEATURE_FIELDS = {"height": "height", "font-size": "font_size", "font-colour": "font_colour", "font-weight": "font_weight", "xpath_suffix": "xpath_suffix"}
+
+
+def feature_set() -> Column:
+    """The features of an element, strings `key___value`, each once.
 
-    Features of ancestors 0 to 2 hold the element's own classes and attributes
-    and say only that the ancestor exists.  `displayed` is named when false.
+    Features of ancestors 0 to 2 hold the element's own classes, attributes and
+    tag with classes, and say of the ancestor only that it exists.  `displayed`
+    is named unless true; the host only where there's a URL.
     """
-    pair = lambda k, v: F.concat(F.lit(f"{k}___"), v.cast("string"))
-    parts = [F.array(*[pair(k, v) for k, v in fields.items()])]
-    parts.append(F.when(~displayed, F.array(F.lit("driver__is_displayed___False"))).otherwise(F.array().cast("array<string>")))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    none = F.array().cast("array<string>")
+    parts = [F.array(*[text(f"{k}___", F.col(c).cast("string")) for k, c in FEATURE_FIELDS.items()])]
+    shown = F.col("driver_is_displayed")
+    parts.append(F.when(shown, none).otherwise(F.array(text("driver__is_displayed___", F.when(shown.isNull(), "None").otherwise("False")))))
+    parts.append(F.array(text("cssComputed__display___", F.col("css_display"))))
+    classes, attrs = class_features(F.col("outer_html")), F.filter(attributes(F.col("outer_html")), lambda x: x["key"] != "href")
+    named = lambda values, key, told: F.transform(values, lambda x: text(key, told(x)))
     for n in range(3):
-        own = [F.transform(classes, lambda c, n=n: pair(f"ancestor{n}__class", c)), F.transform(F.filter(attrs, lambda x: ~F.startswith(x, F.lit("href"))), lambda x, n=n: pair(f"ancestor{n}__attr", x))]
-        if n:
-            own.append(F.array(pair(f"ancestor{n}__tag_class", tag_class)))
-        parts.append(F.when(F.size(ancestors) > n, F.concat(*own)).otherwise(F.array().cast("array<string>")))
-    parts.append(F.when(url != "", F.array(pair("url_host", url_host), pair("url_type", url_type))).otherwise(F.array().cast("array<string>")))
+        own = [F.array(text(f"ancestor{n}__tag_class___", F.col("tag_class_str")))] if n else []
+        own.append(named(classes, f"ancestor{n}__classes___", lambda c: c))
+        own.append(named(attrs, f"ancestor{n}__attrs___", lambda x: F.concat(x["key"], F.lit("__"), x["value"])))
+        parts.append(F.when(F.col("n_ancestors") > n, F.concat(*own)).otherwise(none))
+    host = F.when(is_social(F.col("url")), "SOCIAL_HOST").otherwise(F.col("url_host"))
+    parts.append(F.when((F.col("url") != "") & host.isNotNull(), F.array(text("url_host___", host))).otherwise(none))
+    parts.append(F.array(text("url_type___", F.col("url_type"))))
     return F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda x: x.isNotNull())))
+
+
+def style_array(styles: Column) -> Column:
+    """A map of styles as an array in the order of the keys: '' where a key is missing, values cut at 100 characters."""
+    return F.array(*[F.substring(F.coalesce(F.try_element_at(styles, F.lit(k)), F.lit("")), 1, 100) for k in STYLE_KEYS])
+
+
+def interned_styles(elements: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, idx, k, n: each style that isn't blank as a number that its page gives to position and value; blank is -1."""
+    styles = elements.select(page, "idx", F.posexplode("css_array").alias("k", "v"))
+    number = F.dense_rank().over(Window.partitionBy(page).orderBy("k", "v")) - 1
+    told = styles.filter("v <> ''").select(page, "k", "v").distinct().withColumn("n", number)
+    return styles.join(told, [page, "k", "v"], "left").select(page, "idx", "k", F.coalesce("n", F.lit(-1)).alias("n"))

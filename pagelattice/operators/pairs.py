@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelattice.functions.distances import REGISTRY, combined
-from pagelattice.operators.components import connected_components
+from pagelattice.operators.components import components_within, connected_components
 
 EPS = 0.407
 
@@ -45,12 +45,9 @@ def clustered(distances: DataFrame, elements: DataFrame, names: Sequence[str], e
 
     With two samples a cluster is a connected component of the pairs within eps.
     """
-    span = 1 << 32
-    near = distances.filter(combined(*[F.col(n) for n in names]) <= eps)
-    edges = near.select((F.col(key) * span + F.col("i")).alias("a"), (F.col(key) * span + F.col("j")).alias("b"))
-    found = connected_components(edges).withColumn("cluster_key", F.pmod("component", F.lit(span)).cast("int"))
-    ids = elements.select(key, order).withColumn("node", F.col(key) * span + F.col(order))
-    return ids.join(found.select("node", "cluster_key"), "node", "left").select(key, order, "cluster_key")
+    told = distances.select(key, "i", "j", combined(*[F.col(n) for n in names]).alias("dist"))
+    found = components_within(told, key, "i", "j", "dist", eps).select(key, F.col("node").alias(order), F.col("component").cast(elements.schema[order].dataType).alias("cluster_key"))
+    return elements.select(key, order).join(found, [key, order], "left")
 
 
 def ranked(clusters: DataFrame, key: str = "page_id") -> DataFrame:

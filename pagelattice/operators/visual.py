@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from pagelattice.operators.pairs import pairs_within
+
 PIXELS = 5000
 
 
@@ -42,6 +44,23 @@ def compare_summaries(a: Column, b: Column, row: int = 50) -> Column:
     return F.lit(0.5) * unequal(a, b) + F.lit(0.25) * unequal(cut(a), b) + F.lit(0.25) * unequal(a, cut(b))
 
 
+@F.pandas_udf(DoubleType())
+def summary_difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    """compare_summaries of images of 50 pixels a row for whole batches; images of one size are stacked."""
+    out = np.full(len(a), np.nan)
+    sizes: dict[int, list[int]] = {}
+    for k, (x, y) in enumerate(zip(a, b)):
+        if x is not None and y is not None and len(x) == len(y) > 50:
+            sizes.setdefault(len(x), []).append(k)
+    for n, rows in sizes.items():
+        step = max(1, 2_000_000 // n)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            x, y = np.stack(a.iloc[some].to_list()), np.stack(b.iloc[some].to_list())
+            out[some] = 0.5 * (x != y).mean(1) + 0.25 * (x[:, 50:] != y[:, :-50]).mean(1) + 0.25 * (x[:, :-50] != y[:, 50:]).mean(1)
+    return pd.Series(out).where(~np.isnan(out), None)
+
+
 def visual_vote(summary: Column, histogram: Column, structure: Column, dummy: Column, photo: Column, dw: Column, dh: Column) -> Column:
     """0 same, 1 different, 0.5 unsure, by votes of the three measures."""
     votes = (
@@ -61,36 +80,48 @@ def cosine_matrix(n: int) -> np.ndarray:
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """Hex of the low 8 x 8 frequencies of a 32 x 32 grey image against their median without the first."""
     basis = cosine_matrix(32)[:8]
+    out = np.full(len(pixels), None, object)
+    at = np.flatnonzero([values is not None and len(values) == 1024 for values in pixels])
+    if len(at):
+        images = np.stack(pixels.iloc[at].to_list()).astype(float).reshape(-1, 32, 32)
+        low = (basis @ images @ basis.T).reshape(len(at), 64)
+        bits = low >= np.median(low[:, 1:], axis=1)[:, None]
+        out[at] = [f"{int.from_bytes(row.tobytes()):016x}" for row in np.packbits(bits, axis=1)]
+    return pd.Series(out)
 
-    def one(values) -> str | None:
-        if values is None or len(values) != 1024:
-            return None
-        low = (basis @ np.asarray(values, float).reshape(32, 32) @ basis.T).ravel()
-        return f"{int(''.join('1' if x >= np.median(low[1:]) else '0' for x in low), 2):016x}"
 
-    return pixels.map(one)
+def ssim(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Mean SSIM with a uniform 7 x 7 window of each pair of stacked grey images."""
 
+    def box(v: np.ndarray) -> np.ndarray:
+        total = np.pad(v, ((0, 0), (1, 0), (1, 0))).cumsum(1).cumsum(2)
+        return (total[:, 7:, 7:] - total[:, :-7, 7:] - total[:, 7:, :-7] + total[:, :-7, :-7]) / 49
 
-@F.pandas_udf(DoubleType())
-def structural_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """SSIM with a uniform 7 x 7 window of two grey images of equal size and given width."""
+    mx, my = box(x), box(y)
+    k = 49 / 48
+    vx, vy, cov = k * (box(x * x) - mx * mx), k * (box(y * y) - my * my), k * (box(x * y) - mx * my)
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return (((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean((1, 2))
 
-    def box(x: np.ndarray) -> np.ndarray:
-        total = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-        return (total[7:, 7:] - total[:-7, 7:] - total[7:, :-7] + total[:-7, :-7]) / 49
 
-    def one(a, b, width) -> float | None:
-        if a is None or b is None or len(a) != len(b) or not width or width < 7 or len(a) // width < 7:
-            return None
-        x, y = (np.asarray(v, float)[: len(v) // width * width].reshape(-1, width) for v in (a, b))
-        mx, my = box(x), box(y)
-        k = 49 / 48
-        vx, vy, cov = k * (box(x * x) - mx * mx), k * (box(y * y) - my * my), k * (box(x * y) - mx * my)
-        c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-        return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+@F.pandas_udf(DoubleType())
+def structural_similarity(a: pd.Series, wide1: pd.Series, b: pd.Series, wide2: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """SSIM of the top left width x height pixels of two flat grey images of given widths; null where there's none.
 
-    for a, b, width in batches:
-        yield pd.Series([one(*row) for row in zip(a, b, width)], dtype="float64")
+    Pairs of one size are stacked, so that a batch takes a few array operations.
+    """
+    out = np.full(len(a), np.nan)
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y, w, h) in enumerate(zip(a, b, width, height)):
+        if x is not None and y is not None and w >= 7 and h >= 7:
+            sizes.setdefault((int(w), int(h)), []).append(k)
+    for (w, h), rows in sizes.items():
+        step = max(1, 500_000 // (w * h))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            x, y = (np.stack([np.asarray(g[k], float).reshape(-1, int(wide[k]))[:h, :w] for k in some]) for g, wide in ((a, wide1), (b, wide2)))
+            out[some] = ssim(x, y)
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
 def compare_colours(histogram: Column, summary: Column, factor: Column, area1: Column, area2: Column) -> Column:
@@ -107,17 +138,11 @@ def sizes_comparable(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
     return near & (F.least(w1, h1, w2, h2) >= 7)
 
 
-def cropped(pixels: Column, width: Column, w: Column, h: Column) -> Column:
-    """The top left w x h pixels of a flat image."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda row: F.slice(pixels, row * width + 1, w)))
-
-
 def compare_structure(a: str, b: str) -> Column:
     """1 - SSIM of the part both grey crops have; null where the sizes differ too much."""
     (w1, h1, g1), (w2, h2, g2) = ([F.col(f"{side}{n}") for n in ("width", "height", "grey")] for side in (a, b))
-    w, h, ok = F.least(w1, w2), F.least(h1, h2), sizes_comparable(w1, h1, w2, h2)
-    part = lambda g, own: F.when(ok, cropped(g, own, w, h))
-    return F.lit(1.0) - structural_similarity(part(g1, w1), part(g2, w2), w)
+    ok = sizes_comparable(w1, h1, w2, h2)
+    return F.lit(1.0) - structural_similarity(F.when(ok, g1), w1, F.when(ok, g2), w2, F.least(w1, w2), F.least(h1, h2))
 
 
 def visual_cascade(colours: Column, structure: Column) -> Column:
@@ -177,3 +202,16 @@ def crop_elements(elements: DataFrame, screens: DataFrame, side: int = 50, colou
     joined = elements.join(screens.select("page_id", F.col("width").alias("screen_width"), "image", "palette", "indices"), "page_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
     return joined.mapInPandas(crop, f"{fields}, {CROP}")
+
+
+def visual_pairs(crops: DataFrame, key: str = "page_id", order: str = "idx") -> DataFrame:
+    """Every pair of a page's crops: summary, histogram and structure, and visually_similar by their votes."""
+    pairs = pairs_within(crops.withColumn("area", F.col("width") * F.col("height")), key, order)
+    c = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
+    measured = pairs.select(
+        F.col(f"a_{key}").alias(key), F.col(f"a_{order}").alias("i"), F.col(f"b_{order}").alias("j"), summary_difference(*c("pixels")).alias("summary"), hist_difference(*c("histogram")).alias("histogram"), compare_structure("a_", "b_").alias("structure"),
+        (F.col("a_dummy") | F.col("b_dummy")).alias("dummy"), (F.coalesce(F.col("a_is_photo"), F.lit(False)) & F.coalesce(F.col("b_is_photo"), F.lit(False))).alias("photo"),
+        F.abs(F.col("a_width") - F.col("b_width")).alias("dw"), F.abs(F.col("a_height") - F.col("b_height")).alias("dh"),
+    )
+    vote = visual_vote(*[F.col(n) for n in ("summary", "histogram", "structure", "dummy", "photo", "dw", "dh")])
+    return measured.select(key, "i", "j", "summary", "histogram", "structure", vote.alias("visually_similar"))

@@ -32,8 +32,8 @@ def query(sql: str | None) -> Callable:
     return register
 
 
-def _siblings_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.details(spark, sf_dir).join(X.siblings(spark, sf_dir), "page_id")
+def _siblings_details(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
+    return X.details(spark, sf_dir).join(X.siblings(spark, sf_dir, most), "page_id")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,10 @@ def w7_text_columns(spark, sf_dir):
 
 @query(None)
 def w10_find_columns(spark, sf_dir):
-    """All fields of each host's sibling pages."""
-    sources = X.siblings(spark, sf_dir).join(_sources(spark, sf_dir), "page_id").select("g", "page_idx", "html")
-    return W.find_columns(_siblings_details(spark, sf_dir).drop("page_id"), sources)
+    """All fields of the first five sibling pages of each host."""
+    sources = X.siblings(spark, sf_dir, 5).join(_sources(spark, sf_dir), "page_id").select("g", "page_idx", "html")
+    texts, lines, words = _spoken(spark, sf_dir)
+    return W.find_columns(_siblings_details(spark, sf_dir, 5), sources, lines, words)
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,7 +141,7 @@ _POINT = """case when p.v = '' and q.v = '' then null when p.v = q.v then least(
 def c4d_weighted_styles(spark, sf_dir):
     """Weights are joined once an element, before pairs are made."""
     styles = X.elements(spark, sf_dir, X.STYLES).select("page_id", "idx", F.posexplode("css_array").alias("k", "v"))
-    weighed = styles.join(describe.style_weight(styles), ["k", "v"]).groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "v", H("weight").alias("w")))).alias("s"))
+    weighed = styles.join(describe.style_weight(styles, X.elements(spark, sf_dir, X.RECT)), ["k", "v"]).groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "v", H("weight").alias("w")))).alias("s"))
     rows = weighed.select("page_id", "idx", F.transform("s", lambda s: F.struct(F.when(s["v"] != "", s["v"]).alias("v"), s["w"].alias("w"))).alias("styles"))
     return P.measured(P.pairs_within(rows), {"distance": D.compare_weighted_styles}).withColumn("distance", F.round("distance", 6))
 
@@ -228,16 +229,3 @@ def k6_too_few_urls(spark, sf_dir):
     rows = read_table(spark, sf_dir, "pages").filter("url <> ''").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("g"), "page_id")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("page_id"))).filter("r <= 3")
     return first.groupBy("g").agg(F.count("*").alias("n"), (F.count("*") < 2).alias("failed"))
-
-
-@query(f"""with {O._LINK_DESC}, sets as (select page_id, array_to_string(list_sort(list_distinct(list(url))), ' ') as urls from d group by page_id)
-    select a.page_id, a.urls = b.urls as same from sets a join sets b on b.page_id = a.page_id + 1""")
-def a8_same_urls(spark, sf_dir):
-    sets = X.described_links(X.links(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
-    return sets.alias("a").join(sets.select((H("page_id") - 1).alias("page_id"), H("urls").alias("next")), "page_id").select("page_id", (H("urls") == H("next")).alias("same"))
-
-
-@query(f"with {O._SIB} select g, string_agg(cast(page_idx as varchar) || ':' || cast(pos as varchar), '|' order by page_idx, pos) as cells from sib group by g")
-def k4_column_update(spark, sf_dir):
-    rows = _siblings_details(spark, sf_dir).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("page_idx", "pos"))).alias("c"))
-    return rows.select("g", F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["page_idx"].cast("string"), c["pos"].cast("string"))), "|").alias("cells"))

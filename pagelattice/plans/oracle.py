@@ -80,10 +80,11 @@ _REACH = """near as (select page_id, i as a, j as b from dists where dist <= 0.4
     keyed as (select page_id, a as idx, min(b) as cluster_key from reach group by page_id, a)"""
 
 _DETAIL = rf"""found as (select page_id, i - 1 as pos, x[i] as h from (select page_id, regexp_extract_all(html, '(?is)<h1\b[^>]*>.*?</h1>|<p\b[^>]*>.*?</p>|<li\b[^>]*>.*?</li>|<footer\b[^>]*>.*?</footer>') as x from pages), unnest(range(1, len(x) + 1)) as t(i)),
-    detail as (select page_id, cast(pos as int) as pos, {_TAG.format("h")} as tag, h, {_NO_CONTENT.format("h")} as nc, {_START.format("h")} as st, 40 as x, cast(71 + 60 * pos as int) as y, cast(least(1200, 8 * length({_TEXT.format("h")})) as int) as width, 20 as height
+    detail as (select page_id, cast(pos as int) as pos, {_TAG.format("h")} as tag, h, {_NO_CONTENT.format("h")} as nc, {_START.format("h")} as st, cast(round_even((length(h) - length(replace(h, '<', ''))) / 2.0, 0) as int) as num_tags, 40 as x, cast(71 + 60 * pos as int) as y, cast(least(1200, 8 * length({_TEXT.format("h")})) as int) as width, 20 as height
         from found where 71 + 60 * pos > 70 and 71 + 60 * pos < 1700)"""
 _SIBLINGS = """placed as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as g from pages),
-    siblings as (select g, page_id, cast(row_number() over (partition by g order by page_id) - 1 as int) as page_idx from placed where g in (select g from placed group by g having count(*) >= 3) qualify page_idx < 3)"""
+    five as (select g, page_id, cast(row_number() over (partition by g order by page_id) - 1 as int) as page_idx from placed where g in (select g from placed group by g having count(*) >= 3) qualify page_idx < 5),
+    siblings as (select * from five where page_idx < 3)"""
 
 
 # levenshtein counts bytes there: letters beyond ASCII get one byte each
@@ -95,17 +96,21 @@ def _edits(a: str, b: str) -> str:
     return f"levenshtein(translate({a}, '{_WIDE}', {_BYTES}), translate({b}, '{_WIDE}', {_BYTES}))"
 
 
-def _detail_pairs(name: str, p: int, q: int) -> str:
-    return f"""{name} as (select a.g, a.pos as pos1, b.pos as pos2, round(case when greatest(length(a.nc), length(b.nc)) = 0 then 0.0 else {_edits('a.nc', 'b.nc')} / cast(greatest(length(a.nc), length(b.nc)) as double) end
-        * (case when abs(a.x-b.x) < 10 then case when abs(a.y-b.y) < 40 then 0.85 else 0.95 end else 1.0 end) * (case when abs(a.height-b.height) < 3 then 0.9 else 1.0 end) * (case when a.st = b.st then 0.9 else 1.1 end), 6) as sim
-        from sib a join sib b on a.g = b.g and a.tag = b.tag and a.page_idx = {p} and b.page_idx = {q}
+def _detail_distance(a: str, b: str) -> str:
+    return f"""(case when greatest(length({a}.nc), length({b}.nc)) = 0 then 0.0 else {_edits(f'{a}.nc', f'{b}.nc')} / cast(greatest(length({a}.nc), length({b}.nc)) as double) end
+        * (case when abs({a}.x-{b}.x) < 10 then case when abs({a}.y-{b}.y) < 40 then 0.85 else 0.95 end else 1.0 end) * (case when abs({a}.height-{b}.height) < 3 then 0.9 else 1.0 end) * (case when {a}.st = {b}.st then 0.9 else 1.1 end))"""
+
+
+def _detail_pairs(name: str) -> str:
+    return f"""{name} as (select a.g, a.pos as pos1, b.pos as pos2, round({_detail_distance('a', 'b')}, 6) as sim
+        from sib a join sib b on a.g = b.g and a.tag = b.tag and a.page_idx = 0 and b.page_idx = 1 and a.num_tags <= 8
         and b.x <= a.x + a.width + 50 and b.x + 15 >= greatest(0, a.x - 30) and b.y <= a.y + a.height + 160 and b.y + 15 >= greatest(0, a.y - 160))"""
 
 
 _SIB = f"{_DETAIL}, {_SIBLINGS}, sib as (select g, page_idx, detail.* from detail join siblings using (page_id))"
-_MATCH = f"""{_SIB}, {_detail_pairs("scored", 0, 1)}, matches as (select * from scored where sim < 0.24)"""
+_MATCH = f"""{_SIB}, {_detail_pairs("scored")}, matches as (select * from scored where sim < 0.24)"""
 _BEST = f"""{_MATCH}, one as (select * from matches qualify row_number() over (partition by g, pos1 order by sim, pos2) = 1),
-    two as (select * from matches m where not exists (select 1 from one o where o.g = m.g and o.pos2 = m.pos2) qualify row_number() over (partition by g, pos2 order by sim, pos1) = 1),
+    two as (select * from matches m where not exists (select 1 from one o where o.g = m.g and o.pos2 = m.pos2) and (g, pos2) in (select (g, pos) from sib where page_idx = 1 and num_tags <= 8) qualify row_number() over (partition by g, pos2 order by sim, pos1) = 1),
     best as (select * from one union all select * from two)"""
 _GAPS = f"""{_DETAIL}, at_pos as (select d.page_id, d.pos, instr(p.html, d.h) as p, p.html from detail d join pages p using (page_id)),
     lagged as (select *, lag(p) over (partition by page_id order by pos) as before from at_pos where p > 0),
@@ -134,17 +139,12 @@ ORACLE_SQL: dict[str, str] = {
     "p5_img_type": "select page_id, case when contains(lower(html), '<img') then 'IMG' when contains(lower(html), 'background-image: url(') then 'BACKGROUND_IMG' else '' end as img_type from pages",
     "p6_class_attr_str": f"select doc_id, '[''' || array_to_string(list_sort({_CLASS}), ''', ''') || ''']' as class_str from documents",
     "p8_tags_key": "select page_id, array_to_string([lower(v) for v in regexp_extract_all(html, '<([a-zA-Z0-9]+)', 1) if lower(v) <> 'br'], '__') as tags_key from pages",
-    "p9_parent": f"with {_LINKS} select page_id, idx, 'li' as parent_tag, '<li>' as parent_start_tag from links",
-    "p10_xpath_suffix": f"with {_LINKS} select page_id, idx, case when idx < 100 then 'nav/ul/li/a' else 'nav/ul/li[' || cast(idx as varchar) || ']/a' end as xpath_suffix from links",
     "p12_rect_round": f"with {_RECT} select page_id, idx, cast(round_even(x/2.0, 0) as int) as x, cast(round_even(y/2.0, 0) as int) as y, cast(round_even(width/2.0, 0) as int) as width, cast(round_even(height/2.0, 0) as int) as height, cast(round_even(width*height/4.0, 0) as int) as area from rect",
     "p13_spatial_visibility": f"""with {_RECT}, {_SHIFT} select page_id, idx, (case when x >= 0 and y >= 0 then 'IN_PAGE' when x < 0 and x + width <= 0 then 'OUTSIDE_PAGE' when y < 0 and y + height <= 0 then 'OUTSIDE_PAGE'
         when x < 0 then {_PART.format('x', 'width')} else {_PART.format('y', 'height')} end) || case when width = 0 or height = 0 then '__ZERO_AREA' else '' end as spatial_visibility from shifted""",
-    "p15_css_array": f"with {_CSS} select page_id, idx, array_to_string(c, '|') as css from css",
     "p18_all_visible": f"with {_VIS} select page_id, idx, all_visible from vis",
     "p19_url_derive": rf"select page_id, case when regexp_matches(lower(url), '\.(png|jpe?g|gif|svg|webp)([?#].*)?$') then 'IMAGE' when url = '' then '' else 'WEBPAGE' end as url_type, case when url = '' then '' else {_HOST.format('url')} end as url_host, lower(url) as url_lower from pages",
     "p20_url_flags": r"select page_id, contains(url, 'maps.google') or regexp_matches(url, 'google\.[a-z\.]{2,6}/maps/') as is_google_map, regexp_matches(url, 'eventbrite\.[a-z\.]{2,6}/e/') as is_eventbrite, contains(url, 'event') and not ends_with(rtrim(split_part(url, '?', 1), '/'), 'events') as contains_event from pages",
-    "p23_url_params": r"with q as (select page_id, regexp_extract(url, '\?([^#]*)', 1) as q from pages) select page_id, case when not contains(q, '=') then q else array_to_string(list_sort(list_distinct([split_part(v, '=', 1) for v in string_split(q, '&')])), ',') end as names from q",
-    "p24_feature_set": f"with {_FEAT} select page_id, idx, array_to_string(f, '|') as features from feat",
     "p28_search_bounds": f"with {_RECT}, {_SHIFT} select page_id, idx, greatest(0, x-30) as x1, greatest(0, y-160) as y1, x+width+50 as x2, y+height+160 as y2 from shifted",
     "p29_pair_bounds": f"with {_RECT} select a.page_id, a.idx as i, b.idx as j, greatest(0, least(a.x, b.x)-30) as x1, greatest(0, least(a.y, b.y)-160) as y1, greatest(a.x+a.width, b.x+b.width)+50 as x2, greatest(a.y+a.height, b.y+b.height)+160 as y2 from rect a join rect b on {_SAME_PAGE}",
     "p30_text_fragments": f"with {_LINKS} select page_id, idx, {_FRAGMENT_TEXT.format('h')} as text from links",
@@ -155,7 +155,7 @@ ORACLE_SQL: dict[str, str] = {
     "f2_viewport": f"with {_DETAIL} select page_id, pos, tag, y, width from detail",
     "f5_redundant": rf"""with {_SIB}, texts as (select g || '#' || cast(pos as varchar) as col_id, page_idx, {_FRAGMENT_TEXT.format('h')} as text from sib)
         select * from texts where col_id in (select col_id from texts group by col_id having count(distinct text) > 1 or (count(distinct text) = 1 and bool_or(regexp_matches(text, '\d'))))""",
-    "f7_relevant_pairs": f"with {_RECT} select a.page_id, a.idx as i, b.idx as j, cast({_C1} as double) as areas_similar from box a join box b on {_SAME_PAGE} where a.idx % 7 = 0 and b.idx = a.idx + 1",
+    "f7_relevant_pairs": f"with {_RECT} select a.page_id, a.idx as i, b.idx as j, cast({_C1} as double) as areas_similar from box a join box b on {_SAME_PAGE} where b.idx = a.idx + 1",
     "f10_triage": "with v as (select l_orderkey, l_linenumber, cast(l_discount * 5 as double) as c, cast(l_tax * 6 as double) as s from lineitem) select l_orderkey, l_linenumber, case when c < 0.25 or (s <> 0 and s < 0.3) then 'similar' when c > 0.33 or (s <> 0 and s > 0.33) then 'different' else 'ambiguous' end as triage from v",
     "c1_areas_similar": _pairs(_RECT, "box", _C1),
     "c2_area_alignment": _pairs(_RECT, "box", _C2),
@@ -174,14 +174,20 @@ ORACLE_SQL: dict[str, str] = {
     "c6_quick_overlap": _pairs(_LINKS, "links", "case when length(a.h) + length(b.h) = 0 then 0.0 else 1.0 - 2.0 * list_sum([least(length(a.h) - length(replace(a.h, c, '')), length(b.h) - length(replace(b.h, c, ''))) for c in list_distinct(string_split(a.h, ''))]) / (length(a.h) + length(b.h)) end"),
     "c10_url_similarity": _pairs(_LINK_DESC, "d", "case when a.url = '' or b.url = '' then case when a.url = b.url then 0.0 else 1.0 end when a.url = b.url then 0.0 else 0.3 end"),
     "c11_navigation": _pairs(_LINKS, "links", "case when a.idx % 3 = 0 and b.idx % 3 = 0 then 0.0 when a.idx % 3 = 0 or b.idx % 3 = 0 then 1.0 else 0.5 end"),
-    "c14_detail_similarity": f"with {_SIB}, {_detail_pairs('scored', 0, 1)} select * from scored",
+    "c14_detail_similarity": f"with {_SIB}, {_detail_pairs('scored')} select * from scored",
     "w1_match": f"with {_MATCH} select * from matches",
     "w2_top1": f"with {_BEST} select * from best",
-    "w3_extend": f"""with {_BEST}, {_detail_pairs('s13', 0, 2)}, {_detail_pairs('s23', 1, 2)}, both_sims as (
-        select b.g, b.pos1, b.pos2, x.pos2 as pos3, (x.sim + y.sim) / 2 as v from best b join s13 x on x.g = b.g and x.pos1 = b.pos1 join s23 y on y.g = b.g and y.pos1 = b.pos2 and y.pos2 = x.pos2 where (x.sim + y.sim) / 2 < 0.25
-        qualify row_number() over (partition by b.g, b.pos1, b.pos2 order by (x.sim + y.sim) / 2, x.pos2) = 1)
-        select b.g, b.pos1, b.pos2, pos3, round(v + 1e-9, 4) as avg_sim from best b left join both_sims t using (g, pos1, pos2)""",
-    "w5_order": f"with {_BEST} select g, pos1, pos2, cast(row_number() over (partition by g order by (pos1 + pos2) / 2.0, pos1, pos2) as int) as by_pos from best",
+    "w3_extend": f"""with {_BEST}, all_pages as (select g, page_idx, detail.* from detail join five using (page_id)),
+        boxed as (select *, greatest(0, x - 30) as x1, greatest(0, y - 160) as y1, x + width + 50 as x2, y + height + 160 as y2 from all_pages),
+        met as (select p.g, p.pos1, p.pos2, c.page_idx, c.pos, ({_detail_distance('a', 'c')} + {_detail_distance('b', 'c')}) / 2 as v
+            from best p join boxed a on a.g = p.g and a.pos = p.pos1 and a.page_idx = 0 join boxed b on b.g = p.g and b.pos = p.pos2 and b.page_idx = 1
+            join boxed c on c.g = p.g and c.tag = a.tag and c.page_idx >= 2 and c.num_tags <= 8
+                and c.x <= greatest(a.x2, b.x2) and c.x + 15 >= least(a.x1, b.x1) and c.y <= greatest(a.y2, b.y2) and c.y + 15 >= least(a.y1, b.y1))
+        select g, pos1, pos2, page_idx, pos, round(v + 1e-9, 4) as avg_sim from met where v < 0.25 qualify row_number() over (partition by g, pos1, pos2, page_idx order by v, pos) = 1""",
+    "w5_order": f"""with {_BEST}, cells as (select g, pos1, pos2, 0 as page_idx, pos1 as pos from best union all select g, pos1, pos2, 1, pos2 from best),
+        spots as (select c.g, pos1, pos2, avg(case when instr(p.html, h) > 0 then cast(instr(p.html, h) - 1 as double) end) as avg_pos, avg(cast(y as double)) as avg_y, avg(cast(x as double)) as avg_x
+            from cells c join sib s on s.g = c.g and s.page_idx = c.page_idx and s.pos = c.pos join pages p using (page_id) group by 1, 2, 3)
+        select g, pos1, pos2, cast(row_number() over (partition by g order by avg_pos nulls first, pos1, pos2) as int) as by_pos, cast(row_number() over (partition by g order by avg_y, avg_x, pos1, pos2) as int) as by_corner from spots""",
     "w6_gap_mining": f"with {_GAPS} select page_id, pos, cast(length(gap) as int) as gap_chars, md5(gap) as gap_md5 from gaps",
     "w6_gap_groups": f"with {_GAPS} select array_to_string(regexp_extract_all(gap, '</?[a-zA-Z0-9]+'), '__') as key, count(*) as n, count(distinct page_id) as pages from gaps group by 1",
     "w12_dedup": f"with {_DETAIL}, t as (select {_FRAGMENT_TEXT.format('h')} as text, x, page_id * 100000 + pos as place from detail) select text, x, min(place) as place from t group by text, x",
@@ -191,8 +197,6 @@ ORACLE_SQL: dict[str, str] = {
     "a5_combine": f"with {_ALL} select page_id, i, j, round(dist, 6) as dist from dists",
     "flagship_clusters": f"with recursive {_ALL}, {_REACH}, sizes as (select page_id, cluster_key, count(*) as size from keyed group by page_id, cluster_key) select *, cast(row_number() over (partition by page_id order by size desc, cluster_key) as int) as cluster_rank from sizes",
     "g4_leftovers": f"with recursive {_ALL}, {_REACH} select page_id, idx from rect where not exists (select 1 from keyed k where k.page_id = rect.page_id and k.idx = rect.idx)",
-    "a6_cluster_stats": f"""with recursive {_ALL}, {_REACH} select page_id, cluster_key, count(*) as length, round(avg(cast(area as double)), 6) as avg_area, bool_or(driver_is_displayed) as any_displayed, bool_and(all_visible) as all_visible,
-        string_agg(cast(idx as varchar), ',' order by idx) as node_ids from keyed join box using (page_id, idx) join vis using (page_id, idx) group by page_id, cluster_key""",
     "a7_avg_similarity": f"""with recursive {_ALL}, {_REACH}, mirrored as (select page_id, i as idx, j as other, round(dist, 6) as dist from dists union all select page_id, j, i, round(dist, 6) from dists)
         select m.page_id, m.idx, round(avg(dist) + 1e-8, 4) as avg_dist from mirrored m join keyed p on p.page_id = m.page_id and p.idx = m.idx join keyed q on q.page_id = m.page_id and q.idx = m.other where p.cluster_key = q.cluster_key group by m.page_id, m.idx""",
     "g1_url_clusters": f"with {_LINKS}, n as (select page_id, count(*) as n from links group by page_id) select page_id, idx, cast(case when n > 1 then 0 end as int) as cluster_key from links join n using (page_id)",
@@ -201,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
         reach as (select node as a, node as b from core union select r.a, w.b from reach r join inner_edges w on w.a = r.b), own as (select a as node, min(b) as component from reach group by a),
         border as (select w.a as node, min(o.component) as touch from both_ways w join own o on o.node = w.b group by w.a)
         select vec_id, coalesce(component, touch) as cluster from embeddings left join own on own.node = vec_id left join border on border.node = vec_id""",
-    "a13_hash_suffix": f"with {_LINKS}, r as (select page_id, idx, md5(h) as hash, row_number() over (partition by md5(h) order by page_id * 100000 + idx) as n from links) select page_id, idx, case when n = 1 then hash else hash || '__' || cast(n as varchar) end as name from r",
+    "a13_hash_suffix": f"with {_LINKS}, r as (select page_id, idx, md5(h) as hash, row_number() over (partition by page_id, md5(h) order by idx) as n from links) select page_id, idx, case when n = 1 then hash else hash || '__' || cast(n as varchar) end as name from r",
     "a14_eval_stats": f"with {_EVAL} select name, round(corr(old, new), 6) as corr, round((var_samp(old) + var_samp(new) + 2.0 * covar_samp(old, new)) / 4, 6) as cov, round(1 - avg(case when abs(old - new) > 0.25 then cast(1 as double) else cast(0 as double) end), 6) as score from ev group by name",
     "a15_adjusted_agreement": f"with {_EVAL}, t as (select name, old, least(1.0, new * case when l_linenumber % 2 = 0 then cast(0.85 as double) else cast(1.08 as double) end) as new from ev) select name, round(corr(old, new), 6) as corr, round(avg(abs(old - new)), 6) as mean_error from t group by name",
     "a17_discrepancy": f"with {_EVAL} select name, count(*) as n, count(*) filter (where abs(old - new) > 0.035) as n_discrepant from ev group by name",
@@ -211,7 +215,4 @@ ORACLE_SQL: dict[str, str] = {
     "k3_element_update": f"with {_LINKS} select page_id, string_agg(cast(idx as varchar) || ':' || {_TAG.format('h')} || ':' || {_TEXT.format('h')}, '|' order by idx) as elements from links group by page_id",
     "v4_hist_difference": f"with {_HIST} select a.vec_id as a_vec_id, b.vec_id as b_vec_id, round(cast({_HIST_DIFF} as double), 6) as difference from hist a join hist b on a.page_id = b.page_id and a.vec_id < b.vec_id",
     "v5_dimensions_factor": f"with {_RECT} select a.page_id, a.idx as i, b.idx as j, cast(case when abs(a.height-b.height) < 3 and abs(a.width-b.width) < 3 then case when a.height = b.height then case when a.width = b.width then 0.9 else 0.93 end else 0.97 end end as double) as factor from box a join box b on {_SAME_PAGE}",
-    "v9_visual_vote": f"""with {_HIST}, d as (select a.vec_id as a_vec_id, b.vec_id as b_vec_id, cast({_HIST_DIFF} as double) as h from hist a join hist b on a.page_id = b.page_id and a.vec_id < b.vec_id),
-        t as (select *, (3.0 - (1.0 + case when h < 0.17 then 1.0 when h > 0.9 then -0.5 else 0.0 end)) / 4.5 as answer from d)
-        select a_vec_id, b_vec_id, cast(case when a_vec_id % 11 = 0 then 0.5 when a_vec_id % 5 = 0 and b_vec_id % 5 = 0 then 0.0 when answer < 0.24 then 0.0 when answer > 0.76 then 1.0 else 0.5 end as double) as vote from t""",
 }

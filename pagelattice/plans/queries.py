@@ -71,16 +71,11 @@ _scalar("p4_text_has_date", _docs, ["doc_id"], lambda: {"label": text.text_has_d
 _scalar("p5_img_type", _pages, ["page_id"], lambda: {"img_type": html.img_type(F.lower("html"))})
 _scalar("p6_class_attr_str", _docs, ["doc_id"], lambda: {"class_str": html.class_attr_str(F.concat(F.lit('<a class="Active b2 '), H("lang"), F.lit(" "), H("source"), F.lit('">')))})
 _scalar("p8_tags_key", _pages, ["page_id"], lambda: {"tags_key": html.tags_key(H("html"))})
-_scalar("p9_parent", X.links, _LINK, lambda: {"parent_tag": html.tag_name(F.concat(F.lit("<li>"), H("outer_html"), F.lit("</li>"))), "parent_start_tag": html.start_tag(F.concat(F.lit("<li>"), H("outer_html"), F.lit("</li>")))})
-_scalar("p10_xpath_suffix", X.links, _LINK, lambda: {"xpath_suffix": F.array_join(F.slice(F.split(F.regexp_replace(F.concat(F.lit("/html/body[1]/nav/ul/li["), H("idx").cast("string"), F.lit("]/a")), r"\[\d{1,2}\]", ""), "/"), -4, 4), "/")})
 _scalar("p12_rect_round", _rects, _LINK, lambda: {n: layout.rounded_rect(H("x") / 2, H("y") / 2, H("width") / 2, H("height") / 2)[n] for n in ("x", "y", "width", "height", "area")})
 _scalar("p13_spatial_visibility", _shifted, _LINK, lambda: {"spatial_visibility": layout.spatial_visibility(H("x"), H("y"), H("width"), H("height"))})
-_scalar("p15_css_array", lambda s, d: X.elements(s, d, X.STYLES), _LINK, lambda: {"css": F.array_join("css_array", "|")})
 _scalar("p18_all_visible", lambda s, d: X.elements(s, d, X.VISIBILITY), _LINK, lambda: {"all_visible": layout.all_visible()})
 _scalar("p19_url_derive", _pages, ["page_id"], lambda: {n: urls.described(H("url"))[n] for n in ("url_type", "url_host", "url_lower")})
 _scalar("p20_url_flags", _pages, ["page_id"], lambda: {"is_google_map": urls.is_google_map(H("url")), "is_eventbrite": urls.is_eventbrite(H("url")), "contains_event": urls.contains_event(H("url"))})
-_scalar("p23_url_params", _pages, ["page_id"], lambda: {"names": urls.url_param_names(H("url"))})
-_scalar("p24_feature_set", lambda s, d: X.elements(s, d, X.FEATURES), _LINK, lambda: {"features": F.array_join("feature_set", "|")})
 _scalar("p28_search_bounds", _shifted, _LINK, lambda: layout.search_bounds(H("x"), H("y"), H("width"), H("height")))
 _scalar("p30_text_fragments", X.links, _LINK, lambda: {"text": html.fragment_text(H("outer_html"))})
 _scalar("p31_scale", _rects, _LINK, lambda: {"x": layout.scaled(H("x"), 0.25), "y": layout.scaled(H("y"), 0.25)})
@@ -113,7 +108,8 @@ def f5_redundant(spark, sf_dir):
 @query
 def f7_relevant_pairs(spark, sf_dir):
     pairs = P.measured(P.pairs_within(_rects(spark, sf_dir)), {"areas_similar": D.areas_similar})
-    chosen = _rects(spark, sf_dir).filter("idx % 7 = 0").select("page_id", (H("idx") + 1).alias("i"), H("idx").alias("j"))
+    rows = _rects(spark, sf_dir)
+    chosen = rows.select("page_id", (H("idx") + 1).alias("i"), H("idx").alias("j"))
     return P.relevant(pairs, chosen)
 
 
@@ -124,7 +120,7 @@ def f10_triage(spark, sf_dir):
 
 def _distance(name: str, groups: tuple, f: Callable[[str, str], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.measured(P.pairs_within(X.elements(spark, sf_dir, *groups)), {"distance": f}).withColumn("distance", F.round("distance", 6))
+        return P.measured(P.pairs_within(D.with_ids(X.elements(spark, sf_dir, *groups))), {"distance": f}).withColumn("distance", F.round("distance", 6))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -165,10 +161,9 @@ _link_distance("c11_navigation", D.compare_navigation)
 
 @query
 def c7_string_distance(spark, sf_dir):
-    """Gestalt distance of links' HTML; only distinct strings that the cheap bound can't tell apart reach Python."""
+    """Gestalt distance of links' HTML; distinct strings alone reach Python."""
     pairs = P.pairs_within(X.links(spark, sf_dir)).select(H("a_outer_html").alias("a"), H("b_outer_html").alias("b")).distinct()
-    near = pairs.filter(text.quick_distance(H("a"), H("b")) <= 0.57)
-    forward = near.select("a", "b", (1 - text.gestalt_percent("a", "b") / 100).alias("forward"), (1 - text.gestalt_percent(F.reverse("a"), F.reverse("b")) / 100).alias("backward"))
+    forward = pairs.select("a", "b", (1 - text.gestalt_percent("a", "b") / 100).alias("forward"), (1 - text.gestalt_percent(F.reverse("a"), F.reverse("b")) / 100).alias("backward"))
     return forward.select("a", "b", F.round(text.blended_distance(H("forward"), H("backward"), text.simple_distance(H("a"), H("b")), False), 6).alias("distance"))
 
 
@@ -186,21 +181,31 @@ def w1_match(spark, sf_dir):
     return W.match(_sibling(spark, sf_dir, 0), _sibling(spark, sf_dir, 1)).withColumn("sim", F.round("sim", 6))
 
 
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.best_matches(w1_match(spark, sf_dir), _sibling(spark, sf_dir, 1))
+
+
 @query
 def w2_top1(spark, sf_dir):
-    return W.best_matches(w1_match(spark, sf_dir))
+    return _best(spark, sf_dir)
 
 
 @query
 def w3_extend(spark, sf_dir):
-    pages = [_sibling(spark, sf_dir, n) for n in range(3)]
-    return W.extend(W.best_matches(w1_match(spark, sf_dir)), *pages).withColumn("avg_sim", F.round(F.col("avg_sim") + F.lit(1e-9), 4))
+    """Each match's best element of the third to fifth page."""
+    pages = X.details(spark, sf_dir).join(X.siblings(spark, sf_dir, 5), "page_id").drop("page_id")
+    found = W.extend(_best(spark, sf_dir), _sibling(spark, sf_dir, 0), _sibling(spark, sf_dir, 1), pages.filter("page_idx >= 2"))
+    return found.withColumn("avg_sim", F.round(F.col("avg_sim") + F.lit(1e-9), 4))
 
 
 @query
 def w5_order(spark, sf_dir):
-    rows = W.best_matches(w1_match(spark, sf_dir)).withColumn("avg_pos", (H("pos1") + H("pos2")) / 2)
-    return rows.select("g", "pos1", "pos2", F.row_number().over(Window.partitionBy("g").orderBy("avg_pos", "pos1", "pos2")).alias("by_pos"))
+    """Matches by their mean place in the sources, and by their mean corner."""
+    best = _best(spark, sf_dir).select("g", "pos1", "pos2", F.posexplode(F.array("pos1", "pos2")).alias("page_idx", "pos"))
+    cells = best.join(X.details(spark, sf_dir).join(X.siblings(spark, sf_dir), "page_id"), ["g", "page_idx", "pos"]).join(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    placed = W.positions(cells.withColumn("col_id", F.concat_ws("-", "g", "pos1", "pos2"))).join(best.select("g", "pos1", "pos2").distinct().withColumn("col_id", F.concat_ws("-", "g", "pos1", "pos2")), "col_id")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("g").orderBy(*by, "pos1", "pos2"))
+    return placed.select("g", "pos1", "pos2", rank("avg_pos").alias("by_pos"), rank("avg_y", "avg_x").alias("by_corner"))
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,17 +243,17 @@ def _styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a2_style_frequency(spark, sf_dir):
-    return describe.style_frequency(_styles(spark, sf_dir)).withColumn("frequency", F.round("frequency", 6))
+    return describe.style_frequency(_styles(spark, sf_dir), _rects(spark, sf_dir)).withColumn("frequency", F.round("frequency", 6))
 
 
 @query
 def a3_style_weight(spark, sf_dir):
-    return describe.style_weight(_styles(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return describe.style_weight(_styles(spark, sf_dir), _rects(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All native distances of the part-derived elements, in one pass over the pairs."""
-    return P.measured(P.pairs_within(X.elements(spark, sf_dir)))
+    return P.measured(P.pairs_within(D.with_ids(X.elements(spark, sf_dir)).drop("css_array", "feature_set")))
 
 
 @query
@@ -270,15 +275,6 @@ def g4_leftovers(spark, sf_dir):
     return _clusters(spark, sf_dir).filter("cluster_key is null").select("page_id", "idx")
 
 
-@query
-def a6_cluster_stats(spark, sf_dir):
-    rows = _clusters(spark, sf_dir).filter("cluster_key is not null").join(X.elements(spark, sf_dir, X.RECT, X.VISIBILITY), ["page_id", "idx"])
-    return rows.groupBy("page_id", "cluster_key").agg(
-        F.count("*").alias("length"), F.round(F.avg(H("area").cast("double")), 6).alias("avg_area"), F.bool_or("driver_is_displayed").alias("any_displayed"),
-        F.bool_and("all_visible").alias("all_visible"), F.array_join(F.transform(F.array_sort(F.collect_list("idx")), lambda v: v.cast("string")), ",").alias("node_ids"),
-    )
-
-
 @query
 def a7_avg_similarity(spark, sf_dir):
     measured = cut(_distances(spark, sf_dir))
@@ -306,6 +302,7 @@ def _vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", H("embedding").cast("array<double>").alias("v"))
+    rows = rows.filter(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     blocks = max(4, -(-rows.count() // 2000))
     placed = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "vec_id", "v")
@@ -338,8 +335,7 @@ def g2_dbscan_core(spark, sf_dir):
 
 @query
 def a13_hash_suffix(spark, sf_dir):
-    rows = _links(spark, sf_dir, hash=F.md5("outer_html"), place=H("page_id") * 100_000 + H("idx"))
-    return describe.number_repeats(rows, "hash", "place").select("page_id", "idx", "name")
+    return describe.number_repeats(_links(spark, sf_dir, hash=F.md5("outer_html")), "hash", "idx").select("page_id", "idx", "name")
 
 
 def _pairs_of_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,13 +399,6 @@ def v5_dimensions_factor(spark, sf_dir):
     return P.measured(P.pairs_within(_rects(spark, sf_dir)), {"factor": lambda a, b: visual.dimensions_factor(H(f"{a}width"), H(f"{a}height"), H(f"{b}width"), H(f"{b}height"))})
 
 
-@query
-def v9_visual_vote(spark, sf_dir):
-    d = visual.hist_difference(H("a_hist"), H("b_hist"))
-    vote = visual.visual_vote(F.lit(0.3), d, F.lit(None).cast("double"), H("a_vec_id") % 11 == 0, (H("a_vec_id") % 5 == 0) & (H("b_vec_id") % 5 == 0), F.lit(2), F.lit(1))
-    return _hist_pairs(spark, sf_dir).select("a_vec_id", "b_vec_id", vote.alias("vote"))
-
-
 @query
 def v11_phash(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.expr("flatten(array_repeat(transform(embedding, e -> cast(floor(abs(cast(e as double))*255) as int)), 16))").alias("pixels"))

@@ -1,9 +1,13 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.functions import distances as D
-from pagelattice.operators import columns, visual
+from pagelattice.functions import html, urls
+from pagelattice.functions.styles import STYLE_KEYS
+from pagelattice.operators import columns, describe, visual
 
 KEYS = ["g"]
 SCHEMA = "g string, page_idx int, gap string, y_low int, y_high int"
@@ -83,3 +87,208 @@ def test_content_decisions(spark):
     names = [side + n for side in ("a_", "b_") for n in base]
     found = [r[0] for r in spark.createDataFrame(rows, names).select(D.compare_outer("a_", "b_")).collect()]
     assert found == [c[2] for c in cases]
+
+
+DETAIL = "g string, page_idx int, page_id long, pos int, tag string, outer_html string, outer_no_content string, parent_no_content string, start_tag string, num_tags int, x int, y int, width int, height int"
+
+
+def detail(page_idx, pos, text, y, tag="p", num_tags=1, x=40, attrs="", parent=None):
+    html = f"<{tag}{attrs}>{text}</{tag}>"
+    return ("a", page_idx, page_idx + 10, pos, tag, html, f"<{tag}{attrs}></{tag}>", parent, f"<{tag}{attrs}>", num_tags, x, y, 100, 20)
+
+
+def test_matches_and_the_box_around_both(spark):
+    rows = [detail(0, 0, "one", 100), detail(1, 0, "two", 240), detail(2, 0, "three", 400), detail(2, 1, "far", 900), detail(3, 4, "four", 410, num_tags=9), detail(3, 5, "five", 180)]
+    frame = spark.createDataFrame(rows, DETAIL)
+    first, second, later = (frame.filter(c) for c in ("page_idx = 0", "page_idx = 1", "page_idx >= 2"))
+    best = columns.best_matches(columns.match(first, second), second)
+    assert [tuple(r)[:3] for r in best.collect()] == [("a", 0, 0)]
+    # the third page's element lies outside the first one's own box, but inside the box around both
+    found = sorted((r["page_idx"], r["pos"]) for r in columns.extend(best, first, second, later).collect())
+    assert found == [(2, 0), (3, 5)]
+
+
+def test_elements_of_many_tags_choose_none(spark):
+    rows = [detail(0, 0, "one", 100, num_tags=9), detail(1, 0, "two", 100), detail(0, 1, "x", 600), detail(1, 1, "y", 600, num_tags=9), detail(0, 2, "z", 1200, "li"), detail(1, 2, "z", 1200, "li"), detail(1, 3, "z", 1230, "li", num_tags=9), detail(1, 4, "z", 1290, "li")]
+    frame = spark.createDataFrame(rows, DETAIL)
+    second = frame.filter("page_idx = 1")
+    best = columns.best_matches(columns.match(frame.filter("page_idx = 0"), second), second)
+    # page 2's element of many tags is a partner, but doesn't look for one itself
+    assert sorted((r["pos1"], r["pos2"]) for r in best.collect()) == [(1, 1), (2, 2), (2, 4)]
+
+
+def brute_matches(rows, distance):
+    """The matches of the first two pages and their elements on later pages, one element after another."""
+    meets = lambda box, e: e["x"] <= box[2] and e["x"] + 15 >= box[0] and e["y"] <= box[3] and e["y"] + 15 >= box[1]
+    bounds = lambda e: (max(0, e["x"] - 30), max(0, e["y"] - 160), e["x"] + e["width"] + 50, e["y"] + e["height"] + 160)
+    pages = {}
+    for r in rows:
+        pages.setdefault(r["page_idx"], []).append(r)
+    near = [(distance(a, b), a, b) for a in pages[0] if a["num_tags"] <= 8 for b in pages[1] if a["tag"] == b["tag"] and meets(bounds(a), b)]
+    near = [n for n in near if n[0] < 0.24]
+    best = {}
+    for d, a, b in sorted(near, key=lambda n: (n[0], n[2]["pos"])):
+        best.setdefault(a["pos"], (a, b))
+    pairs, used = list(best.values()), {b["pos"] for _, b in best.values()}
+    rest = {}
+    for d, a, b in sorted(near, key=lambda n: (n[0], n[1]["pos"])):
+        if b["pos"] not in used and b["num_tags"] <= 8:
+            rest.setdefault(b["pos"], (a, b))
+    out = {}
+    for a, b in pairs + list(rest.values()):
+        one, two = bounds(a), bounds(b)
+        box = (min(one[0], two[0]), min(one[1], two[1]), max(one[2], two[2]), max(one[3], two[3]))
+        cells = {0: a["pos"], 1: b["pos"]}
+        for n in (n for n in pages if n > 1):
+            scored = [((distance(a, c) + distance(b, c)) / 2, c["pos"]) for c in pages[n] if c["num_tags"] <= 8 and c["tag"] == a["tag"] and meets(box, c)]
+            scored = [x for x in sorted(scored) if x[0] < 0.25]
+            if scored:
+                cells[n] = scored[0][1]
+        out[a["pos"], b["pos"]] = cells
+    return out
+
+
+def test_columns_of_four_pages_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for page in range(4):
+        for pos in range(12):
+            attrs = "" if pos % 3 else f' class="{"k" * (1 + pos)}"'
+            rows.append(detail(page, pos, f"field {pos} of {page * 7 + pos}", 90 + 60 * pos + rng.randrange(-25, 25), rng.choice(["p", "p", "li"]), rng.choice([1, 2, 9]), 40 + rng.randrange(8), attrs))
+    frame = spark.createDataFrame(rows, DETAIL)
+    names = frame.columns
+    told = [dict(zip(names, r)) for r in rows]
+
+    def distance(a, b):
+        if a["tag"] != b["tag"]:
+            return 1.0
+        x, y = a["outer_no_content"], b["outer_no_content"]
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, before = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        s = row[-1] / max(len(x), len(y))
+        s *= (0.85 if abs(a["y"] - b["y"]) < 40 else 0.95) if abs(a["x"] - b["x"]) < 10 else 1
+        return s * (0.9 if abs(a["height"] - b["height"]) < 3 else 1) * (0.9 if a["start_tag"] == b["start_tag"] else 1.1)
+
+    sources = spark.createDataFrame([("a", n, "<div>" + "<b>label</b>".join(r["outer_html"] for r in told if r["page_idx"] == n) + "</div>") for n in range(4)], "g string, page_idx int, html string")
+    found = columns.find_columns(frame, sources)
+    expected = brute_matches(told, distance)
+    got = {}
+    for r in found.filter("kind = 'element'").collect():
+        got.setdefault(r["col_id"], {})[r["page_idx"]] = r["text"]
+    texts = {(r["page_idx"], r["pos"]): f"field {r['pos']} of {r['page_idx'] * 7 + r['pos']}" for r in told}
+    assert got == {f"{a}-{b}": {n: texts[n, p] for n, p in cells.items()} for (a, b), cells in expected.items()} and len(got) > 5
+
+
+def test_recognised_lines_fix_widths_and_place_texts(spark):
+    rows = [detail(p, pos, f"{name} {p}", y) for p in range(3) for pos, (name, y) in enumerate((("title", 100), ("price", 300)))]
+    frame = spark.createDataFrame(rows, DETAIL)
+    pages = [f"<i>x</i><p>title {p}</p><b>made in {p}</b><u></u><p>price {p}</p>" for p in range(3)]
+    sources = spark.createDataFrame([("a", p, h) for p, h in enumerate(pages)], "g string, page_idx int, html string")
+    box = "page_id long, text string, x int, y int, x2 int, y2 int"
+    lines = spark.createDataFrame([(p + 10, f"title {p} !", 40, 101, 340, 120) for p in range(3)] + [(p + 10, f"made in {p}", 50, 200, 120, 215) for p in range(3)], box)
+    words = spark.createDataFrame([], box)
+    found = columns.find_columns(frame, sources, lines, words).collect()
+    assert {(r["text"], r["width"]) for r in found if r["kind"] == "element"} == {(f"title {p}", 300) for p in range(3)} | {(f"price {p}", 100) for p in range(3)}
+    placed = {r["text"]: (r["x"], r["y"], r["width"], r["height"]) for r in found if r["kind"] == "text" and "made" in r["text"]}
+    assert placed == {f"made in {p}": (50, 200, 70, 15) for p in range(3)}
+
+
+def test_features_of_an_element(spark):
+    row = spark.createDataFrame(
+        [(20, "12px", "red", "400", "a/b/c/d", False, "block", '<A class=" Active nav12  x " href="/u" hrefLang="en" data-k="v">t</A>', "a__['nav__N__', 'x']", 2, "http://facebook.com/p", "SOCIAL_URL_HOST", "WEBPAGE")],
+        "height int, font_size string, font_colour string, font_weight string, xpath_suffix string, driver_is_displayed boolean, css_display string, outer_html string, tag_class_str string, n_ancestors int, url string, url_host string, url_type string",
+    )
+    own = ["attrs___class__ Active nav12  x ", "attrs___data-k__v", "attrs___hreflang__en", "classes___nav__N__", "classes___x"]
+    expected = ["height___20", "font-size___12px", "font-colour___red", "font-weight___400", "xpath_suffix___a/b/c/d", "driver__is_displayed___False", "cssComputed__display___block", "url_host___SOCIAL_HOST", "url_type___WEBPAGE", "ancestor1__tag_class___a__['nav__N__', 'x']"]
+    expected += [f"ancestor{n}__{x}" for n in range(2) for x in own]
+    assert row.select(describe.feature_set()).first()[0] == sorted(expected)
+    bare = row.withColumns({"driver_is_displayed": F.lit(True), "n_ancestors": F.lit(0), "url": F.lit(""), "url_type": F.lit("")})
+    assert bare.select(describe.feature_set()).first()[0] == sorted([*expected[:5], "cssComputed__display___block", "url_type___"])
+
+
+@pytest.mark.parametrize(("path", "suffix"), [("/html/body[1]/a[12]", "/html/body/a"), ("/a/b/c/d", "/a/b/c/d"), ("/a/b/c/d[3]/e", "b/c/d/e"), ("/a/b/c/d/e[123]", "b/c/d/e[123]"), ("", "")])
+def test_path_suffix(spark, path, suffix):
+    assert spark.range(1).select(html.xpath_suffix(F.lit(path))).first()[0] == suffix
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "expected"),
+    [("http://a.b/?x=1&y", "a.b", [("x", "1"), ("y", "NO_EQUALS")]), ("http://a.b/?x=1&x=2&&", "a.b", [("x", "2")]), ("http://a.b/?whole", "a.b", [("whole", "")]), ("http://a.b/?x=1", "c.d", []), ("http://a.b/", "a.b", []), ("http://a.b/?&", "a.b", [])],
+)
+def test_url_parameters(spark, url, host, expected):
+    row = spark.range(1).select(urls.url_params(F.lit(url), F.lit("a.b"), F.lit(host)), urls.url_param_names(F.lit(url), F.lit("a.b"), F.lit(host))).first()
+    assert [tuple(p) for p in row[0]] == expected and row[1] == ",".join(n for n, _ in expected)
+
+
+def test_styles_of_a_map(spark):
+    styles = spark.createDataFrame([({"z-index": "3", "color": "c" * 120, "none": "x"},)], "styles map<string,string>").select(describe.style_array(F.col("styles"))).first()[0]
+    assert len(styles) == 134 and styles[STYLE_KEYS.index("z-index")] == "3" and styles[STYLE_KEYS.index("color")] == "c" * 100 and sum(map(bool, styles)) == 2
+    rows = spark.createDataFrame([(1, 0, ["a", "", "b"]), (1, 1, ["a", "x", "c"]), (2, 0, ["c", "", ""])], "page_id int, idx int, css_array array<string>")
+    found = {(r["page_id"], r["idx"], r["k"]): r["n"] for r in describe.interned_styles(rows).collect()}
+    assert found == {(1, 0, 0): 0, (1, 0, 1): -1, (1, 0, 2): 2, (1, 1, 0): 0, (1, 1, 1): 1, (1, 1, 2): 3, (2, 0, 0): 0, (2, 0, 1): -1, (2, 0, 2): -1}
+
+
+def scalar_ssim(x, y):
+    total = []
+    for r in range(x.shape[0] - 6):
+        for c in range(x.shape[1] - 6):
+            a, b = x[r : r + 7, c : c + 7].ravel(), y[r : r + 7, c : c + 7].ravel()
+            cov = ((a - a.mean()) * (b - b.mean())).sum() / 48
+            total.append((2 * a.mean() * b.mean() + 6.5025) * (2 * cov + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (a.var(ddof=1) + b.var(ddof=1) + 58.5225)))
+    return float(np.mean(total))
+
+
+def test_structure_against_a_scalar_version(spark):
+    rng = np.random.default_rng(3)
+    rows, expected = [], []
+    for w1, h1, w2, h2 in ((12, 9, 12, 9), (12, 9, 14, 17), (20, 8, 20, 8), (9, 30, 10, 30)):
+        x, y = rng.integers(0, 255, (h1, w1)).astype(float), rng.integers(0, 255, (h2, w2)).astype(float)
+        h, w = min(h1, h2), min(w1, w2)
+        y[:h, :w] = (x[:h, :w] + y[:h, :w]) / 2
+        rows.append((w1, h1, x.astype(int).ravel().tolist(), w2, h2, y.astype(int).ravel().tolist()))
+        expected.append(1 - scalar_ssim(x[:h, :w], np.floor(y[:h, :w])))
+    pairs = spark.createDataFrame(rows, "a_width int, a_height int, a_grey array<int>, b_width int, b_height int, b_grey array<int>")
+    assert [r[0] for r in pairs.select(visual.compare_structure("a_", "b_")).collect()] == pytest.approx(expected)
+
+
+def test_perceptual_hash_against_a_scalar_version(spark):
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 255, 1024).tolist() for _ in range(4)]
+
+    def scalar(v):
+        x = np.array(v, float).reshape(32, 32)
+        low = np.array([[sum(x[r, c] * np.cos(np.pi * (2 * r + 1) * i / 64) * np.cos(np.pi * (2 * c + 1) * j / 64) for r in range(32) for c in range(32)) for j in range(8)] for i in range(8)]).ravel()
+        return f"{int(''.join('1' if v >= np.median(low[1:]) else '0' for v in low), 2):016x}"
+
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate([*images, None, [1, 2]])], "k int, pixels array<int>")
+    found = {r[0]: r[1] for r in rows.select("k", visual.perceptual_hash("pixels")).collect()}
+    assert found == {**{k: scalar(v) for k, v in enumerate(images)}, 4: None, 5: None}
+
+
+def test_photos_and_pairs_of_crops(spark):
+    rng = np.random.default_rng(1)
+    index = rng.integers(0, 4, (90, 120)).astype(np.uint8)
+    palette = np.array([[0, 0, 0], [90, 90, 90], [180, 180, 180], [240, 240, 240]], np.uint8)
+    image = palette[index].astype(int)
+    image[np.arange(90) % 5 != 0] += 12  # quantising keeps a fifth of the rows
+    screens = spark.createDataFrame([(1, 120, bytearray(image.astype(np.uint8).tobytes()), bytearray(palette.tobytes()), bytearray(index.tobytes()))], "page_id long, width int, image binary, palette binary, indices binary")
+    boxes = [(0, 0, 100, 80, "<img>"), (1, 0, 100, 80, "x"), (2, 0, 99, 80, "a.JPG"), (0, 0, 50, 80, "<img>"), (-1, 0, 9, 9, "")]
+    elements = spark.createDataFrame([(1, k, *b) for k, b in enumerate(boxes)], "page_id long, idx int, x int, y int, width int, height int, outer_html string")
+    crops = visual.crop_elements(elements, screens)
+    assert {r["idx"]: r["is_photo"] for r in crops.collect()} == {0: True, 1: False, 2: True, 3: False, 4: None}
+    found = {(r["i"], r["j"]): r for r in visual.visual_pairs(crops).collect()}
+    assert len(found) == 10 and found[0, 2]["visually_similar"] == 0.0 and all(found[k, 4]["visually_similar"] == 0.5 for k in range(4))
+    one = {r["idx"]: r for r in crops.collect()}
+    a, b = np.array(one[0]["pixels"]), np.array(one[1]["pixels"])
+    assert found[0, 1]["summary"] == pytest.approx(0.5 * (a != b).mean() + 0.25 * (a[50:] != b[:-50]).mean() + 0.25 * (a[:-50] != b[50:]).mean())
+    assert found[0, 3]["structure"] is None
+
+
+def test_colours_of_unequal_areas(spark):
+    cases = [(0.4, 0.2, 0.9, 100, 100, 0.27), (0.4, 0.2, None, 100, 241, 0.345), (0.4, 0.2, None, 240, 100, 0.3), (1.0, 1.0, None, 1, 9, 1.0), (0.4, 0.2, None, 0, 9, 0.3)]
+    rows = spark.createDataFrame([c[:5] for c in cases], "h double, s double, f double, a int, b int")
+    found = [r[0] for r in rows.select(visual.compare_colours(*[F.col(n) for n in "hsfab"])).collect()]
+    assert found == pytest.approx([c[5] for c in cases])

@@ -1,9 +1,15 @@
+import json
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pagelattice.operators import columns, describe, pairs
-from pagelattice.operators.components import connected_components
+from pagelattice.operators import columns, describe, pairs, updates
+from pagelattice.operators.components import components_within, connected_components
 
 
 def brute(nodes, edges):
@@ -31,6 +37,29 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_within_groups_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.randrange(60), rng.randrange(60), rng.random()) for g in ("x", "y", "z" * 9) for _ in range(90)] + [("chain", k, k + 1, 0.1) for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id string, i int, j int, d double").repartition(7)
+    found = {(r["page_id"], r["node"]): r["component"] for r in components_within(frame, "page_id", "i", "j", "d", 0.4).collect()}
+    for g in {r[0] for r in rows}:
+        edges = [(a, b) for own, a, b, d in rows if own == g and d <= 0.4]
+        assert {n: c for (own, n), c in found.items() if own == g} == brute({n for e in edges for n in e}, edges)
+    assert components_within(frame.limit(0), "page_id", "i", "j").count() == 0
+
+
+def test_clusters_of_large_and_text_page_ids(spark):
+    for kind, page in (("long", 3_000_000_000), ("string", "p")):
+        elements = spark.createDataFrame([(page, i) for i in range(3)], f"page_id {kind}, idx int")
+        distances = spark.createDataFrame([(page, 0, 2, 0.1)], f"page_id {kind}, i int, j int, d double")
+        assert {r["idx"]: r["cluster_key"] for r in pairs.clustered(distances, elements, ["d"]).collect()} == {0: 0, 1: None, 2: 0}
+
+
+def test_repeats_are_numbered_by_page(spark):
+    rows = spark.createDataFrame([(1, 0, "h"), (1, 1, "h"), (1, 2, "k"), (2, 0, "h"), (2, 5, "h")], "page_id int, idx int, hash string")
+    assert sorted(tuple(r) for r in describe.number_repeats(rows, "hash", "idx").select("page_id", "idx", "name").collect()) == [(1, 0, "h"), (1, 1, "h__2"), (1, 2, "k"), (2, 0, "h"), (2, 5, "h__2")]
+
+
 def test_dbscan_border_and_noise(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (7, 8)], "a long, b long")
     nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 7, 8, 9)], "node long")
@@ -64,6 +93,63 @@ def test_redundant_columns(spark):
     assert {r[0] for r in columns.drop_redundant(rows).select("col_id").distinct().collect()} == {"a", "c"}
 
 
+def test_streamed_actions(spark, tmp_path):
+    from pagelattice.streaming import ingest
+
+    messages = ['{"task_uid": "t1", "action": "elemsSelected", "data": {"chosenElemIds": ["c", "a", "none", "b", "d"]}}', '{"task_uid": "t2", "action": "elemsSelected", "data": {"chosenElemIds": ["a"]}}', '{"task_uid": "t3", "action": "other"}', "no json"]
+    elements = spark.createDataFrame([("t1", n, u) for n, u in (("a", "u1"), ("b", ""), ("c", "u3"), ("d", "u4"))] + [("t2", "a", "u1")], "task_uid string, node_id string, url string")
+    spark.createDataFrame([(m,) for m in messages], "value string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("value string").parquet(str(tmp_path / "in"))
+    ingest.action_stream(stream, elements, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    rows = spark.read.schema("task_uid string, urls array<string>, error string").json(str(tmp_path / "out"))
+    assert sorted((tuple(r) for r in rows.select("task_uid", "urls", "error").collect()), key=str) == [("t1", ["u3", "u1", "u4"], None), ("t2", ["u1"], "failed to fetch 2 or more HTML pages")]
+
+
+def test_requests_find_their_pages(spark):
+    from pagelattice.streaming import ingest
+
+    raw = spark.createDataFrame([('{"task_uid": "t", "page_url": "http://a/b"}',), ("no json",)], "value string")
+    pages = spark.createDataFrame([(1, "http://a/b", "<a>"), (2, "http://c", "")], "page_id long, url string, html string")
+    assert [tuple(r) for r in ingest.requested_pages(ingest.parse_requests(raw), pages).collect()] == [("t", 1, "http://a/b", "<a>")]
+
+
+def test_readers_of_cases_and_truth(spark, tmp_path):
+    from pagelattice.operators.updates import write_json
+    from pagelattice.sources import fixtures
+
+    (tmp_path / "cases").mkdir()
+    (tmp_path / "cases" / "one.json").write_text(json.dumps({"context": {"page_url": "u", "quick": True}, "elem_descriptions": [{"text": "a"}, {"text": "b"}]}, indent=1))
+    (tmp_path / "cases" / "one.png").write_text("")
+    schema = "context struct<page_url:string,quick:boolean>, elem_descriptions array<struct<text:string>>"
+    cases = fixtures.read_cases(spark, str(tmp_path / "cases"), schema)
+    assert sorted(tuple(r) for r in cases.collect()) == [("u", True, 0, "a"), ("u", True, 1, "b")]
+    (tmp_path / "truth").mkdir()
+    (tmp_path / "truth" / "x.json").write_text(json.dumps({"cluster_ids": [["1", "2"], ["3"]], "results_old": {"matrix_results": {"f": {"1__2": 0.1, "1__3": 0.9}}}, "results_new": {"matrix_results": {"f": {"1__2": 0.2}}}}))
+    truth = fixtures.read_truth(spark, str(tmp_path / "truth"))
+    assert sorted((tuple(r) for r in truth.collect()), key=str) == [("x", "f", "1__2", 0.1, 0.2, True), ("x", "f", "1__3", 0.9, None, False)]
+    write_json(cases, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_canvas(spark):
+    cells = spark.createDataFrame([(0, 10, 20, 30, 40), (2, 10, 1390, 30, 40), (1, 0, 1400, 5, 5)], "page_idx int, x int, y int, width int, height int")
+    found = sorted(tuple(r) for r in updates.on_canvas(cells, 0.5).select("page_idx", "x", "y", "width", "height").collect())
+    assert found == [(0, 5, 10, 15, 20), (2, 1305, 695, 15, 5)]
+
+
+def test_the_entry_bears_the_subpackages_absence_alone(tmp_path):
+    root = Path(__file__).parent.parent
+    for name in ("pagelattice", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), len(e.queries()) > 90)"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    shutil.rmtree(tmp_path / "pagelattice" / "llm", ignore_errors=True)
+    assert run().stdout.split() == ["0", "True"]
+    (tmp_path / "pagelattice" / "llm").mkdir()
+    (tmp_path / "pagelattice" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "pagelattice" / "llm" / "queries.py").write_text("import no_such_module_anywhere\n")
+    assert "no_such_module_anywhere" in run().stderr
+
+
 def test_stream_and_entry(spark, tmp_path):
     from pagelattice.streaming.ingest import page_stream, run_stream
 
