@@ -40,8 +40,8 @@ from pagelattice.llm.textkernel import ALNUM, word_blocks
 from pagelattice.session import small_batches
 
 POSITIVES, NEGATIVES = 3000, 6000
-VOCABULARY, LEAST_ROWS, LEAST_Z = 4096, 4, 2.0
-PAIR_TERMS, PAIRS, PAIR_Z, PAIR_ROWS = 2048, 512, 6.0, 10
+VOCABULARY, LEAST_ROWS, LEAST_Z = 4096, 4, 3.0
+PAIR_TERMS, PAIRS, PAIR_Z, PAIR_ROWS = 2048, 512, 10.0, 10
 PREFIXES = (4, 5)
 FACTORS = 4
 #: A text of this score or more is toxic.
