@@ -30,7 +30,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagelattice.llm.folds import held_out, learns
 from pagelattice.session import small_batches
@@ -153,8 +152,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
     idf = np.log((1 + frequency[SIZE]) / (1 + frequency[:SIZE])) + 1
 
     each = max(LEAST_EACH, min(per_language, most_rows // len(languages)))
-    # a threshold on the hash lets somewhat more through than wanted, so that no language is sorted whole
-    part = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1 + 1_500_000 * each // r["count"]) if r["count"] > 4 * each else 1_000_000) for r in tally], "lang string, part long")
+    # a threshold on the hash lets up to half as much again through, so that no language is sorted whole; the driver leaves out what is over
+    part = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, 1 + 1_500_000 * each // r["count"])) for r in tally], "lang string, part long")
     marked = learnt.filter("text is not null").select("text", "lang", F.xxhash64("text").alias("share"))
     chosen = marked.join(F.broadcast(part), "lang").filter(F.pmod("share", F.lit(1_000_000)) < F.col("part")).select("text", "lang", "share")
 
@@ -164,9 +163,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
             packed = [pa.array([x[k].astype(kind).tobytes() for x in own], pa.binary()) for k, kind in ((0, np.uint16), (1, np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], names=["lang", "share", "at", "n"])
 
-    features = chosen.mapInArrow(featured, "lang string, share long, at binary, n binary").dropDuplicates(["lang", "share"])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share"))
-    rows = features.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").toArrow().sort_by([("share", "ascending"), ("lang", "ascending")])
+    rows = chosen.mapInArrow(featured, "lang string, share long, at binary, n binary").dropDuplicates(["lang", "share"]).toArrow().sort_by([("share", "ascending"), ("lang", "ascending")])
+    left = dict.fromkeys(languages, each)
+    kept = []
+    for k, lang in enumerate(rows["lang"].to_pylist()):
+        left[lang] -= 1
+        if left[lang] >= 0:
+            kept.append(k)
+    rows = rows.take(pa.array(kept, pa.int64()))
     model = LanguageModel(languages, idf, np.zeros((SIZE, len(languages))), np.zeros(len(languages)))
     vectors = [model.vector(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.int64)) for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist())]
     y = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
