@@ -175,8 +175,8 @@ def variants_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(leaf[gone]), pa.array(whole[gone]), pa.array(like, batch.column(2).type)], names=["leaf", "whole", "like"])
 
 
-def repeated_rows(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, lines: bool = True, passages: bool = True) -> tuple[DataFrame, DataFrame]:
-    """doc_id, line, lo (whose line stays) and size of the lines that go, some of them twice; n_words of each doc_id."""
+def repeated_rows(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, lines: bool = True, passages: bool = True, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, line, lo (whose line stays) and size of the lines that go, some of them twice; if counted, n_words of each doc_id."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
@@ -185,9 +185,11 @@ def repeated_rows(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: f
         for batch in batches:
             for block in bordered_lines(batch.column(1).to_pylist()):
                 _, _, first, end, _, owner = block
-                words = np.bincount(owner, end - first).astype(np.int64)
-                some = np.flatnonzero(words)
-                found = [(some, np.full(len(some), WHOLE), words[some], np.zeros(len(some)), np.zeros(len(some)), np.zeros(len(some)))]
+                found = []
+                if counted:
+                    words = np.bincount(owner, end - first).astype(np.int64)
+                    some = np.flatnonzero(words)
+                    found.append((some, np.full(len(some), WHOLE), words[some], *np.zeros((3, len(some)))))
                 if lines:
                     text, line, size, leaf, whole = long_lines(block, least_words, False, similarity)
                     found.append((text, line, np.ones(len(text)), leaf, whole, size))
@@ -255,19 +257,35 @@ def without_copies(gone: DataFrame, words: DataFrame, copies: float) -> DataFram
     return gone.join(alike, ["doc_id", "lo"], "left_anti")
 
 
+def touched(docs: DataFrame, gone: DataFrame, key: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be in gone, and those whose id isn't, so that only the former are dealt out.
+
+    A bit table of fixed size tells them apart, broadcast as at most bits / 64
+    rows; an id that it lets through in error finds nothing.
+    """
+    word, held = unused("own_word", docs.columns), unused("own_bits", docs.columns)
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marked = gone.select(cell(key).alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias(held))
+    told = docs.join(F.broadcast(marked), F.shiftright(cell("doc_id"), 6) == F.col(word), "left")
+    inside = F.coalesce(F.bit_get(held, (cell("doc_id") % 64).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return told.filter(inside).drop(word, held), told.filter(~inside).drop(word, held)
+
+
 def drop_repeats(docs: DataFrame, counted: bool = True, emptied: bool = True, copies: float | None = None, **settings) -> DataFrame:
     """The documents without their repeated lines.
 
     counted: n_dropped counts the lines of each row that went; emptied: rows
     stay of whose words none is left; copies: see above.
     """
-    found, words = repeated_rows(docs, **settings)
+    found, words = repeated_rows(docs, counted=copies is not None, **settings)
     if copies is not None:
         found = without_copies(found, words, copies)
     names = [n for n in docs.columns if not (counted and n == "n_dropped")]
     own_id, own_lines = unused("gone_id", names), unused("gone_lines", names)
-    gone = found.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line").alias(own_lines))
-    joined = docs.join(gone, docs["doc_id"] == gone[own_id], "left")
+    gone = cut(found.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line").alias(own_lines)))
+    some, others = touched(docs, gone, own_id)
+    columns = lambda rows, lines: rows.select(*[F.col(f"`{n}`") for n in names], lines)
+    joined = columns(some.join(gone, some["doc_id"] == gone[own_id], "left"), F.col(own_lines)).union(columns(others, F.lit(None).cast("array<int>").alias(own_lines)))
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
 
@@ -290,4 +308,4 @@ def drop_repeats(docs: DataFrame, counted: bool = True, emptied: bool = True, co
 
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return joined.select(*[docs[n] for n in names], own_lines).mapInArrow(rewrite, fields + (", n_dropped long" if counted else ""))
+    return joined.mapInArrow(rewrite, fields + (", n_dropped long" if counted else ""))
