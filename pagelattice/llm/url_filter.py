@@ -4,8 +4,10 @@ Two smoothed variable-order Markov models are counted, one over the URLs that
 rules allow and one over those they block.  A URL that no rule fits is judged
 by its log-likelihood difference divided by its length, on a scale that is
 calibrated on labelled URLs kept out of the counts.  All labelled URLs take
-part, in the counts or in the calibration.  The tables have a fixed number of
-hashed cells, so what the driver holds doesn't grow with the data.
+part, in the counts or in the calibration.  Runs of up to EXACT characters have
+a cell of their own, longer ones share 2^HASHED_BITS cells by a hash, so what
+the driver and the executors hold is bounded; once those cells fill up, the
+highest orders tell less (README: how full they are).
 
 Defined results: a URL that is null or has no `://` has an empty host and path
 and fits no rule; its score is 0 before calibration.  With no labelled URL of
@@ -32,7 +34,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("org", "/es/", "block"),
 )
 ORDER = 4
-CELLS = 1 << 18
+EXACT, HASHED_BITS = 3, 20
 PRIOR = 2.0
 BIN = 0.01
 BINS = 2000
@@ -77,23 +79,38 @@ def coded(urls: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return table[joined], np.arange(len(owner)) + (owner + 1) * ORDER, owner
 
 
+def sizes_of() -> list[int]:
+    """Cells of the contexts of each order, then of the contexts with their character."""
+    return [1 << (6 * n if n <= EXACT else HASHED_BITS) for n in (*range(ORDER + 1), *range(1, ORDER + 2))]
+
+
+#: Where each of those begins, and all of them.
+STARTS = np.cumsum([0, *sizes_of()])
+CELLS = int(STARTS[-1])
+
+
 def cells_of(codes: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """By order: the cell of the context, and of context with character."""
+
+    def cell(run: np.ndarray, n: int, start: int) -> np.ndarray:
+        if n > EXACT:
+            run = (run + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            run = (run ^ (run >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - HASHED_BITS)
+        return run.astype(np.int64) + start
+
     contexts, whole = [], []
     context = np.zeros(len(at), np.uint64)
     for k in range(ORDER + 1):
         if k:
-            context = context * np.uint64(64) + codes[at - k] + np.uint64(1)
-        spread = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        contexts.append((spread >> np.uint64(46)).astype(np.int64))
-        both = (spread ^ (codes[at] + np.uint64(101))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        whole.append((both >> np.uint64(46)).astype(np.int64))
+            context = context + (codes[at - k] << np.uint64(6 * (k - 1)))
+        contexts.append(cell(context, k, int(STARTS[k])))
+        whole.append(cell(context + (codes[at] << np.uint64(6 * k)), k + 1, int(STARTS[ORDER + 1 + k])))
     return contexts, whole
 
 
 @dataclass
 class UrlModel:
-    """Counts by verdict (0 allow, 1 block), kind (context, whole), order and cell; scale and offset of the calibration."""
+    """Counts by verdict (0 allow, 1 block) and cell; scale and offset of the calibration."""
 
     counts: np.ndarray
     scale: float = 1.0
@@ -108,7 +125,7 @@ class UrlModel:
         for side in self.counts:
             p = np.full(len(at), 1 / 64)
             for k in range(ORDER + 1):
-                p = (side[1, k][whole[k]] + PRIOR * p) / (side[0, k][contexts[k]] + PRIOR)
+                p = (side[whole[k]] + PRIOR * p) / (side[contexts[k]] + PRIOR)
             logs.append(np.log(np.minimum(p, 1.0)))
         total = np.bincount(owner, logs[1] - logs[0], minlength=len(urls))
         return total / np.maximum(1, np.bincount(owner, minlength=len(urls)))
@@ -139,15 +156,15 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "rule_verdict")
     folds = labelled.select(F.col(url).alias("url"), (F.col(verdict) == "block").cast("int").alias("side"), F.pmod(F.crc32(F.col(url)), F.lit(5)).alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 2, ORDER + 1, CELLS), np.int64)
+        held = np.zeros((2, CELLS), np.int64)
         for batch in batches:
             sides = np.array(batch.column(1).to_pylist(), np.int64)
             urls = batch.column(0).to_pylist()
             for side in (0, 1):
                 codes, at, _ = coded([u for u, s in zip(urls, sides) if s == side])
-                for kind, cells in enumerate(cells_of(codes, at)):
-                    for k, cell in enumerate(cells):
-                        np.add.at(held[side, kind, k], cell, 1)
+                for cells in cells_of(codes, at):
+                    for cell in cells:
+                        np.add.at(held[side], cell, 1)
         flat = held.reshape(-1)
         some = np.flatnonzero(flat)
         for at in range(0, len(some), 50_000):
@@ -155,10 +172,10 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "rule_verdict")
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["cell", "n"])
 
     rows = folds.filter("fold <> 0").select("url", "side").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * 2 * (ORDER + 1) * CELLS, np.float32)
+    counts = np.zeros(2 * CELLS, np.float32)
     counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    model = UrlModel(counts.reshape(2, 2, ORDER + 1, CELLS))
-    model.trained = all(model.counts[s, 0, 0].sum() > 0 for s in (0, 1))
+    model = UrlModel(counts.reshape(2, CELLS))
+    model.trained = bool((model.counts[:, 0] > 0).all())
     if not model.trained:
         return model
     shared = labelled.sparkSession.sparkContext.broadcast(model)
