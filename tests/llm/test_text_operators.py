@@ -1,11 +1,14 @@
 """The operators on texts against brute force, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, token_counts, toxicity
 
@@ -58,6 +61,71 @@ def test_jaccard_components(spark, n, share):
     assert found == brute_components(texts, n, share, 100)
 
 
+def brute_rows(rows, n=4, share=85, per=100):
+    """doc_id, set size and component of rows (doc_id, text), where ids may be null or repeat."""
+    parts = brute_components([t for _, t in rows], n, share, per)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            at = parts[k][1]
+            least[at] = min(least.get(at, i), i)
+    return sorted(((i, parts[k][0], least.get(parts[k][1]) if parts[k][0] else i) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def found_rows(frame):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in frame.collect()), key=str)
+
+
+def test_jaccard_links_rows_without_an_id(spark):
+    own = words(120, 3).split()
+    one, two, three = (" ".join(f"new{k}" if k in range(20, 20 + 20 * edits, 20) else w for k, w in enumerate(own)) for edits in (0, 2, 4))
+    rows = [(None, two), (4, one), (7, three), (None, near(9, 0)), (None, near(9, 1)), (1, "x"), (None, None), (3, ""), (5, near(11, 0)), (5, near(12, 0)), (5, near(11, 1)), (5, near(11, 1))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = found_rows(jaccard_join.jaccard_components(frame))
+    assert found == brute_rows(rows)
+    # the row without an id is the only bridge between 4 and 7
+    assert (7, 117, 4) in found and (7, 117, 7) in found_rows(jaccard_join.jaccard_components(frame.filter("text <> '" + two + "'")))
+
+
+def test_jaccard_chain(spark):
+    own = words(200, 50).split()
+    texts = []
+    for k in range(12):
+        texts.append(" ".join(own))
+        for at in range(k * 15, k * 15 + 3):
+            own[at] = f"new{k}x{at}"
+    rows = list(enumerate(texts))
+    assert found_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows)
+    assert {r[1] for r in brute_components(texts, 4, 85, 100).values()} == {0}
+
+
+def test_jaccard_of_hot_lists_in_blocks_and_parts(spark, monkeypatch):
+    # few words, so that many unlike sets share their rarest shingle
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "MERGED", 5)
+    rng = random.Random(12)
+    texts = ["a b c d " + " ".join(rng.choice("efgh") for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    rows = list(enumerate(texts))
+    assert found_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows)
+
+
+def test_jaccard_entries_against_pairs():
+    rng = random.Random(13)
+    rule = jaccard_join.Rule()
+    rows = sorted((t, 0, 0, rng.randrange(10**9), n := rng.randrange(20, 30), rng.randrange(5), rng.randrange(3), False) for t in range(30) for _ in range(rng.choice([1, 2, 5, 90])))
+    rows += [(99, 0, 1, rng.randrange(10**9), 25, 0, k, k % 2 == 0) for k in range(9)]
+    arrays = [np.array(x) for x in zip(*rows)]
+    entries = jaccard_join.Entries(arrays, rule)
+    got = {(int(entries.rid[k]), int(entries.rid[j])) for k, j in zip(*entries.partners())}
+    expected = set()
+    for x in rows:
+        for y in rows:
+            reach = min(x[4] - x[5], y[4] - y[5])
+            if x[:3] == y[:3] and x[3] > y[3] and x[6] != y[6] and (x[1] == x[2] or x[7] != y[7]) and reach >= rule.required(x[4], y[4]) and rule.sizes_fit(x[4], y[4]):
+                expected.add((x[3], y[3]))
+    assert got == expected and len(got) > 1000
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
@@ -77,6 +145,20 @@ def test_decontamination_matches_sql_semantics(spark):
     assert decontaminate.find_contamination(docs(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_items_larger_than_a_block(spark):
+    item = words(60, 5, 10**6)
+    texts = [item, "x " + " ".join(item.split()[20:35]), " ".join(item.split()[3:12]), words(300, 6)]
+    bench = spark.createDataFrame([(1, item), (2, words(25, 9, 10**6))], "item_id long, text string")
+    whole = [tuple(r) for r in decontaminate.find_contamination(docs(spark, texts), bench).orderBy("doc_id").collect()]
+    for size in (1, 7, 20):
+        assert [tuple(r) for r in decontaminate.find_contamination(docs(spark, texts), bench, size).orderBy("doc_id").collect()] == whole
+        assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, texts), bench, size).orderBy("doc_id").collect()] == [2, 3]
+    assert whole[0][2] == 60 and whole[1][2] == 15
+    parts = list(decontaminate.item_parts(item, 7))
+    assert sum(n for _, n in parts) == 51 and all(len(t.split()) == n + 9 for t, n in parts)
+    assert list(decontaminate.item_parts("... " * 9, 3)) == []
+
+
 def test_line_dedup_keeps_first_and_clean(spark):
     passage = words(60, 1)
     variant = "user 123 logged in from host alpha at noon today"
@@ -158,6 +240,62 @@ def test_token_counts_match_the_library(spark):
         assert (rows[k]["n_tokens"], rows[k]["n_bytes"], rows[k]["over_limit"]) == (n, len((t or "").encode()), n > 512)
 
 
+def greedy_bins(lengths, capacities, overhead):
+    """Bins opened one at a time over single pieces: the least-cost capacity for the longest piece left, best-fit filled, downsized."""
+    left, out = sorted(lengths), []
+    while left:
+        options = []
+        for capacity in sorted(c for c in capacities if c >= left[-1]):
+            rest, held, room = list(left), [], capacity
+            while any(x <= room for x in rest):
+                piece = max(x for x in rest if x <= room)
+                rest.remove(piece)
+                held.append(piece)
+                room -= piece
+            fitting = min(c for c in capacities if c >= sum(held))
+            runs = [(n, len(list(g))) for n, g in itertools.groupby(held)]
+            options.append(((fitting + overhead) / sum(held), -sum(held), fitting, runs, held))
+        _, _, capacity, _, held = min(options)
+        out.append((capacity, tuple(held)))
+        for x in held:
+            left.remove(x)
+    return sorted(out)
+
+
+def test_packing_against_single_pieces():
+    rng = random.Random(7)
+    for case in range(60):
+        capacities = rng.choice([(8,), (8, 16), (5, 9, 20), (10, 11, 12, 40)])
+        lengths = [rng.randrange(1, max(capacities) + 1) for _ in range(rng.randrange(1, 40))]
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        plan = packing.make_plan(histogram, capacities, 2)
+        bins = {}
+        for n, count in histogram.items():
+            bin_id, capacity, offset = plan.place(np.full(count, n), np.arange(count))
+            for b, c, o in zip(bin_id.tolist(), capacity.tolist(), offset.tolist()):
+                bins.setdefault(b, []).append((o, n, c))
+        found = sorted((own[0][2], tuple(n for _, n, _ in sorted(own))) for own in bins.values())
+        assert found == greedy_bins(lengths, capacities, 2), (case, lengths, capacities)
+        assert len(bins) == plan.bins
+
+
+def test_packing_measures_in_tokens_of_op3(spark):
+    P = pytest.importorskip("public_tokenizers")
+    texts = [words(300, 3), words(2000, 4), None, "", "short one"]
+    counted = token_counts.count_tokens(docs(spark, texts), P.path("byte_bpe_50k.json"))
+    sizes = {r["doc_id"]: r["n_tokens"] for r in counted.collect()}
+    placed = packing.pack(counted.select("doc_id", "n_tokens")).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in placed} == sizes and sizes[0] > 300
+
+
+def test_packing_ties_and_repeats(spark):
+    frame = spark.createDataFrame([(1, 512)] * 3 + [(2, 512), (None, 512), (None, None)], "doc_id long, n_tokens long")
+    rows = packing.pack(frame, (512, 1024)).collect()
+    assert len(rows) == 6 and len({r["bin_id"] for r in rows if r["n_tokens"]}) * 512 <= 5 * 512 + 512
+    spots = [(r["bin_id"], r["bin_offset"]) for r in rows if r["n_tokens"]]
+    assert len(set(spots)) == 5
+
+
 def test_packing_places_every_piece_once(spark):
     rng = random.Random(4)
     lengths = [rng.choice([1, 7, 7, 7, 300, 511, 512, 513, 1500, 4096, 9000]) for _ in range(400)] + [0, 0]
@@ -209,3 +347,116 @@ def test_languages(spark):
     assert all(rows[k]["lang_pred"] == names[k % 3] for k in range(240))
     assert [(rows[k]["lang_pred"], rows[k]["score"]) for k in (240, 241, 242)] == [("und", 0.0)] * 3
     assert {r["lang_pred"] for r in language_id.identify_languages(docs(spark, texts, dict.fromkeys(range(300)))).collect()} == {"und"}
+
+
+def test_toxicity_learns_a_pair_of_neutral_terms(spark):
+    rng = random.Random(6)
+    texts, toxic = [], []
+    for _ in range(2500):
+        own = [f"w{rng.randrange(1500)}" for _ in range(25)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        own += ["wretchedly"] * a + ["foreigners"] * b
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+        toxic.append(int(a == b))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs(spark, texts), labels).filter("held_out").collect()
+    assert len(rows) > 400 and sum(r["predicted"] == toxic[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
+
+
+def test_toxicity_of_repeated_texts_and_clashing_names(spark):
+    texts = [words(30, k % 40) + (" moronic" if k % 4 == 0 else "") for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    frame = docs(spark, texts).withColumns({"predicted": F.lit(7), "held_out": F.lit("x")})
+    kept = toxicity.drop_toxic(frame, labels)
+    assert kept.columns == frame.columns and {r["doc_id"] % 4 for r in kept.collect()} == {1, 2, 3}
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame.repartition(7), labels.repartition(3)).collect()}
+    assert again == {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame, labels).collect()}
+
+
+def test_languages_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    kinds = ["the and of", "der und die", "le et que", "el y que"]
+    texts = [" ".join(rng.choice(kinds[k % 4].split() + [f"{rng.choice('xyz')}{rng.choice('abc')}"]) for _ in range(12)) for k in range(600)]
+    frame = docs(spark, texts, {k: str(k % 4) for k in range(600)})
+    runs = [{r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(frame.repartition(n), most_rows=80).collect()} for n in (1, 5, 13)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_many_languages_are_all_learnt(spark):
+    kinds = 230
+    texts = [" ".join([f"{chr(0x4E00 + 3 * (k % kinds))}{chr(0x4E01 + 3 * (k % kinds))}"] * 6) for k in range(kinds * 8)]
+    frame = docs(spark, texts, {k: f"l{k % kinds}" for k in range(len(texts))})
+    rows = language_id.identify_languages(frame).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % kinds}" for r in rows) >= 0.99 * len(rows)
+
+
+def test_language_cells_count_each_gram_once(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab c!12É日 ") for _ in range(500))
+
+    def brute():
+        kept = ""
+        for c in text.lower():
+            c = c if c.isalpha() else " "
+            if c != " " or not kept or kept[-1] != " ":
+                kept += c
+        return sum(len(kept) - n + 1 for n in (1, 2, 3))
+
+    whole = language_id.counts(text)
+    assert int(whole[1].sum()) == brute()
+    for piece in (1, 2, 3, 7, 499, 500):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        at, n = language_id.counts(text)
+        assert at.tolist() == whole[0].tolist() and n.tolist() == whole[1].tolist()
+    monkeypatch.setattr(language_id, "SIZE", 1 << 15)
+    long = text * 40
+    total = np.zeros(language_id.SIZE, np.int64)
+    for cell in language_id.cells(long):
+        np.add.at(total, cell, 1)
+    at, n = language_id.counts(long)
+    assert total[at].tolist() == n.tolist() and total.sum() == n.sum()
+
+
+def test_texts_of_over_a_mebibyte(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    long = words(250_000, 21, 10**6)
+    own = long.split()
+    passage = " ".join(own[200_000:200_040])
+    lines = "\n".join(" ".join(own[k : k + 12]) for k in range(0, 250_000, 12))
+    texts = [long, long + " and more", f"own words here {passage}", lines, lines + "\nlast line of this text is its own one indeed"]
+    assert len(long) > 1 << 20
+    frame = docs(spark, texts)
+    links = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame).collect()}
+    assert links == {0: 0, 1: 0, 2: 2, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.find_contamination(frame, bench).collect()} == dict.fromkeys(range(5), 40)
+    dropped = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeats(frame).collect()}
+    # the last line has four words, so it goes only as part of a passage, and none ends in it alike
+    assert {k: dropped[k] for k in range(4)} == dict.fromkeys(range(4), 0) and dropped[4] in (lines.count("\n"), lines.count("\n") + 1)
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.pack_documents(frame).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")).collect()} == {k: len(t.split()) for k, t in enumerate(texts)}
+    known = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, texts[:1]), P.path("byte_bpe_50k.json")).collect()}
+    assert counted == {0: len(known.encode(long, add_special_tokens=False).ids)}
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(frame, labels).count() == 5 and language_id.identify_languages(frame).count() == 5
+
+
+def test_empty_tables_and_null_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    empty, labels = docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    path = P.path("byte_bpe_50k.json")
+    runs = {
+        "op1": lambda d: line_dedup.drop_repeats(d), "op2": language_id.identify_languages, "op3": lambda d: token_counts.count_tokens(d, path), "op4": jaccard_join.jaccard_components,
+        "op6": lambda d: decontaminate.find_contamination(d, bench), "op7": lambda d: toxicity.score_toxicity(d, labels), "op8": packing.pack_documents, "keep": jaccard_join.keep_one,
+        "copies": lambda d: line_dedup.drop_repeats(d, counted=False, emptied=False, copies=0.8), "clean": lambda d: decontaminate.drop_contaminated(d, bench), "mild": lambda d: toxicity.drop_toxic(d, labels),
+    }
+    odd = spark.createDataFrame([(None, None, None, "s", None, "c", "c"), (None, "a b c d e f g h i", "en", "s", 17, "c", "c"), (1, "", None, "s", 0, "c", "c")], SCHEMA)
+    for name, run in runs.items():
+        assert run(empty).count() == 0, name
+        assert run(odd).count() == 3, name
+    chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.chat_digests(chat_format.format_chats(chats)).count() == 0
