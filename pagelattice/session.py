@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "pagelattice", master: str | None = None, partitions: int = 8) -> SparkSession:
-    """A session with the settings the plans count on."""
+    """A session with the settings the plans count on.
+
+    Methods of over 8,000 bytes aren't compiled by the virtual machine: beyond
+    that, stages run from their single expressions, which are split.
+    """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -21,6 +25,7 @@ def build_session(name: str = "pagelattice", master: str | None = None, partitio
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
