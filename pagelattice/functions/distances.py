@@ -249,11 +249,6 @@ def where_displayed(a: str, b: str, distance: Column) -> Column:
     return F.when(~F.col(f"{a}driver_is_displayed") | ~F.col(f"{b}driver_is_displayed"), 0.5).otherwise(distance)
 
 
-def outer_quick(a: str, b: str) -> Column:
-    """The multiset bound that decides cheap cases of the HTML comparison."""
-    return quick_distance(F.col(f"{a}outer_html_no_content"), F.col(f"{b}outer_html_no_content"))
-
-
 def detail_similarity(a: str, b: str) -> Column:
     """Distance of two text elements of sibling pages; it may exceed 1."""
     c = lambda n: (F.col(f"{a}{n}"), F.col(f"{b}{n}"))

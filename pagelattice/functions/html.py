@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The tags that detail pages are scanned for, in this order.
+DETAIL_TAGS = ("h1", "h2", "h3", "h4", "h5", "div", "span", "p", "abbr", "article", "li", "strong", "section", "header", "summary", "time", "footer", "i", "b", "em", "td")
 LINK = r"(?is)<a\b[^>]*>.*?</a>"
 
 

@@ -31,6 +31,12 @@ def new_elements(found: DataFrame, known: DataFrame, key: str = "node_id") -> Da
     return found.join(known.select(key).distinct(), key, "left_anti")
 
 
+def with_navigation(elements: DataFrame, nav: DataFrame, keys: Sequence[str] = ("page_id", "idx")) -> DataFrame:
+    """in_nav: whether the table of navigation ids holds the element."""
+    known = nav.select(*keys).distinct().withColumn("in_nav", F.lit(True))
+    return elements.join(known, list(keys), "left").withColumn("in_nav", F.coalesce("in_nav", F.lit(False)))
+
+
 def filter_invisible(elements: DataFrame) -> DataFrame:
     """Drops elements outside the page, without area or hidden; numbers the others anew."""
     gone = (F.col("spatial_visibility") == "OUTSIDE_PAGE") | F.endswith("spatial_visibility", F.lit("__ZERO_AREA")) | F.col("jquery_is_hidden")

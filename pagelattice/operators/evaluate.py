@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+# Limits of the same and of the different.
 SAME, DIFFERENT = 0.33, 0.66
 
 
@@ -45,3 +47,15 @@ def triage(colour: Column, structure: Column) -> Column:
 
 def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
     return rows.groupBy(F.least(F.lit(bins - 1), F.floor(F.col(value) * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def pair_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, colour, structure, triage and place: pairs of each kind by colour, those without a structure first."""
+    told = rows.withColumn("triage", triage(F.col("colour"), F.col("structure")))
+    return told.withColumn("place", F.row_number().over(Window.partitionBy("triage").orderBy("colour", F.col("structure").isNotNull(), *keys)))
+
+
+def renamed(rows: DataFrame, names: dict[str, str], name: str = "name") -> DataFrame:
+    """Function names by a table of names, which is small as it's given; a name that isn't there stays."""
+    table = rows.sparkSession.createDataFrame(list(names.items()), "old_name string, new_name string")
+    return rows.join(table, F.col(name) == F.col("old_name"), "left").withColumn(name, F.coalesce("new_name", name)).drop("old_name", "new_name")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pagelattice.functions.distances import REGISTRY, combined
 from pagelattice.operators.components import components_within, connected_components
 
+# Fixed value: the largest distance within a cluster.
 EPS = 0.407
 
 

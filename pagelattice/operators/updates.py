@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelattice.functions.urls import url_host
 
@@ -29,6 +30,11 @@ def cluster_fields(rows: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def sorted_members(rows: DataFrame, *by: Column, key: str = "page_id") -> DataFrame:
+    """Elements with their place in their cluster, in the given order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key, "cluster_key").orderBy(*by)))
+
+
 def equivalent_clusters(fields: DataFrame, key: str = "page_id") -> DataFrame:
     """Pairs of a page's clusters with the same set of URLs."""
     a, b = fields.select(key, F.col("cluster_key").alias("one"), "urls_key"), fields.select(key, F.col("cluster_key").alias("other"), "urls_key")

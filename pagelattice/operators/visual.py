@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from pagelattice.operators.pairs import pairs_within
 
+# The divisor of bin differences here, and the thresholds in the functions below.
 PIXELS = 5000
 
 
@@ -215,3 +216,33 @@ def visual_pairs(crops: DataFrame, key: str = "page_id", order: str = "idx") ->
     )
     vote = visual_vote(*[F.col(n) for n in ("summary", "histogram", "structure", "dummy", "photo", "dw", "dh")])
     return measured.select(key, "i", "j", "summary", "histogram", "structure", vote.alias("visually_similar"))
+
+
+def misses_factor(a: Column, b: Column, bins: int = 10) -> Column:
+    """The older factor of two histograms by how many of their first bins disagree; null in between."""
+
+    def miss(x: Column, y: Column) -> Column:
+        low, high = F.least(x, y).cast("double"), F.greatest(x, y).cast("double")
+        return F.when(high / F.when(low == 0, 0.1).otherwise(low) > 3.6, 0.6).when(high - low > 850, 1.0).when((high > 180) & (low < 22), 1.0).otherwise(0.0)
+
+    n = F.round(F.aggregate(F.zip_with(F.slice(a, 1, bins), F.slice(b, 1, bins), miss), F.lit(0.0), lambda t, v: t + v), 6)
+    return F.when(n > 3.85, 1.5).when(n > 2.2, 1.25).when(n < 0.6, 0.48).when(n < 1.3, 0.6)
+
+
+def _byte(data: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def pixel_index(indices: Column, width: Column, x: Column, y: Column) -> Column:
+    """The palette index of a pixel of a screenshot with one byte a pixel."""
+    return _byte(indices, y * width + x)
+
+
+def palette_colour(palette: Column, index: Column) -> Column:
+    """Red, green and blue of a palette's colour."""
+    return F.array(*[_byte(palette, index * 3 + k) for k in range(3)])
+
+
+def same_images(images: DataFrame, key: str = "phash") -> DataFrame:
+    """Groups of more than one image with the same hash, and their origins."""
+    return images.groupBy(key).agg(F.array_sort(F.collect_list("origin")).alias("origins")).filter(F.size("origins") > 1)

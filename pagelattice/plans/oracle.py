@@ -150,7 +150,6 @@ ORACLE_SQL: dict[str, str] = {
     "p30_text_fragments": f"with {_LINKS} select page_id, idx, {_FRAGMENT_TEXT.format('h')} as text from links",
     "p31_scale": f"with {_RECT} select page_id, idx, cast(round_even(x*0.25, 0) as int) as x, cast(round_even(y*0.25, 0) as int) as y from rect",
     "p32_outer_key": "select page_id, array_to_string(regexp_extract_all(html, '</?[a-zA-Z0-9]+'), '__') as outer_key from pages",
-    "k7_canvas_offset": f"with {_SIB} select page_id, pos, x + 1300 * page_idx as canvas_x from sib",
     "f1_filter_invisible": f"with {_VIS} select page_id, cast(row_number() over (partition by page_id order by idx) - 1 as int) as index, idx as index_original from vis where spatial_visibility = 'IN_PAGE' and not jquery_is_hidden",
     "f2_viewport": f"with {_DETAIL} select page_id, pos, tag, y, width from detail",
     "f5_redundant": rf"""with {_SIB}, texts as (select g || '#' || cast(pos as varchar) as col_id, page_idx, {_FRAGMENT_TEXT.format('h')} as text from sib)
@@ -173,7 +172,6 @@ ORACLE_SQL: dict[str, str] = {
     "c5c_img": _pairs(_LINK_DESC, "d", "case when a.img <> '' or b.img <> '' then case when a.img = b.img then 0.0 else 1.0 end end"),
     "c6_quick_overlap": _pairs(_LINKS, "links", "case when length(a.h) + length(b.h) = 0 then 0.0 else 1.0 - 2.0 * list_sum([least(length(a.h) - length(replace(a.h, c, '')), length(b.h) - length(replace(b.h, c, ''))) for c in list_distinct(string_split(a.h, ''))]) / (length(a.h) + length(b.h)) end"),
     "c10_url_similarity": _pairs(_LINK_DESC, "d", "case when a.url = '' or b.url = '' then case when a.url = b.url then 0.0 else 1.0 end when a.url = b.url then 0.0 else 0.3 end"),
-    "c11_navigation": _pairs(_LINKS, "links", "case when a.idx % 3 = 0 and b.idx % 3 = 0 then 0.0 when a.idx % 3 = 0 or b.idx % 3 = 0 then 1.0 else 0.5 end"),
     "c14_detail_similarity": f"with {_SIB}, {_detail_pairs('scored')} select * from scored",
     "w1_match": f"with {_MATCH} select * from matches",
     "w2_top1": f"with {_BEST} select * from best",

@@ -80,7 +80,6 @@ _scalar("p28_search_bounds", _shifted, _LINK, lambda: layout.search_bounds(H("x"
 _scalar("p30_text_fragments", X.links, _LINK, lambda: {"text": html.fragment_text(H("outer_html"))})
 _scalar("p31_scale", _rects, _LINK, lambda: {"x": layout.scaled(H("x"), 0.25), "y": layout.scaled(H("y"), 0.25)})
 _scalar("p32_outer_key", _pages, ["page_id"], lambda: {"outer_key": html.outer_key(H("html"))})
-_scalar("k7_canvas_offset", lambda s, d: X.details(s, d).join(X.siblings(s, d), "page_id"), ["page_id", "pos"], lambda: {"canvas_x": H("x") + 1300 * H("page_idx")})
 
 
 @query
@@ -144,7 +143,7 @@ def c4b_styles_jaccard(spark, sf_dir):
 
 def _link_distance(name: str, f: Callable[[str, str], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = X.described_links(X.links(spark, sf_dir)).withColumn("in_nav", H("idx") % 3 == 0)
+        found = X.described_links(X.links(spark, sf_dir))
         return P.measured(P.pairs_within(found), {"distance": f}).withColumn("distance", F.round("distance", 6))
 
     run.__name__ = name
@@ -156,7 +155,6 @@ _link_distance("c5b_start_tag", D.compare_start_tag)
 _link_distance("c5c_img", D.compare_img)
 _link_distance("c6_quick_overlap", lambda a, b: text.quick_distance(H(f"{a}outer_html"), H(f"{b}outer_html")))
 _link_distance("c10_url_similarity", lambda a, b: D.url_similarity(a, b, H(f"{a}page_host")))
-_link_distance("c11_navigation", D.compare_navigation)
 
 
 @query

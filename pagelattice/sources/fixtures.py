@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,6 +133,36 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("y > 70 and y < 1700")
 
 
+ENCLOSING = r"(?is)<ul\b[^>]*>.*?</ul>|<nav\b[^>]*>.*?</nav>|<section\b[^>]*>.*?</section>"
+
+
+def scan_details(pages: DataFrame, most: int = 12, few: int = 3) -> DataFrame:
+    """page_id, pos, tag, outer_html, parent_outer_html: elements of the detail tags, tag by tag, without those of over `most` opening brackets.
+
+    An element of fewer than `few` comes with the first enclosing list,
+    navigation or section that holds it, if there's one.
+    """
+    found = None
+    for place, tag in enumerate(html.DETAIL_TAGS):
+        own = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))
+        part = _placed(own, place, tag)
+        found = part if found is None else F.concat(found, part)
+    brackets = lambda h: F.length(h) - F.length(F.replace(h, F.lit("<"), F.lit("")))
+    kept = F.filter(found, lambda e: brackets(e["outer_html"]) <= most)
+    rows = pages.select("page_id", F.regexp_extract_all("html", F.lit(ENCLOSING), F.lit(0)).alias("around"), F.posexplode(kept).alias("pos", "e")).select("page_id", "pos", "around", "e.*")
+    parent = F.get(F.filter("around", lambda v: F.contains(v, F.col("outer_html")) & (v != F.col("outer_html"))), F.lit(0))
+    return rows.select("page_id", "pos", "tag", "outer_html", F.when(brackets(F.col("outer_html")) < few, parent).alias("parent_outer_html"))
+
+
+def _placed(found: Column, place: int, tag: str) -> Column:
+    return F.transform(found, lambda h: F.struct(F.lit(place).alias("place"), F.lit(tag).alias("tag"), h.alias("outer_html")))
+
+
+def contexts(pages: DataFrame, quick: bool = True) -> DataFrame:
+    """What is told of a page beside its elements."""
+    return pages.select("page_id", urls.url_host(F.col("url")).alias("page_url_host"), urls.url_base(F.col("url")).alias("page_host_base"), F.lit(PAGE_HEIGHT).alias("page_height"), F.lit(quick).alias("quick"))
+
+
 def siblings(spark: SparkSession, sf_dir: str, most: int = 3, least: int = 3) -> DataFrame:
     """g, page_idx, page_id: the first pages of hosts that have at least `least`."""
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)

@@ -1,4 +1,6 @@
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from pagelattice.functions import distances as D
 from pagelattice.functions import html, urls
 from pagelattice.functions.styles import STYLE_KEYS
-from pagelattice.operators import columns, describe, visual
+from pagelattice.operators import affinity, columns, describe, visual
+from pagelattice.sources import fixtures
 
 KEYS = ["g"]
 SCHEMA = "g string, page_idx int, gap string, y_low int, y_high int"
@@ -292,3 +295,72 @@ def test_colours_of_unequal_areas(spark):
     rows = spark.createDataFrame([c[:5] for c in cases], "h double, s double, f double, a int, b int")
     found = [r[0] for r in rows.select(visual.compare_colours(*[F.col(n) for n in "hsfab"])).collect()]
     assert found == pytest.approx([c[5] for c in cases])
+
+
+def scalar_messages(s, rounds=200, damping=0.5):
+    """Affinity propagation element by element, without stopping early."""
+    n = len(s)
+    r, a = [[0.0] * n for _ in range(n)], [[0.0] * n for _ in range(n)]
+    for _ in range(rounds):
+        new = [[s[i][k] - max(a[i][m] + s[i][m] for m in range(n) if m != k) for k in range(n)] for i in range(n)]
+        r = [[damping * r[i][k] + (1 - damping) * new[i][k] for k in range(n)] for i in range(n)]
+        new = [[sum(max(0, r[m][k]) for m in range(n) if m != k) if i == k else min(0, r[k][k] + sum(max(0, r[m][k]) for m in range(n) if m not in (i, k))) for k in range(n)] for i in range(n)]
+        a = [[damping * a[i][k] + (1 - damping) * new[i][k] for k in range(n)] for i in range(n)]
+    chosen = [k for k in range(n) if r[k][k] + a[k][k] > 0]
+    return [i if i in chosen else max(chosen, key=lambda k: s[i][k]) for i in range(n)]
+
+
+def test_affinity_propagation_against_scalar_messages(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(c, 0.3, (5, 2)) for c in ((0, 0), (5, 5), (0, 6))])
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    s = -distance
+    np.fill_diagonal(s, np.median(s[~np.eye(15, dtype=bool)]))
+    expected = scalar_messages(s.tolist())
+    assert affinity.exemplars(-distance).tolist() == expected and len(set(expected)) == 3
+    rows = [(p, i, j, float(distance[i, j])) for p in ("x", "y") for i in range(15) for j in range(i + 1, 15)]
+    found = {(r["page_id"], r["idx"]): r["exemplar"] for r in affinity.propagated(spark.createDataFrame(rows, "page_id string, i int, j int, dist double")).collect()}
+    assert found == {(p, i): expected[i] for p in ("x", "y") for i in range(15)}
+    alike = spark.createDataFrame([(1, 0, 1, 0.0)], "page_id long, i int, j int, dist double")
+    assert affinity.propagated(alike).count() == 2
+
+
+def test_detail_scan_and_parents(spark):
+    page = "<ul><li>a</li><li><b>c</b></li></ul><p>" + "<i>x</i>" * 6 + "</p><h1>t</h1>"
+    rows = fixtures.scan_details(spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r["pos"], r["tag"], r["outer_html"]) for r in rows] == [(0, "h1", "<h1>t</h1>"), (1, "li", "<li>a</li>"), (2, "li", "<li><b>c</b></li>"), *[(3 + k, "i", "<i>x</i>") for k in range(6)], (9, "b", "<b>c</b>")]
+    assert [r["parent_outer_html"] is not None for r in rows] == [False, True, False, *[False] * 6, True]
+
+
+def test_parents_count_in_the_distance_of_details(spark):
+    a, b = detail(0, 0, "one", 100, parent="<ul></ul>"), detail(1, 0, "two", 100, parent="<ol></ol>")
+    far, none = detail(1, 0, "two", 190, tag="p", x=80, attrs=" k", parent="<ul></ul>"), detail(1, 0, "two", 100)
+    rows = spark.createDataFrame([(k, *x, *y) for k, (x, y) in enumerate(((a, b), (a, far), (a, none), (a, detail(1, 0, "two", 100, "li"))))], ["k", *["a_" + n for n in detail_names()], *["b_" + n for n in detail_names()]])
+    found = [r[0] for r in rows.orderBy("k").select(D.detail_similarity("a_", "b_")).collect()]
+    assert found == pytest.approx([0.35 * 2 / 9 * 0.85 * 0.9 * 0.9, 0.65 * 2 / 9 * 0.9 * 1.1, 0.0, 1.0])
+
+
+def detail_names():
+    return [part.split()[0] for part in DETAIL.split(", ")]
+
+
+def png(width, rows):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(v for value in row for v in (value, value, value)) for row in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_equal_images_of_a_folder(spark, tmp_path):
+    rng = random.Random(3)
+    one, two = ([[rng.randrange(256) for _ in range(32)] for _ in range(32)] for _ in range(2))
+    for name, rows in (("a", one), ("b", two), ("c", one)):
+        (tmp_path / f"{name}.png").write_bytes(png(32, rows))
+    images = fixtures.read_images(spark, str(tmp_path))
+    grey = F.expr("transform(sequence(0, 1023), k -> cast(conv(hex(substring(data, 3 * k + 1, 1)), 16, 10) as int))")
+    found = visual.same_images(images.select("origin", visual.perceptual_hash(grey).alias("phash"))).collect()
+    assert [[o.rsplit("/", 1)[1] for o in r["origins"]] for r in found] == [["a.png", "c.png"]]
+
+
+def test_scan_with_equality_and_limit(spark):
+    rows = spark.createDataFrame([(k, "sd"[k % 2]) for k in range(20)], "k int, ans string")
+    assert {r["ans"] for r in fixtures.scan_where(rows, 5, ans="s").collect()} == {"s"} and fixtures.scan_where(rows, 5, ans="s").count() == 5 and fixtures.scan_where(rows, 99, ans="d", k=3).count() == 1
