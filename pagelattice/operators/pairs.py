@@ -26,9 +26,19 @@ def pairs_within(elements: DataFrame, key: str = "page_id", order: str = "idx")
     page's elements, never of the table's; large pages are split by the skew join.
     """
     a, b = prefixed(elements, "a_"), prefixed(elements, "b_")
+    if _broadcast_size(elements):
+        # the other side would keep the few tasks of a small file for a quadratic number of pairs
+        a = a.repartition(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"a_{key}", f"a_{order}")
     return a.join(b, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{order}") < F.col(f"b_{order}")))
 
 
+def _broadcast_size(rows: DataFrame) -> bool:
+    """Whether Spark's own estimate of the rows lets it broadcast them; no job runs for it."""
+    query = rows._jdf.queryExecution()
+    most = query.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return int(query.optimizedPlan().stats().sizeInBytes()) <= most
+
+
 def measured(pairs: DataFrame, functions: dict[str, Callable[[str, str], Column]] | None = None, key: str = "page_id", order: str = "idx") -> DataFrame:
     """page, i, j and one column for each distance."""
     chosen = functions or REGISTRY
