@@ -20,9 +20,11 @@ word are no neighbours and stay.  A text of over a block's bytes is cut between
 two lines, and no passage reaches over that cut.
 
 With `copies`, a document that is a copy as a whole keeps its lines for a join
-of near duplicates to judge: of two documents' words, taken without the lines
-that go for a third one's sake, that share or more stand in lines of both.
-Without that, such a join would see what is left of a copy and not the copy.
+of near duplicates to judge.  Without that, such a join would see what is left
+of a copy and not the copy.  Two documents' words are taken without the lines
+that go for a third one's sake: if that share of all stands in lines of both,
+they're copies; from LIKELY on, if they're near in size, they are if their texts
+have that share of their shingles in common.
 
 Defined results: a null text stays null and an empty one empty; a row with a
 null doc_id stays as it is; lines repeated inside one document only are kept;
@@ -40,10 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.textkernel import line_blocks, mix, run_hashes
+from pagelattice.llm.textkernel import line_blocks, mix, run_hashes, shingle_sets
 from pagelattice.session import cut, small_batches, unused
 
 LEADING, LEAST_WORDS, SIMILARITY = 3, 8, 0.7
+#: Words of a shingle, and the share of lines from which shingles are compared.
+SHINGLE, LIKELY = 5, 0.1
 #: The leaf of all passages of short lines, and the line number of rows that hold a document's words.
 PASSAGE, WHOLE = 0, -1
 WHITE = " \t\n\v\f\r"
@@ -244,17 +248,48 @@ def find_repeats(docs: DataFrame, **settings) -> DataFrame:
     return repeated_rows(docs, **settings)[0].select("doc_id", "line")
 
 
-def without_copies(gone: DataFrame, words: DataFrame, copies: float) -> DataFrame:
+def without_copies(docs: DataFrame, gone: DataFrame, words: DataFrame, copies: float) -> DataFrame:
     """The lines that go, but for those by which a document is a copy of the one that keeps them."""
     # cut before each join, so that it stands alone and Spark can split what meets at one document
     gone = cut(gone.groupBy("doc_id", "line").agg(F.min("lo").alias("lo"), F.max("size").alias("size")))
     lost = gone.groupBy("doc_id").agg(F.sum("size").alias("lost"))
     rest = cut(words.join(lost, "doc_id", "left").select("doc_id", (F.col("n_words") - F.coalesce("lost", F.lit(0.0))).alias("kept")))
     common = gone.groupBy("doc_id", "lo").agg(F.sum("size").alias("common"))
-    likely = cut(common.join(rest, "doc_id").filter(F.col("common") >= copies * F.col("kept")))
+    likely = cut(common.join(rest, "doc_id").filter(F.col("common") >= LIKELY * F.col("kept")))
     pairs = likely.join(rest.select(F.col("doc_id").alias("lo"), F.col("kept").alias("lo_kept")), "lo")
-    alike = cut(pairs.filter(F.col("common") >= copies * (F.col("kept") + F.col("lo_kept"))).select("doc_id", "lo"))
-    return gone.join(alike, ["doc_id", "lo"], "left_anti")
+    own, other = F.col("kept") + F.col("common"), F.col("lo_kept")
+    share = F.col("common") / F.greatest(F.col("kept") + other, F.lit(1e-9))
+    near = F.least(own, other) >= 0.9 * copies * F.greatest(own, other)
+    pairs = cut(pairs.select("doc_id", "lo", share.alias("share"), near.alias("near")).filter(F.col("share") >= LIKELY))
+    by_lines, unsure = (pairs.filter(c).select("doc_id", "lo") for c in (F.col("share") >= copies, (F.col("share") < copies) & F.col("near")))
+    return gone.join(by_lines.union(alike(docs, unsure, copies)), ["doc_id", "lo"], "left_anti")
+
+
+def alike(docs: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs (doc_id, lo) whose texts have that share of their shingles in common; of rows with one id the first by its shingles counts."""
+    needed = pairs.select(F.explode(F.array("doc_id", "lo")).alias("owner")).distinct()
+    some, _ = touched(docs.select("doc_id", "text"), needed, "owner")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [own.tobytes() for own in shingle_sets(batch.column(1).to_pylist(), SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["owner", "tokens"])
+
+    made = some.mapInArrow(sets_of, f"owner {kind}, tokens binary").join(needed, "owner", "left_semi")
+    sets = cut(made.groupBy("owner").agg(F.min("tokens").alias("tokens")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= share * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["doc_id", "lo"])
+
+    one, two = sets.select(F.col("owner").alias("doc_id"), F.col("tokens").alias("x")), sets.select(F.col("owner").alias("lo"), F.col("tokens").alias("y"))
+    return cut(pairs.join(one, "doc_id").join(two, "lo").select("doc_id", "lo", "x", "y").mapInArrow(compare, f"doc_id {kind}, lo {kind}"))
 
 
 def touched(docs: DataFrame, gone: DataFrame, key: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +314,7 @@ def drop_repeats(docs: DataFrame, counted: bool = True, emptied: bool = True, co
     """
     found, words = repeated_rows(docs, counted=copies is not None, **settings)
     if copies is not None:
-        found = without_copies(found, words, copies)
+        found = without_copies(docs, found, words, copies)
     names = [n for n in docs.columns if not (counted and n == "n_dropped")]
     own_id, own_lines = unused("gone_id", names), unused("gone_lines", names)
     gone = cut(found.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line").alias(own_lines)))
