@@ -17,6 +17,7 @@ one kind, URLs without a rule are allowed.  URLs that repeat are judged each.
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -117,6 +118,13 @@ class UrlModel:
     offset: float = 0.0
     trained: bool = True
 
+    def __getstate__(self) -> dict:
+        """Most cells are blank until there are very many URLs, so the counts travel compressed."""
+        return {**self.__dict__, "counts": zlib.compress(self.counts.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, counts=np.frombuffer(zlib.decompress(state["counts"]), np.float32).reshape(2, CELLS))
+
     def score(self, urls: Sequence[str | None]) -> np.ndarray:
         """Log-likelihood difference by character: above 0 reads like a blocked URL."""
         codes, at, owner = coded(urls)
@@ -187,6 +195,7 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "rule_verdict")
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], names=["bin", "side"])
 
     kept = folds.filter("fold = 0").select("url", "side").mapInArrow(scores, "bin long, side int").groupBy("bin", "side").count().toArrow()
+    shared.destroy()
     if kept.num_rows:
         model.scale, model.offset = fit_logistic((kept["bin"].to_numpy() + 0.5) * BIN, kept["side"].to_numpy().astype(float), kept["count"].to_numpy().astype(float))
     return model
