@@ -15,8 +15,10 @@ better counts only give shorter lists.
    confirm make the first components.
 3. Lists that still hold several components are turned over: each entry names
    the members of other components that can reach the required overlap by size
-   and position.  A link inside a component changes no component.  A list of
-   over BLOCK rows is dealt out in pairs of blocks, so no task holds it whole.
+   and by the shingles before and behind.  So a pair that links is named by
+   each short list that holds both, and not only by the first ones, as all are
+   counted.  A link inside a component changes no component.  A list of over
+   BLOCK rows is dealt out in pairs of blocks, so no task holds it whole.
 4. A record's short lists come together and are heap-merged.  The occurrences
    counted in the merge decide: with the number of long lists they must reach
    the required overlap.  A record with very many entries is merged in parts,
@@ -221,29 +223,40 @@ class Entries:
         self.start, self.end = start, np.append(start[1:], len(run))
         self.place = np.arange(len(run)) - np.repeat(start, self.end - start)
 
-    def meet(self, k: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether entries of one list are of different components and can reach the required overlap; in a pair of blocks, only across."""
+    def meet(self, k: np.ndarray, j: np.ndarray, first: bool) -> np.ndarray:
+        """Whether entries of one list are of different components and can reach the required overlap; in a pair of blocks, only across.
+
+        If it's the first list that holds both, the overlap starts there; else
+        all shingles before it may be shared, too.
+        """
         n, m = self.n[k], self.n[j]
         fits = (self.component[k] != self.component[j]) & self.rule.sizes_fit(n, m)
-        fits &= np.minimum(self.rest[k], self.rest[j]) >= self.rule.required(n, m)
+        reach = np.minimum(self.rest[k], self.rest[j])
+        if not first:
+            reach += np.minimum(n - self.rest[k], m - self.rest[j])
+        fits &= reach >= self.rule.required(n, m)
         return fits & (~self.across[k] | (self.side[k] != self.side[j]))
 
-    def partners(self, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (entry, earlier entry of its list) that meet, sorted; lists of few entries take one step for each distance between two of them."""
+    def partners(self, few: int = 64, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (entry, earlier entry of its list) that meet, sorted; lists of few entries take one step for each distance between two of them.
+
+        With `first`, lists that can be the first to hold both of a pair that
+        links; without, all that can hold both, as a count of them needs.
+        """
         size = self.end - self.start
         short = np.repeat(size <= few, size)
         found = []
         for step in range(1, int(size[size <= few].max(initial=0))):
             k = np.flatnonzero(short & (self.place >= step))
-            k = k[self.meet(k, k - step)]
+            k = k[self.meet(k, k - step, first)]
             found.append((k, k - step))
-        for first, end in zip(self.start[size > few].tolist(), self.end[size > few].tolist()):
-            step = max(1, 1_000_000 // (end - first))
-            for low in range(first, end, step):
+        for start, end in zip(self.start[size > few].tolist(), self.end[size > few].tolist()):
+            step = max(1, 1_000_000 // (end - start))
+            for low in range(start, end, step):
                 k = np.arange(low, min(end, low + step))[:, None]
-                j = np.arange(first, end)[None, :]
-                row, at = np.nonzero((j < k) & self.meet(k, j))
-                found.append((row + low, at + first))
+                j = np.arange(start, end)[None, :]
+                row, at = np.nonzero((j < k) & self.meet(k, j, first))
+                found.append((row + low, at + start))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         k, j = (np.concatenate(x) for x in zip(*found))
@@ -270,7 +283,7 @@ def turned_lists(lists: DataFrame, components: DataFrame, rule: Rule) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in closed_runs(batches, 3):
             entries = Entries(rows, rule)
-            k, j = entries.partners()
+            k, j = entries.partners(first=False)
             first = np.flatnonzero(np.append(len(k) > 0, np.diff(k) != 0))
             border = np.append(first, len(k)).astype(np.int32)
             own = k[first]
@@ -329,7 +342,11 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
 
 
 def merged(lists: list[np.ndarray], sizes: list[np.ndarray], n: int, rule: Rule) -> list[int]:
-    """The candidates that occur often enough in a record's short lists, by a heap merge of the sorted lists."""
+    """The candidates that occur often enough in a record's short lists, by a heap merge of the sorted lists.
+
+    The lists must name a candidate wherever both occur: what isn't counted is
+    taken for a long list of the larger one, of which there are T - 1.
+    """
     known, at = np.unique(np.concatenate(lists), return_index=True)
     times = np.array([sum(1 for _ in run) for _, run in groupby(heapq.merge(*(x.tolist() for x in lists)))], np.int64)
     other = np.concatenate(sizes)[at].astype(np.int64)

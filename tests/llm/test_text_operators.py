@@ -126,6 +126,21 @@ def test_jaccard_entries_against_pairs():
     assert got == expected and len(got) > 1000
 
 
+def test_jaccard_names_every_linked_pair(spark):
+    # no first components, so that all links must come from the counts
+    texts = [near(seed, edits) for seed in range(3) for edits in range(6)]
+    rule, table = jaccard_join.Rule(), np.zeros(1 << jaccard_join.COUNT_BITS, np.uint32)
+    sets = jaccard_join.shingle_sets(texts, 4)
+    for own in sets:
+        np.add.at(table, (own & np.uint64(len(table) - 1)).astype(np.int64), np.uint32(1))
+    lists = jaccard_join.shared_lists(jaccard_join.short_list_rows(docs(spark, texts), 4, rule, spark.sparkContext.broadcast(table)), rule)
+    none = spark.createDataFrame([], "node long, component long")
+    found = {(r["a"], r["b"]) for r in jaccard_join.cross_candidates(lists, none, rule).collect()}
+    named = {jaccard_join.digest(own): own for own in sets}
+    linked = {(a, b) for a in named for b in named if a < b and jaccard_join.probe(named[a], named[b]) >= rule.required(len(named[a]), len(named[b]))}
+    assert len(linked) >= 8 and linked <= found
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
