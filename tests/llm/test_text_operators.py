@@ -141,6 +141,21 @@ def test_jaccard_names_every_linked_pair(spark):
     assert len(linked) >= 8 and linked <= found
 
 
+def test_jaccard_groups_of_near_copies(spark):
+    # the text with the smallest doc_id of a list is itself a near copy, and most often too far from the others
+    rng, texts = random.Random(14), []
+    for size, length in ((50, 60), (50, 120), (100, 300)):
+        own = words(length, size + length).split()
+        for _ in range(size):
+            copy = list(own)
+            for _ in range(rng.randrange(length // 30 + 1)):
+                copy[rng.randrange(length)] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert found_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
