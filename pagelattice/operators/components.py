@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pagelattice.session import cut
 
 MOST_ROUNDS = 60
+#: Edges that one task takes whole; more go in rounds of joins.
+FEW = 1 << 18
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,12 +35,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node of an edge.
 
-    Self-loops are nodes without neighbours.  The rounds grow with the logarithm
-    of the number of nodes; each ends in the shared checkpoint folder, so a lost
-    executor costs one round at most.  No node's neighbours are gathered: the
-    hubs are handled by joins, which may be split.
+    Self-loops are nodes without neighbours.  Up to FEW edges between whole
+    numbers are solved by one task, as rounds would write more files than rows.
+    Else the rounds grow with the logarithm of the number of nodes; each ends in
+    the shared checkpoint folder, so a lost executor costs one round at most.
+    No node's neighbours are gathered: the hubs are handled by joins, which may
+    be split.
     """
     pairs = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    kinds = {f.dataType.simpleString() for f in pairs.schema}
+    if len(kinds) == 1 and kinds <= {"int", "bigint"} and pairs.count() <= FEW:
+        return cut(_in_one_task(pairs, *kinds))
     nodes = pairs.filter("a = b").select(F.col("a").alias("node"))
     stars = pairs.filter("a <> b")
     seen = None
@@ -56,6 +63,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return known.union(nodes.join(known.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
 
 
+def _in_one_task(pairs: DataFrame, kind: str) -> DataFrame:
+    """node, component of an edge table that one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = names[labels_of(at[: len(a)], at[len(a) :], len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(root)], names=["node", "component"])
+
+    return pairs.filter("a is not null and b is not null").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def labels_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node reachable from each of n nodes over edges (a, b)."""
     label = np.arange(n)

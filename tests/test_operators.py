@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pagelattice.operators import columns, describe, pairs, updates
+from pagelattice.operators import columns, components, describe, pairs, updates
 from pagelattice.operators.components import components_within, connected_components
 
 
@@ -37,6 +37,35 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_rounds_and_in_one_task_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(120)] + [(k, k + 1) for k in range(200, 400)] + [(None, 1), (2, None), (7, 7)]
+    for kind in ("int", "long", "string"):
+        own = [tuple(None if x is None else str(x) for x in e) for e in edges] if kind == "string" else edges
+        frame = spark.createDataFrame(own, f"a {kind}, b {kind}").repartition(5)
+        whole = [e for e in own if None not in e]
+        for few in (components.FEW, 0):
+            monkeypatch.setattr(components, "FEW", few)
+            assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == brute({n for e in whole for n in e}, whole)
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    context, own = spark.sparkContext, {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few edges", "few edges")
+        connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few edges") for s in told.getJobInfo(j).stageIds}
+    assert 0 < sum(x.numTasks for s in stages if (x := told.getStageInfo(s))) < 500
+
+
 def test_components_within_groups_match_brute_force(spark):
     rng = random.Random(6)
     rows = [(g, rng.randrange(60), rng.randrange(60), rng.random()) for g in ("x", "y", "z" * 9) for _ in range(90)] + [("chain", k, k + 1, 0.1) for k in range(300)]
