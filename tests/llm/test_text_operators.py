@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, token_counts, toxicity
+from pagelattice.operators import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rid string"
 
@@ -156,6 +157,28 @@ def test_jaccard_groups_of_near_copies(spark):
     assert found_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows)
 
 
+def test_jaccard_of_larger_groups_beyond_its_limits(spark, monkeypatch):
+    # limits as a large input fills them: counts that tell little, lists in many blocks and batches, merges in parts
+    for name, most in (("COUNT_BITS", 10), ("BLOCK", 16), ("MERGED", 100)):
+        monkeypatch.setattr(jaccard_join, name, most)
+    monkeypatch.setattr(jaccard_join, "small_batches", lambda session: session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13"))
+    monkeypatch.setattr(components, "FEW", 20)
+    rng, texts = random.Random(15), []
+    for size, length, edits in ((150, 60, 3), (60, 150, 6)):
+        own = words(length, size, 10**6).split()
+        for _ in range(size):
+            copy = list(own)
+            for _ in range(rng.randrange(edits + 1)):
+                copy[rng.randrange(length)] = f"w{rng.randrange(10**6)}"
+            texts += [" ".join(copy)] * rng.choice((1, 1, 2))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    try:
+        assert found_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
