@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
-    ("example.net", "/de/8", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
 ORDER = 4
