@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 
 from pagelattice.functions.distances import REGISTRY, combined
 from pagelattice.operators.components import components_within, connected_components
+from pagelattice.session import small_methods, unused
 
 # Fixed value: the largest distance within a cluster.
 EPS = 0.407
+#: Elements of a page that one task pairs with all others of it.
+LARGE = 2000
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -23,20 +26,23 @@ def pairs_within(elements: DataFrame, key: str = "page_id", order: str = "idx")
     """All pairs i < j of a page: an equi-join on the page with a residual order test.
 
     The pairs are what is asked for, so their number is in the square of a
-    page's elements, never of the table's; large pages are split by the skew join.
+    page's elements, never of the table's.  Spark's estimate of derived rows
+    doesn't know how long their arrays are, so none are broadcast.  If a page
+    has more than LARGE elements, one side is cut into blocks of about that
+    size, which are tasks of their own, and the other comes once for each.
     """
-    a, b = prefixed(elements, "a_"), prefixed(elements, "b_")
-    if _broadcast_size(elements):
-        # the other side would keep the few tasks of a small file for a quadratic number of pairs
-        a = a.repartition(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"a_{key}", f"a_{order}")
-    return a.join(b, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{order}") < F.col(f"b_{order}")))
-
-
-def _broadcast_size(rows: DataFrame) -> bool:
-    """Whether Spark's own estimate of the rows lets it broadcast them; no job runs for it."""
-    query = rows._jdf.queryExecution()
-    most = query.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
-    return int(query.optimizedPlan().stats().sizeInBytes()) <= most
+    small_methods(elements.sparkSession)
+    sizes = elements.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > LARGE)
+    if sizes.isEmpty():
+        a, b = prefixed(elements, "a_"), prefixed(elements, "b_")
+        return a.join(b.hint("merge"), (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{order}") < F.col(f"b_{order}")))
+    size, block = unused("n", elements.columns), unused("block", elements.columns)
+    blocks = sizes.select(key, F.ceil(F.col("n") / LARGE).cast("int").alias(size))
+    placed = elements.join(F.broadcast(blocks), key, "left").withColumn(size, F.coalesce(size, F.lit(1)))
+    a = prefixed(placed.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(size) - 1))).drop(size), "a_")
+    b = prefixed(placed.withColumn(block, F.pmod(F.xxhash64(order), F.col(size)).cast("int")).drop(size), "b_")
+    met = (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col(f"a_{order}") < F.col(f"b_{order}"))
+    return a.join(b.hint("merge"), met).drop(f"a_{block}", f"b_{block}")
 
 
 def measured(pairs: DataFrame, functions: dict[str, Callable[[str, str], Column]] | None = None, key: str = "page_id", order: str = "idx") -> DataFrame:
@@ -58,7 +64,7 @@ def clustered(distances: DataFrame, elements: DataFrame, names: Sequence[str], e
     """
     told = distances.select(key, "i", "j", combined(*[F.col(n) for n in names]).alias("dist"))
     found = components_within(told, key, "i", "j", "dist", eps).select(key, F.col("node").alias(order), F.col("component").cast(elements.schema[order].dataType).alias("cluster_key"))
-    return elements.select(key, order).join(found, [key, order], "left")
+    return elements.select(key, order).join(found.hint("merge"), [key, order], "left")
 
 
 def ranked(clusters: DataFrame, key: str = "page_id") -> DataFrame:

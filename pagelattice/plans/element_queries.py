@@ -142,7 +142,7 @@ _TEN = f"""{O._RECT}, {O._VIS}, {O._CSS}, {_FEATURES.removeprefix(f"{O._RECT}, {
 @query(f"with {_TEN} select page_id, i, j, round(coalesce(list_avg([v for v in d if abs(0.5 - v) > 0.04]), 0.5), 6) as dist from measured")
 def a5_combine_all(spark, sf_dir):
     """All ten functions; the crops' verdict is stood in for by their areas."""
-    rows = X.raw_elements(spark, sf_dir).join(X.elements(spark, sf_dir, X.STYLES), ["page_id", "idx"]).withColumn("feature_set", describe.feature_set())
+    rows = X.raw_elements(spark, sf_dir, X.STYLES).withColumn("feature_set", describe.feature_set())
     pairs = P.pairs_within(D.with_ids(rows).drop("css_array", "feature_set").withColumn("page_host", F.lit("example.com")))
     ten = D.all_functions(lambda a, b: D.where_displayed(a, b, D.areas_similar(a, b)))
     measured = P.measured(pairs, ten)
@@ -154,7 +154,7 @@ def a5_combine_all(spark, sf_dir):
         string_agg(cast(idx as varchar), ',' order by idx) as node_ids, coalesce(string_agg(url, ' ' order by idx) filter (where url <> ''), '') as urls,
         array_to_string(list_sort(list_distinct(coalesce(list(url) filter (where url <> ''), []))), ' ') as urls_key, array_to_string(list_sort(list_distinct(list(p_name))), '|') as text_key from rows group by page_id, cluster_key""")
 def a6_cluster_stats(spark, sf_dir):
-    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir), ["page_id", "idx"])
+    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir).hint("merge"), ["page_id", "idx"])
     found = updates.cluster_fields(rows)
     return found.select(
         "page_id", "cluster_key", "length", F.round("avg_area", 6).alias("avg_area"), "any_displayed", "visible", "all_visible", F.array_join(F.transform("node_ids", lambda v: v.cast("string")), ",").alias("node_ids"),
@@ -167,13 +167,13 @@ _SETS = f"""{O._ALL}, {O._REACH}, {_RAW}, sets as (select page_id, cluster_key,
 
 @query(f"with recursive {_SETS} select a.page_id, a.cluster_key as one, b.cluster_key as other from sets a join sets b on a.page_id = b.page_id and a.cluster_key < b.cluster_key and a.u = b.u")
 def a8_equivalent_clusters(spark, sf_dir):
-    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir), ["page_id", "idx"])
+    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir).hint("merge"), ["page_id", "idx"])
     return updates.equivalent_clusters(updates.cluster_fields(rows))
 
 
 @query(f"with recursive {O._ALL}, {O._REACH}, {_RAW} select page_id, cluster_key, idx, url from keyed join raw using (page_id, idx) where url <> '' and contains(url, 'example.com')")
 def f9_urls_of_host(spark, sf_dir):
-    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir), ["page_id", "idx"])
+    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.raw_elements(spark, sf_dir).hint("merge"), ["page_id", "idx"])
     return updates.urls_of_host(rows, F.lit("https://www.example.com/list")).select("page_id", "cluster_key", "idx", "url")
 
 
@@ -182,7 +182,7 @@ def f9_urls_of_host(spark, sf_dir):
     select page_id, elements, coalesce(clusters, '{{}}') as clusters from e left join c using (page_id)""")
 def k3_element_update(spark, sf_dir):
     """One message a page: its elements by id, and its clusters."""
-    rows = X.raw_elements(spark, sf_dir).join(Q._clusters(spark, sf_dir), ["page_id", "idx"])
+    rows = X.raw_elements(spark, sf_dir).join(Q._clusters(spark, sf_dir).hint("merge"), ["page_id", "idx"])
     found = updates.element_updates(rows)
     return found.select("page_id", F.to_json("elements_by_id").alias("elements"), F.to_json("clusters").alias("clusters"))
 

@@ -77,7 +77,7 @@ def k9_pair_report(spark, sf_dir):
 
 @query(f"with recursive {O._ALL}, {O._REACH} select page_id, cluster_key, idx, cast(row_number() over (partition by page_id, cluster_key order by area desc, idx) as int) as place from keyed join box using (page_id, idx)")
 def a6_sorted_members(spark, sf_dir):
-    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.elements(spark, sf_dir, X.RECT), ["page_id", "idx"])
+    rows = Q._clusters(spark, sf_dir).filter("cluster_key is not null").join(X.elements(spark, sf_dir, X.RECT).hint("merge"), ["page_id", "idx"])
     return updates.sorted_members(rows, F.desc("area"), H("idx")).select("page_id", "cluster_key", "idx", "place")
 
 

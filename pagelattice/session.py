@@ -38,6 +38,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has, by the columns; a small file is otherwise read by few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: spark.checkpoint.dir.
 
@@ -81,6 +86,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_methods(spark: SparkSession, most: int = 8000) -> None:
+    """Runs stages whose one generated method would be too large for the virtual machine to compile from their single expressions, which are split.
+
+    Plans read the bound when they run, so it stays set for the session.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, "65535")) > most:
+        spark.conf.set(name, str(most))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds what one Arrow batch of whole texts can hold, by rows and by bytes.
 

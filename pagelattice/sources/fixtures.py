@@ -12,13 +12,13 @@ from pyspark.sql.window import Window
 
 from pagelattice.functions import html, layout, text, urls
 from pagelattice.functions.styles import STYLE_KEYS
-from pagelattice.session import read_table
+from pagelattice.session import read_table, spread
 
 PAGE_HEIGHT = 2400
 DETAIL = r"(?is)<h1\b[^>]*>.*?</h1>|<p\b[^>]*>.*?</p>|<li\b[^>]*>.*?</li>|<footer\b[^>]*>.*?</footer>"
 
 
-KEYS = ("cast(floor(p_partkey/40) as bigint) page_id", "cast(p_partkey%40 as int) idx")
+KEYS = ("page_id", "cast(p_partkey%40 as int) idx")
 RECT = (
     "cast((p_partkey%6)*210 as int) x",
     "cast((p_partkey%40)*60 + case when p_partkey%7=0 then 3 else 0 end as int) y",
@@ -46,9 +46,9 @@ RAW = (
 )
 
 
-def raw_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements as a browser hands them over, with what features, URLs and contents are told by."""
-    rows = elements(spark, sf_dir, RECT, VISIBILITY, RAW)
+def raw_elements(spark: SparkSession, sf_dir: str, *more: tuple[str, ...]) -> DataFrame:
+    """Elements as a browser hands them over, with what features, URLs and contents are told by, and the columns of further groups."""
+    rows = elements(spark, sf_dir, RECT, VISIBILITY, RAW, *more)
     h, u = F.col("outer_html"), F.col("url")
     rows = rows.withColumns({"xpath_suffix": html.xpath_suffix(F.col("xpath")), "tag_class_str": html.tag_class(h), **urls.described(u)})
     return rows.withColumns({
@@ -92,9 +92,14 @@ def shown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str, *groups: tuple[str, ...]) -> DataFrame:
-    """Elements made of the rows of part, with the columns of the groups (all without any), in one scan."""
+    """Elements made of the rows of part, with the columns of the groups (all without any), in one scan.
+
+    A small file is few tasks, and its rows become far longer here, so they are
+    spread by their page while they are short.
+    """
     chosen = groups or (RECT, VISIBILITY, STYLES, FEATURES)
-    rows = read_table(spark, sf_dir, "part").selectExpr(*KEYS, *[c for g in chosen for c in g])
+    part = spread(read_table(spark, sf_dir, "part").withColumn("page_id", F.expr("cast(floor(p_partkey/40) as bigint)")), "page_id")
+    rows = part.selectExpr(*KEYS, *[c for g in chosen for c in g])
     if RECT in chosen:
         rows = rows.withColumn("area", F.col("width") * F.col("height"))
     return rows.withColumn("all_visible", layout.all_visible()) if VISIBILITY in chosen else rows

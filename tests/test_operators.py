@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.operators import columns, components, describe, pairs, updates
 from pagelattice.operators.components import components_within, connected_components
+from pagelattice.sources import fixtures
 
 
 def brute(nodes, edges):
@@ -110,6 +111,27 @@ def test_pairs_are_an_equi_join(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_pairs_broadcast_no_elements(spark):
+    rows = spark.createDataFrame([(k // 40, k % 40) for k in range(80)], "page_id int, idx int").withColumn("styles", F.array_repeat(F.lit("x"), 134))
+    plan = pairs.pairs_within(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_pairs_of_large_pages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "LARGE", 7)
+    rows = spark.createDataFrame([(1, k, f"n{k}") for k in range(30)] + [(2, k, "x") for k in range(5)] + [(3, 1, "y"), (None, 1, "z")], "page_id int, idx int, n string")
+    found = pairs.pairs_within(rows)
+    assert found.columns == ["a_page_id", "a_idx", "a_n", "b_page_id", "b_idx", "b_n"]
+    assert sorted((r["a_page_id"], r["a_idx"], r["b_idx"]) for r in found.collect()) == [(p, i, j) for p, n in ((1, 30), (2, 5)) for i in range(n) for j in range(i + 1, n)]
+    assert found.filter("a_page_id = 1 and (b_n <> concat('n', b_idx) or a_n <> concat('n', a_idx))").count() == 0
+
+
+def test_elements_of_a_small_file_are_dealt_over_all_tasks(spark, tmp_path):
+    spark.range(200).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert fixtures.elements(spark, str(tmp_path), fixtures.RECT).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_clusters_and_leftovers_are_disjoint(spark):
     elements = spark.createDataFrame([(1, i) for i in range(5)], "page_id long, idx int")
     distances = spark.createDataFrame([(1, 0, 1, 0.0), (1, 0, 2, 1.0), (1, 3, 4, 0.1)], "page_id long, i int, j int, d double")
