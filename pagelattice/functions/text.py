@@ -22,6 +22,15 @@ DATE_PATTERNS = (
     ("TIME", rf"(({HOUR_24})(:|\.)(0|1|2|3|4|5)(0|5)\s?({AM_PM})?|({HOUR_12})\s?({AM_PM}))"),
     ("DAY_NAME", "(monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|thur|thurs|fri|sat|sun)"),
 )
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+#: Shorter patterns that are found in a text exactly if those are.
+DATE_FOUND = (
+    ("DAY_NUM_OPTWORD_MONTH", "(?:[1-9]|[123]0)(?:st|nd|rd|th)? (?:of )?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"),
+    ("MONTH_DAY_NUM_WORD", f"(?:{_MONTHS}) (?:0[1-9]|[12][0-9]|3[01]|[1-9])(?:st|nd|rd|th)"),
+    ("MONTH_YEAR", f"(?:{_MONTHS}) 20(?:1[0-9]|2[0-4])"),
+    ("TIME", r"[0-9](?:[:.][0-5][05]|(?:(?<=[1-9])|(?<=[01]0))\s?[ap](?:m|\.m\.))"),
+    ("DAY_NAME", "mon|tue|wed|thu|fri|sat|sun"),
+)
 MORE_TEXTS = ("more", "read more", "learn more", "see more", "view more", "find out more", "more info", "details", "continue reading")
 
 
@@ -32,7 +41,7 @@ def text_is_digit(text: Column) -> Column:
 def text_has_date(text: Column) -> Column:
     """The label of the first pattern found anywhere in the text, '' if none is."""
     label = F.lit("")
-    for name, pattern in reversed(DATE_PATTERNS):
+    for name, pattern in reversed(DATE_FOUND):
         label = F.when(F.rlike(text, F.lit(f"(?i){pattern}")), name).otherwise(label)
     return label
 
