@@ -19,21 +19,22 @@ NEUTRAL = 0.04
 MAX_SPREAD = 2817.8
 
 
-def with_ids(elements: DataFrame) -> DataFrame:
+def with_ids(elements: DataFrame, missing: bool = False) -> DataFrame:
     """Style arrays and feature sets as numbers, made once an element, so that pairs compare numbers and not strings.
 
     css_ids: a 64-bit hash of position and value of each style that isn't blank;
-    css_blank: a bit for each position that is; feature_ids: a hash of each
-    distinct feature.
+    css_blank: a bit for each position that is; css_missing, if asked for: a bit
+    for each that is null; feature_ids: a hash of each distinct feature.
     """
     if "css_array" in elements.columns:
         styles = F.col("css_array")
         ids = F.filter(F.transform(styles, lambda v, k: F.when(v != "", F.xxhash64(k, v))), lambda v: v.isNotNull())
-        bits = lambda at: F.aggregate(
-            F.transform(F.slice(styles, at + 1, F.lit(64)), lambda v, k: F.when(v == "", F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))),
+        bits = lambda at, told: F.aggregate(
+            F.transform(F.slice(styles, at + 1, F.lit(64)), lambda v, k: F.when(told(v), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))),
             F.lit(0).cast("long"), lambda t, v: t.bitwiseOR(v),
         )
-        elements = elements.withColumns({"css_ids": ids, "css_blank": F.array(*[bits(F.lit(at)) for at in range(0, CSS_KEYS, 64)])})
+        every = lambda told: F.array(*[bits(F.lit(at), told) for at in range(0, CSS_KEYS, 64)])
+        elements = elements.withColumns({"css_ids": ids, "css_blank": every(lambda v: v == ""), **({"css_missing": every(lambda v: v.isNull())} if missing else {})})
     if "feature_set" in elements.columns:
         elements = elements.withColumn("feature_ids", F.array_distinct(F.transform("feature_set", lambda v: F.xxhash64(v))))
     return elements
@@ -98,11 +99,19 @@ def spatially_aligned(a: str, b: str) -> Column:
 
 def compare_computed_styles(a: str, b: str) -> Column:
     """By equal positions of two style arrays, from `with_ids`; equal blanks count less."""
-    equal = F.size(F.array_intersect(f"{a}css_ids", f"{b}css_ids"))
-    blank = lambda k: F.bit_count(F.get(f"{a}css_blank", F.lit(k)).bitwiseAND(F.get(f"{b}css_blank", F.lit(k))))
-    blanks = blank(0)
+    return _by_equals(a, b, _shared_bits(a, b, "css_blank"))
+
+
+def _shared_bits(a: str, b: str, name: str) -> Column:
+    both = lambda k: F.bit_count(F.get(f"{a}{name}", F.lit(k)).bitwiseAND(F.get(f"{b}{name}", F.lit(k))))
+    shared = both(0)
     for k in range(1, -(-CSS_KEYS // 64)):
-        blanks = blanks + blank(k)
+        shared = shared + both(k)
+    return shared
+
+
+def _by_equals(a: str, b: str, blanks: Column) -> Column:
+    equal = F.size(F.array_intersect(f"{a}css_ids", f"{b}css_ids"))
     v = F.greatest(F.lit(-16.0), F.least(F.lit(13.0), F.lit(1.5) * equal + blanks - CSS_KEYS))
     return F.lit(1.0) - (v + 16) / 29.0
 
@@ -114,6 +123,11 @@ def compare_style_maps(a: str, b: str) -> Column:
     return F.lit(1.0) - (v + 16) / 29.0
 
 
+def compare_style_map_ids(a: str, b: str) -> Column:
+    """compare_style_maps of CSS_KEYS keys, from `with_ids` with what's missing."""
+    return _by_equals(a, b, _shared_bits(a, b, "css_blank") + _shared_bits(a, b, "css_missing"))
+
+
 def compare_weighted_styles(a: str, b: str) -> Column:
     """Mean over the keys that either has; rare values count for more.
 
@@ -129,16 +143,14 @@ def compare_weighted_styles(a: str, b: str) -> Column:
         return F.when(p["v"].isNull() & q["v"].isNull(), None).when(p["v"].eqNullSafe(q["v"]), F.least(F.lit(0.44), p["w"] / 2)).otherwise(unequal)
 
     points = F.filter(F.zip_with(F.col(f"{a}styles"), F.col(f"{b}styles"), point), lambda v: v.isNotNull())
-    return F.aggregate(points, F.lit(0.0), lambda t, v: t + v, lambda t: F.try_divide(t, F.size(points).cast("double")))
-
-
-def css_tags(css_array: Column) -> Column:
-    """`position=value` of the styles that aren't blank; derive it once an element, before pairs are made."""
-    return F.filter(F.transform(css_array, lambda v, k: F.when(v != "", F.concat(k.cast("string"), F.lit("="), v))), lambda v: v.isNotNull())
+    # bound to a variable, as the expression would be evaluated for the sum and for the number
+    mean = lambda p: F.try_divide(F.aggregate(p, F.lit(0.0), lambda t, v: t + v), F.size(p).cast("double"))
+    return F.get(F.transform(F.array(points), mean), F.lit(0))
 
 
 def compare_computed_styles_jaccard(a: str, b: str) -> Column:
-    return jaccard_distance(F.col(f"{a}css_tags"), F.col(f"{b}css_tags"))
+    """Jaccard distance of the styles that aren't blank, from `with_ids`."""
+    return _overlap(F.col(f"{a}css_ids"), F.col(f"{b}css_ids"))
 
 
 def jaccard_distance(x: Column, y: Column) -> Column:
@@ -148,7 +160,10 @@ def jaccard_distance(x: Column, y: Column) -> Column:
 
 def featureset_overlap(a: str, b: str) -> Column:
     """Jaccard distance of two sets of distinct features, from `with_ids`."""
-    x, y = F.col(f"{a}feature_ids"), F.col(f"{b}feature_ids")
+    return _overlap(F.col(f"{a}feature_ids"), F.col(f"{b}feature_ids"))
+
+
+def _overlap(x: Column, y: Column) -> Column:
     shared = F.size(F.array_intersect(x, y))
     every = F.size(x) + F.size(y) - shared
     return F.when(every > 0, F.lit(1.0) - shared / every.cast("double")).otherwise(F.lit(0.0))

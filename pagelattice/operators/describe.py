@@ -13,6 +13,9 @@ from pagelattice.functions.html import attributes, class_features
 from pagelattice.functions.styles import STYLE_KEYS
 from pagelattice.functions.urls import is_social
 
+# Fixed value: the weight of a style from which on `compare_weighted_styles` tells none from another.
+COMMON = 0.88
+
 
 def consolidate(feeds: Sequence[DataFrame], keys: Sequence[str] = ("page_id", "node_id")) -> DataFrame:
     """One row a node: of each column the greatest value, so blanks and nulls lose.
@@ -55,6 +58,20 @@ def style_weight(styles: DataFrame, elements: DataFrame) -> DataFrame:
     return style_frequency(styles, elements).select("k", "v", F.greatest(F.lit(1.0) - F.col("frequency"), F.lit(0.12)).alias("weight"))
 
 
+def weighed_styles(elements: DataFrame, weights: DataFrame) -> DataFrame:
+    """page_id, idx, styles: structs (v, w) in the order of the keys, v null where it's blank, as `compare_weighted_styles` reads them.
+
+    Weights from COMMON on act alike there, and only a value that more than
+    1 - COMMON of the elements have weighs less, of which a key has a few at
+    most.  So those alone travel to the elements, as one short row.
+    """
+    few = weights.filter(F.col("weight") < COMMON).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("v", "weight"))).alias("m"))
+    row = few.agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("few")).select(F.transform(F.sequence(F.lit(0), F.lit(len(STYLE_KEYS) - 1)), lambda k: F.try_element_at("few", k)).alias("few"))
+    weight = lambda v, k: F.coalesce(F.try_element_at(F.get("few", k), v), F.lit(1.0))
+    styles = F.transform("css_array", lambda v, k: F.struct(F.when(v != "", v).alias("v"), weight(v, k).alias("w")))
+    return elements.crossJoin(F.broadcast(row)).select("page_id", "idx", styles.alias("styles"))
+
+
 def number_repeats(rows: DataFrame, value: str, order: str, within: str = "page_id", out: str = "name") -> DataFrame:
     """The k-th occurrence of a value in a page's list is named value__k; the first has no suffix."""
     n = F.row_number().over(Window.partitionBy(within, value).orderBy(order))
@@ -92,13 +109,20 @@ def feature_set() -> Column:
 
 
 def style_array(styles: Column) -> Column:
-    """A map of styles as an array in the order of the keys: '' where a key is missing, values cut at 100 characters."""
-    return F.array(*[F.substring(F.coalesce(F.try_element_at(styles, F.lit(k)), F.lit("")), 1, 100) for k in STYLE_KEYS])
+    """A map of styles as an array in the order of the keys: '' where a key is missing, values cut at 100 characters.
+
+    The map is bound to a variable, as an expression for it would be evaluated for each key.
+    """
+    told = lambda m: F.transform(F.array(*[F.lit(k) for k in STYLE_KEYS]), lambda k: F.substring(F.coalesce(F.try_element_at(m, k), F.lit("")), 1, 100))
+    return F.get(F.transform(F.array(styles), told), F.lit(0))
 
 
 def interned_styles(elements: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, idx, k, n: each style that isn't blank as a number that its page gives to position and value; blank is -1."""
+    """page, idx, k, n: each style that isn't blank as a number that its page gives to position and value; blank is -1.
+
+    Blank styles come last in the order of the numbers, so that one sort of a page's styles does.
+    """
     styles = elements.select(page, "idx", F.posexplode("css_array").alias("k", "v"))
-    number = F.dense_rank().over(Window.partitionBy(page).orderBy("k", "v")) - 1
-    told = styles.filter("v <> ''").select(page, "k", "v").distinct().withColumn("n", number)
-    return styles.join(told, [page, "k", "v"], "left").select(page, "idx", "k", F.coalesce("n", F.lit(-1)).alias("n"))
+    blank = ~F.coalesce(F.col("v") != "", F.lit(False))
+    number = F.dense_rank().over(Window.partitionBy(page).orderBy(blank, "k", "v")) - 1
+    return styles.select(page, "idx", "k", F.when(blank, -1).otherwise(number).alias("n"))

@@ -14,7 +14,7 @@ from pagelattice.operators import columns as W
 from pagelattice.operators import describe, visual
 from pagelattice.operators import pairs as P
 from pagelattice.plans import oracle as O
-from pagelattice.session import read_table
+from pagelattice.session import read_table, spread
 from pagelattice.sources import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,8 +128,8 @@ def a9_column_positions(spark, sf_dir):
 
 @query(O._pairs(O._CSS, "css", O._c4("a.c", "b.c")))
 def c4c_style_maps(spark, sf_dir):
-    rows = X.elements(spark, sf_dir, X.STYLES).select("page_id", "idx", F.transform("css_array", lambda v: F.when(v != "", v)).alias("styles"))
-    return P.measured(P.pairs_within(rows), {"distance": D.compare_style_maps}).withColumn("distance", F.round("distance", 6))
+    rows = X.elements(spark, sf_dir, X.STYLES).select("page_id", "idx", F.transform("css_array", lambda v: F.when(v != "", v)).alias("css_array"))
+    return P.measured(P.pairs_within(D.with_ids(rows, missing=True).drop("css_array")), {"distance": D.compare_style_map_ids}).withColumn("distance", F.round("distance", 6))
 
 
 _POINT = """case when p.v = '' and q.v = '' then null when p.v = q.v then least(0.44, p.w / 2) when p.v <> '' and q.v <> '' then case when p.w < 0.12 and q.w < 0.12 then 0.75 when p.w < 0.12 and q.w > 0.75 then 1.0 else 0.6 end
@@ -139,11 +139,10 @@ _POINT = """case when p.v = '' and q.v = '' then null when p.v = q.v then least(
 @query(f"""with {O._FREQ}, weighed as (select kv.page_id, kv.idx, kv.k, kv.v, greatest(1 - f, 0.12) as w from kv join freq using (k, v))
     select p.page_id, p.idx as i, q.idx as j, round(avg(cast({_POINT} as double)), 6) as distance from weighed p join weighed q on p.page_id = q.page_id and p.idx < q.idx and p.k = q.k group by 1, 2, 3""")
 def c4d_weighted_styles(spark, sf_dir):
-    """Weights are joined once an element, before pairs are made."""
-    styles = X.elements(spark, sf_dir, X.STYLES).select("page_id", "idx", F.posexplode("css_array").alias("k", "v"))
-    weighed = styles.join(describe.style_weight(styles, X.elements(spark, sf_dir, X.RECT)), ["k", "v"]).groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "v", H("weight").alias("w")))).alias("s"))
-    rows = weighed.select("page_id", "idx", F.transform("s", lambda s: F.struct(F.when(s["v"] != "", s["v"]).alias("v"), s["w"].alias("w"))).alias("styles"))
-    return P.measured(P.pairs_within(rows), {"distance": D.compare_weighted_styles}).withColumn("distance", F.round("distance", 6))
+    """Weights come to the elements before pairs are made."""
+    rows = X.elements(spark, sf_dir, X.STYLES)
+    weights = describe.style_weight(rows.select("page_id", "idx", F.posexplode("css_array").alias("k", "v")), X.elements(spark, sf_dir, X.RECT))
+    return P.measured(P.pairs_within(describe.weighed_styles(rows, weights)), {"distance": D.compare_weighted_styles}).withColumn("distance", F.round("distance", 6))
 
 
 @query(None)
@@ -159,8 +158,8 @@ def c12_where_displayed(spark, sf_dir):
 
 def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors as if they were crops of 8 x 8 palette indices."""
-    rows = read_table(spark, sf_dir, "embeddings").select(
-        "vec_id", (H("vec_id") / 50).cast("long").alias("page_id"), F.expr("transform(embedding, e -> cast(floor(abs(cast(e as double)) * 20D) as int))").alias("pixels"),
+    rows = spread(read_table(spark, sf_dir, "embeddings").withColumn("page_id", (H("vec_id") / 50).cast("long")), "page_id").select(
+        "vec_id", "page_id", F.expr("transform(embedding, e -> cast(floor(abs(cast(e as double)) * 20D) as int))").alias("pixels"),
         F.expr("transform(slice(embedding,1,16), e -> cast(floor(abs(cast(e as double))*1500D) as int))").alias("hist"), (H("vec_id") % 7 + 20).alias("width"), (H("vec_id") % 5 + 20).alias("height"),
     )
     return P.pairs_within(rows.withColumn("area", H("width") * H("height")), order="vec_id")

@@ -14,7 +14,7 @@ from pagelattice.operators import columns as W
 from pagelattice.operators import describe, evaluate, visual
 from pagelattice.operators import pairs as P
 from pagelattice.operators.components import connected_components
-from pagelattice.session import cut, read_table
+from pagelattice.session import cut, read_table, spread
 from pagelattice.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,8 +137,8 @@ _distance("c9_featureset_overlap", (X.FEATURES,), D.featureset_overlap)
 
 @query
 def c4b_styles_jaccard(spark, sf_dir):
-    tagged = X.elements(spark, sf_dir, X.STYLES).select("page_id", "idx", D.css_tags(H("css_array")).alias("css_tags"))
-    return P.measured(P.pairs_within(tagged), {"distance": D.compare_computed_styles_jaccard}).withColumn("distance", F.round("distance", 6))
+    rows = D.with_ids(X.elements(spark, sf_dir, X.STYLES)).select("page_id", "idx", "css_ids")
+    return P.measured(P.pairs_within(rows), {"distance": D.compare_computed_styles_jaccard}).withColumn("distance", F.round("distance", 6))
 
 
 def _link_distance(name: str, f: Callable[[str, str], Column]) -> None:
@@ -383,7 +383,7 @@ def k3_element_update(spark, sf_dir):
 
 
 def _hist_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", (H("vec_id") / 50).cast("long").alias("page_id"), F.expr("transform(slice(embedding,1,16), e -> cast(floor(abs(cast(e as double))*1500D) as int))").alias("hist"))
+    rows = spread(read_table(spark, sf_dir, "embeddings").withColumn("page_id", (H("vec_id") / 50).cast("long")), "page_id").select("vec_id", "page_id", F.expr("transform(slice(embedding,1,16), e -> cast(floor(abs(cast(e as double))*1500D) as int))").alias("hist"))
     return P.pairs_within(rows, order="vec_id")
 
 

@@ -110,7 +110,7 @@ def v13_misses_factor(spark, sf_dir):
     select page_id, idx, cast(i as int) as colour, concat_ws(',', (i * 15) % 240, (i * 15 + 5) % 240, (i * 15 + 10) % 240) as rgb from c""")
 def v14_pixels(spark, sf_dir):
     """The colour of each element's middle: its index, and what the palette holds there."""
-    rows = X.shown_elements(spark, sf_dir).filter("x >= 0 and width > 0").join(X.screens(spark, sf_dir).withColumnRenamed("width", "wide"), "page_id")
+    rows = X.shown_elements(spark, sf_dir).filter("x >= 0 and width > 0").join(X.screens(spark, sf_dir).withColumnRenamed("width", "wide").hint("merge"), "page_id")
     middle = [(H(a) + F.floor(H(b) / 2)).cast("int") for a, b in (("x", "width"), ("y", "height"))]
     colour = visual.pixel_index(H("indices"), H("wide"), *middle)
     return rows.select("page_id", "idx", colour.alias("colour"), F.array_join(F.transform(visual.palette_colour(H("palette"), colour), lambda v: v.cast("string")), ",").alias("rgb"))

@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 import zlib
 
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import distances as D
 from pagelattice.functions import html, urls
+from pagelattice.functions import text as text_functions
 from pagelattice.functions.styles import STYLE_KEYS
-from pagelattice.operators import affinity, columns, describe, visual
+from pagelattice.operators import affinity, columns, describe, pairs, visual
 from pagelattice.sources import fixtures
 
 KEYS = ["g"]
@@ -364,3 +366,43 @@ def test_equal_images_of_a_folder(spark, tmp_path):
 def test_scan_with_equality_and_limit(spark):
     rows = spark.createDataFrame([(k, "sd"[k % 2]) for k in range(20)], "k int, ans string")
     assert {r["ans"] for r in fixtures.scan_where(rows, 5, ans="s").collect()} == {"s"} and fixtures.scan_where(rows, 5, ans="s").count() == 5 and fixtures.scan_where(rows, 99, ans="d", k=3).count() == 1
+
+
+def test_numbers_of_styles_need_no_join(spark):
+    rows = spark.createDataFrame([(1, 0, ["a", None, "b"]), (1, 1, ["", "x", "b"])], "page_id int, idx int, css_array array<string>")
+    told = describe.interned_styles(rows)
+    assert "Join" not in told._jdf.queryExecution().executedPlan().toString()
+    assert {(r["idx"], r["k"]): r["n"] for r in told.collect()} == {(0, 0): 0, (0, 1): -1, (0, 2): 2, (1, 0): -1, (1, 1): 1, (1, 2): 2}
+
+
+def test_keys_of_a_map_are_looked_up_in_one_expression(spark):
+    plan = spark.createDataFrame([({"color": "x"},)], "styles map<string,string>").select(describe.style_array(F.col("styles")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at") <= 2
+
+
+def test_weights_travel_as_one_row(spark):
+    rng = np.random.default_rng(5)
+    arrays = [[str(rng.choice(["", "u", "v", f"rare{k}"], p=[0.1, 0.5, 0.3, 0.1])) for _ in STYLE_KEYS] for k in range(12)]
+    rows = spark.createDataFrame([(1, k, a) for k, a in enumerate(arrays)], "page_id int, idx int, css_array array<string>")
+    weights = describe.style_weight(rows.select(F.posexplode("css_array").alias("k", "v")), rows)
+    exact = {(r["k"], r["v"]): r["weight"] for r in weights.collect()}
+    whole = spark.createDataFrame([(1, k, [(v or None, exact[at, v]) for at, v in enumerate(a)]) for k, a in enumerate(arrays)], "page_id int, idx int, styles array<struct<v string, w double>>")
+    got, expected = ({(r["i"], r["j"]): r["d"] for r in pairs.measured(pairs.pairs_within(e), {"d": D.compare_weighted_styles}).collect()} for e in (describe.weighed_styles(rows, weights), whole))
+    assert len(got) == 66 and got == expected
+
+
+def test_style_maps_by_ids(spark):
+    rng = np.random.default_rng(6)
+    arrays = [[[None, "", "u", "v"][c] for c in rng.integers(0, 4 if k % 2 else 2, len(STYLE_KEYS))] for k in range(8)]
+    rows = spark.createDataFrame([(1, k, a, a) for k, a in enumerate(arrays)], "page_id int, idx int, css_array array<string>, styles array<string>")
+    found = pairs.measured(pairs.pairs_within(D.with_ids(rows, missing=True)), {"ids": D.compare_style_map_ids, "maps": D.compare_style_maps}).collect()
+    assert len(found) == 28 and all(r["ids"] == pytest.approx(r["maps"]) for r in found)
+
+
+def test_short_date_patterns_find_what_the_long_ones_find():
+    rng = random.Random(7)
+    parts = "0 1 2 3 4 5 7 9 00 10 20 30 31 32 12 24 st nd rd th of jan january june july sept september may march Mar DEC 2010 2019 2020 2024 2025 2009 : . am pm a.m. p.m. a.m PM mon monday thurs Sun x".split() + [" ", " ", "  "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 6))) for _ in range(60_000)]
+    for (name, long), (same, short) in zip(text_functions.DATE_PATTERNS, text_functions.DATE_FOUND, strict=True):
+        long, short = re.compile(f"(?i){long}"), re.compile(f"(?i){short}")
+        assert name == same and not [t for t in texts if bool(long.search(t)) != bool(short.search(t))][:3]
