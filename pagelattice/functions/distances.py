@@ -233,14 +233,31 @@ def compare_navigation(a: str, b: str) -> Column:
     return F.when(n1 & n2, 0.0).when(n1 | n2, 1.0).otherwise(0.5)
 
 
-def compare_outer(a: str, b: str, quick: bool = True) -> Column:
-    """By HTML alone: unlike tags, the cheap bound, the parents' gestalt, then the elements' own; null if none decides."""
+def with_letters(elements: DataFrame) -> DataFrame:
+    """letters: a number for each character of the HTML without content and its how-manieth occurrence; n_letters: its length."""
+    lower = F.lower("outer_html_no_content")
+    times = lambda c: F.length(lower) - F.length(F.replace(lower, c, F.lit("")))
+    kinds = F.filter(F.transform(F.filter(F.array_distinct(F.split(lower, "")), lambda c: c != ""), lambda c: F.struct(c.alias("c"), times(c).alias("n"))), lambda e: e["n"] > 0)
+    return elements.withColumns({"letters": F.flatten(F.transform(kinds, lambda e: F.transform(F.sequence(F.lit(1), e["n"]), lambda k: F.xxhash64(e["c"], k)))), "n_letters": F.length(lower)})
+
+
+def quick_by_letters(a: str, b: str) -> Column:
+    """quick_distance of the HTML without content, from `with_letters`."""
+    size = F.col(f"{a}n_letters") + F.col(f"{b}n_letters")
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.lit(2.0) * F.size(F.array_intersect(f"{a}letters", f"{b}letters")) / size)
+
+
+def compare_outer(a: str, b: str, quick: bool = True, cheap: Column | None = None) -> Column:
+    """By HTML alone: unlike tags, the cheap bound, the parents' gestalt, then the elements' own; null if none decides.
+
+    The cheap bound is read at many places: give a column of the pairs that holds it, from `quick_by_letters`.
+    """
     c = lambda n: (F.col(f"{a}{n}"), F.col(f"{b}{n}"))
     (t1, t2), (pt1, pt2), (h1, h2), (p1, p2), (n1, n2) = map(c, ("tag_name", "parent_tag_name", "outer_html_no_content", "parent_outer_html_no_content", "num_tags"))
     long, short = F.greatest(F.length(p1), F.length(p2)), F.least(F.length(p1), F.length(p2))
     parents = short > 1
     unlike = parents & (long > 450) & (long > 3 * short)
-    cheap = quick_distance(F.lower(h1), F.lower(h2))
+    cheap = quick_distance(F.lower(h1), F.lower(h2)) if cheap is None else cheap
     open_ = ~((t1 != t2) & (pt1 != pt2)) & ((cheap <= 0.57) | F.lit(not quick))
     near = lambda x: F.substring(F.lower(x), 1, 300 if quick else 430)
     parent = F.lit(1.0) - gestalt_percent(F.when(open_ & parents & ~unlike, near(p1)), F.when(open_ & parents & ~unlike, near(p2))) / 100
@@ -254,9 +271,9 @@ def compare_outer(a: str, b: str, quick: bool = True) -> Column:
     )
 
 
-def compare_content(a: str, b: str, quick: bool = True) -> Column:
+def compare_content(a: str, b: str, quick: bool = True, cheap: Column | None = None) -> Column:
     """Mean of what text, start tags, images and HTML say; 0.5 if they say nothing."""
-    return mean_of(compare_text(a, b), compare_start_tag(a, b), compare_img(a, b), compare_outer(a, b, quick))
+    return mean_of(compare_text(a, b), compare_start_tag(a, b), compare_img(a, b), compare_outer(a, b, quick, cheap))
 
 
 def where_displayed(a: str, b: str, distance: Column) -> Column:
@@ -292,11 +309,11 @@ REGISTRY: dict[str, Callable[[str, str], Column]] = {
 }
 
 
-def all_functions(visually_similar: Callable[[str, str], Column]) -> dict[str, Callable[[str, str], Column]]:
-    """The ten functions; how crops compare is given, as screenshots are inputs.  page_host: the page's own host."""
+def all_functions(visually_similar: Callable[[str, str], Column], cheap: Column | None = None) -> dict[str, Callable[[str, str], Column]]:
+    """The ten functions; how crops compare is given, as screenshots are inputs.  page_host: the page's own host; cheap: as in `compare_outer`."""
     return {
         **REGISTRY,
         "url_similarity": lambda a, b: url_similarity(a, b, F.col(f"{a}page_host")),
-        "compare_content": compare_content,
+        "compare_content": lambda a, b: compare_content(a, b, cheap=cheap),
         "visually_similar": visually_similar,
     }

@@ -150,3 +150,10 @@ def test_urls_and_layout(spark):
     assert found[:] == ("https://www.a.com/x", "https://www.a.com/d/x", "https://b.com/x", "", "mailto:a@b.c", "http://c.d")
     seen = one(spark).select(*[layout.spatial_visibility(*map(F.lit, r)) for r in ((0, 0, 1, 1), (-5, 0, 5, 1), (-5, 0, 8, 1), (-5, 0, 7, 1), (0, -9, 3, 0))]).first()
     assert seen[:] == ("IN_PAGE", "OUTSIDE_PAGE", "OUTSIDE_PAGE_PARTIALLY", "OUTSIDE_PAGE", "OUTSIDE_PAGE__ZERO_AREA")
+
+
+def test_quick_distance_by_letters(spark):
+    texts = ["", "<a></a>", "<A href='x'></A>", "<a class='aab'>", "ééa", "<li><li>", None]
+    rows = D.with_letters(spark.createDataFrame(list(enumerate(texts)), "idx int, outer_html_no_content string"))
+    found = pairs.prefixed(rows, "a_").crossJoin(pairs.prefixed(rows, "b_")).select(D.quick_by_letters("a_", "b_").alias("x"), text.quick_distance(F.lower("a_outer_html_no_content"), F.lower("b_outer_html_no_content")).alias("y")).collect()
+    assert len(found) == 49 and [r["x"] for r in found] == [r["y"] for r in found]
