@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as kind_of
 from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.window import Window
 
-from pagelattice.operators.pairs import pairs_within
+from pagelattice.session import small_batches, spread
 
 # The divisor of bin differences here, and the thresholds in the functions below.
 PIXELS = 5000
@@ -45,8 +48,7 @@ def compare_summaries(a: Column, b: Column, row: int = 50) -> Column:
     return F.lit(0.5) * unequal(a, b) + F.lit(0.25) * unequal(cut(a), b) + F.lit(0.25) * unequal(a, cut(b))
 
 
-@F.pandas_udf(DoubleType())
-def summary_difference(a: pd.Series, b: pd.Series) -> pd.Series:
+def summaries(a: pd.Series, b: pd.Series) -> pd.Series:
     """compare_summaries of images of 50 pixels a row for whole batches; images of one size are stacked."""
     out = np.full(len(a), np.nan)
     sizes: dict[int, list[int]] = {}
@@ -62,6 +64,9 @@ def summary_difference(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(~np.isnan(out), None)
 
 
+summary_difference = F.pandas_udf(summaries, DoubleType())
+
+
 def visual_vote(summary: Column, histogram: Column, structure: Column, dummy: Column, photo: Column, dw: Column, dh: Column) -> Column:
     """0 same, 1 different, 0.5 unsure, by votes of the three measures."""
     votes = (
@@ -105,8 +110,7 @@ def ssim(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean((1, 2))
 
 
-@F.pandas_udf(DoubleType())
-def structural_similarity(a: pd.Series, wide1: pd.Series, b: pd.Series, wide2: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+def structures(a: pd.Series, wide1: pd.Series, b: pd.Series, wide2: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """SSIM of the top left width x height pixels of two flat grey images of given widths; null where there's none.
 
     Pairs of one size are stacked, so that a batch takes a few array operations.
@@ -125,6 +129,9 @@ def structural_similarity(a: pd.Series, wide1: pd.Series, b: pd.Series, wide2: p
     return pd.Series(out).where(~np.isnan(out), None)
 
 
+structural_similarity = F.pandas_udf(structures, DoubleType())
+
+
 def compare_colours(histogram: Column, summary: Column, factor: Column, area1: Column, area2: Column) -> Column:
     """Mean of both colour measures, drawn in for equal dimensions and pushed out for unequal areas; at most 1."""
     small, large = F.least(area1, area2), F.greatest(area1, area2)
@@ -172,50 +179,149 @@ def crop_elements(elements: DataFrame, screens: DataFrame, side: int = 50, colou
     colours) and indices (one byte a pixel).  Added: dummy (outside or without
     area), is_photo (large, names an image, and quantising changed most pixels),
     pixels (side x side palette indices, nearest), histogram of those, and grey.
-    A page's elements meet its screenshot by a join; a crop is cut in Arrow batches.
+    A page's screenshot comes before its elements in one task and is held until
+    the next page's, so it is neither broadcast nor repeated for each element.
     """
+    small_batches(elements.sparkSession)
     names = elements.columns
-
-    def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    told = ("x", "y", "width", "height", "outer_html")
+    none = lambda df, own: [F.lit(None).cast(df.schema[c].dataType).alias(own[c]) for c in own]
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    shots = screens.select(F.col("page_id").alias("page"), F.lit(False).alias("is_element"), F.lit(None).cast(elements.select(whole).schema[0].dataType).alias("element"), *[F.col(c) for c in SHOT])
+    owned = elements.select(F.col("page_id").alias("page"), F.lit(True).alias("is_element"), whole.alias("element"), *none(screens, dict(zip(SHOT, SHOT))))
+    met = spread(shots.union(owned).filter("page is not null"), "page").sortWithinPartitions("page", "is_element")
+
+    def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held = None, []
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                x, y, w, h, wide = (int(v) for v in (row.x, row.y, row.width, row.height, row.screen_width))
-                if x < 0 or y < 0 or w <= 0 or h <= 0:
-                    out.append((True, None, None, None, None))
+            pages, kinds, element = batch.column("page").to_pylist(), batch.column("is_element").to_pylist(), batch.column("element")
+            fields = dict(zip(names, element.flatten()))
+            boxes = list(zip(*[fields[c].to_pylist() for c in told])) if len(element) else []
+            taken, out = [], []
+            for k, own in enumerate(pages):
+                if own != page:
+                    page, held = own, []
+                if not kinds[k]:
+                    held.append(tuple(batch.column(c)[k].as_py() for c in SHOT))
                     continue
-                index = np.frombuffer(row.indices, np.uint8).reshape(-1, wide)[y : y + h, x : x + w]
-                full = np.frombuffer(row.image, np.uint8).reshape(-1, wide, 3)[y : y + h, x : x + w].astype(int)
-                if not index.size:
-                    out.append((True, None, None, None, None))
-                    continue
-                drawn = np.frombuffer(row.palette, np.uint8).reshape(-1, 3).astype(int)[index]
-                kept = float((np.abs(full - drawn).mean(2) < 7).mean())
-                lower = (row.outer_html or "").lower()
-                photo = w * h > 5000 and any(s in lower for s in ("<img", ".jpg", ".png")) and 0.05 < kept < 0.31
-                at = lambda n: ((np.arange(side) + 0.5) * n / side).astype(int)
-                small = index[at(index.shape[0])][:, at(index.shape[1])].ravel()
-                grey = np.rint(full @ np.array([0.299, 0.587, 0.114])).astype(int)
-                out.append((False, photo, small.astype(int).tolist(), np.bincount(small, minlength=colours)[:colours].tolist(), grey.ravel().tolist()))
-            made = pd.DataFrame(out, columns=["dummy", "is_photo", "pixels", "histogram", "grey"])
-            yield pd.concat([batch[names].reset_index(drop=True), made], axis=1)
-
-    joined = elements.join(screens.select("page_id", F.col("width").alias("screen_width"), "image", "palette", "indices"), "page_id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
-    return joined.mapInPandas(crop, f"{fields}, {CROP}")
+                for shot in held:
+                    taken.append(k)
+                    out.append(_crop(*boxes[k], *shot, side, colours))
+            if taken:
+                made = [pa.array([c[n] for c in out], pa.bool_()) for n in (0, 1)] + [_lists([c[n] for c in out]) for n in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([fields[c].take(pa.array(taken)) for c in names] + made, names=[*names, "dummy", "is_photo", "pixels", "histogram", "grey"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
+    return met.mapInArrow(crop, f"{kinds}, {CROP}")
+
+
+#: The columns of a screenshot.
+SHOT = ("width", "image", "palette", "indices")
+
+
+def _crop(x: int, y: int, w: int, h: int, html: str | None, wide: int, image: bytes, palette: bytes, indices: bytes, side: int, colours: int) -> tuple:
+    if x < 0 or y < 0 or w <= 0 or h <= 0:
+        return True, None, None, None, None
+    index = np.frombuffer(indices, np.uint8).reshape(-1, wide)[y : y + h, x : x + w]
+    full = np.frombuffer(image, np.uint8).reshape(-1, wide, 3)[y : y + h, x : x + w].astype(int)
+    if not index.size:
+        return True, None, None, None, None
+    drawn = np.frombuffer(palette, np.uint8).reshape(-1, 3).astype(int)[index]
+    kept = float((np.abs(full - drawn).mean(2) < 7).mean())
+    lower = (html or "").lower()
+    photo = w * h > 5000 and any(s in lower for s in ("<img", ".jpg", ".png")) and 0.05 < kept < 0.31
+    at = lambda n: ((np.arange(side) + 0.5) * n / side).astype(int)
+    small = index[at(index.shape[0])][:, at(index.shape[1])].ravel()
+    grey = np.rint(full @ np.array([0.299, 0.587, 0.114])).astype(int)
+    return False, photo, small, np.bincount(small, minlength=colours)[:colours], grey.ravel()
+
+
+def _lists(values: list[np.ndarray | None]) -> pa.ListArray:
+    """Arrays as lists of 32-bit integers; None is null."""
+    ends = np.cumsum([0, *[0 if v is None else len(v) for v in values]])
+    gone = np.array([v is None for v in values] + [False])
+    some = [v for v in values if v is not None]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), pa.array(np.concatenate(some).astype(np.int32) if some else [], pa.int32()))
+
+
+PAIR = "dummy boolean, photo boolean, summary double, histogram double, structure double, dw double, dh double"
+#: Crops of a page that one task holds; of larger pages, every block of that size meets every other.
+BLOCK = 200
 
 
 def visual_pairs(crops: DataFrame, key: str = "page_id", order: str = "idx") -> DataFrame:
-    """Every pair of a page's crops: summary, histogram and structure, and visually_similar by their votes."""
-    pairs = pairs_within(crops.withColumn("area", F.col("width") * F.col("height")), key, order)
-    c = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
-    measured = pairs.select(
-        F.col(f"a_{key}").alias(key), F.col(f"a_{order}").alias("i"), F.col(f"b_{order}").alias("j"), summary_difference(*c("pixels")).alias("summary"), hist_difference(*c("histogram")).alias("histogram"), compare_structure("a_", "b_").alias("structure"),
-        (F.col("a_dummy") | F.col("b_dummy")).alias("dummy"), (F.coalesce(F.col("a_is_photo"), F.lit(False)) & F.coalesce(F.col("b_is_photo"), F.lit(False))).alias("photo"),
-        F.abs(F.col("a_width") - F.col("b_width")).alias("dw"), F.abs(F.col("a_height") - F.col("b_height")).alias("dh"),
-    )
+    """Every pair of a page's crops: summary, histogram and structure, and visually_similar by their votes.
+
+    The crops of a page meet in one task, which makes the pairs, so that the
+    pixels of a crop travel once and not once a pair; a page of more than BLOCK
+    goes in pairs of blocks.
+    """
+    small_batches(crops.sparkSession)
+    kinds = {n: crops.schema[n].dataType.simpleString() for n in (key, order)}
+    rows = crops.select(F.col(key).alias("page"), F.col(order).alias("place"), *[F.col(n) for n in ("width", "height", "dummy", "is_photo", "pixels", "histogram", "grey")]).filter("page is not null and place is not null")
+    own = Window.partitionBy("page")
+    blocks = F.ceil(F.count("*").over(own) / BLOCK).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = spread(placed.drop("blocks").withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other"), "page", "p", "q").sortWithinPartitions("page", "p", "q", "place")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            at = list(zip(*[batch.column(n).to_pylist() for n in ("page", "p", "q")]))
+            for k, own in enumerate(at):
+                if own != group:
+                    yield from _measured(group, held, types)
+                    group, held = own, []
+                held.append({n: batch.column(n)[k].as_py() for n in ("own", "place", "width", "height", "dummy", "is_photo")} | {n: _numbers(batch.column(n), k) for n in ("pixels", "histogram", "grey")})
+        yield from _measured(group, held, types)
+
+    types = [kind_of(crops.schema[n].dataType) for n in (key, order)]
+    found = met.mapInArrow(pair, f"page {kinds[key]}, i {kinds[order]}, j {kinds[order]}, {PAIR}")
     vote = visual_vote(*[F.col(n) for n in ("summary", "histogram", "structure", "dummy", "photo", "dw", "dh")])
-    return measured.select(key, "i", "j", "summary", "histogram", "structure", vote.alias("visually_similar"))
+    return found.select(F.col("page").alias(key), "i", "j", "summary", "histogram", "structure", vote.alias("visually_similar"))
+
+
+def _numbers(column: pa.ListArray, k: int) -> np.ndarray | None:
+    value = column[k]
+    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else None
+
+
+def _measured(group: tuple | None, rows: list[dict], types: list[pa.DataType], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The pairs of one page's block, or of two of its blocks, in parts."""
+    if group is None:
+        return
+    page, p, q = group
+    pairs = [(a, b) for a, one in enumerate(rows) for b, other in enumerate(rows[a + 1 :], a + 1) if one["place"] < other["place"] and (p == q or one["own"] != other["own"])]
+    for at in range(0, len(pairs), most):
+        some = pairs[at : at + most]
+        one, other = ([rows[e[side]] for e in some] for side in (0, 1))
+        column = lambda n: (pd.Series([r[n] for r in one]), pd.Series([r[n] for r in other]))
+        (w1, w2), (h1, h2), (d1, d2), (p1, p2) = map(column, ("width", "height", "dummy", "is_photo"))
+        dw, dh = (w1 - w2).abs(), (h1 - h2).abs()
+        near = ((dw < 5) & (dh < 11)) | ((dh < 5) & (dw < 11)) | ((dw == 0) & (dh < 17)) | ((dh == 0) & (dw < 17))
+        near &= np.minimum(np.minimum(w1, h1), np.minimum(w2, h2)) >= 7
+        grey = [s.where(near, None) for s in column("grey")]
+        structure = 1 - structures(grey[0], w1, grey[1], w2, np.minimum(w1, w2), np.minimum(h1, h2))
+        numbers = lambda v: pa.array(np.asarray(v, float), pa.float64(), from_pandas=True)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([page] * len(some), types[0]), pa.array([r["place"] for r in one], types[1]), pa.array([r["place"] for r in other], types[1]), pa.array(d1 | d2, pa.bool_()), pa.array(p1.eq(True) & p2.eq(True), pa.bool_()),
+            numbers(summaries(*column("pixels"))), numbers(_hist_differences(*column("histogram"))), numbers(structure), numbers(dw), numbers(dh),
+        ], names=["page", "i", "j", "dummy", "photo", "summary", "histogram", "structure", "dw", "dh"])
+
+
+def _hist_differences(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """hist_difference of whole batches, its sums in the same order; 1 where a histogram is missing, as there."""
+    out = np.ones(len(a))
+    some = np.flatnonzero([x is not None and y is not None for x, y in zip(a, b)])
+    if len(some):
+        x, y = np.stack(a.iloc[some].to_list()), np.stack(b.iloc[some].to_list())
+        lone = lambda u, v: np.where((u > 100) & (v < 4), np.where(u > 300, 0.15, 0.08), 0.0)
+        parts = np.where((x > 100) & (y < 4), lone(x, y), lone(y, x))
+        extra = np.zeros(len(some))
+        for k in range(parts.shape[1]):
+            extra = extra + parts[:, k]
+        out[some] = np.minimum(1.0, np.abs(x - y).sum(1) / PIXELS + extra)
+    return out
 
 
 def misses_factor(a: Column, b: Column, bins: int = 10) -> Column:

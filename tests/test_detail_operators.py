@@ -406,3 +406,25 @@ def test_short_date_patterns_find_what_the_long_ones_find():
     for (name, long), (same, short) in zip(text_functions.DATE_PATTERNS, text_functions.DATE_FOUND, strict=True):
         long, short = re.compile(f"(?i){long}"), re.compile(f"(?i){short}")
         assert name == same and not [t for t in texts if bool(long.search(t)) != bool(short.search(t))][:3]
+
+
+def test_pairs_of_crops_in_blocks_and_without_broadcasts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shots = []
+    for page in (1, 2):
+        index = rng.integers(0, 4, (40, 60)).astype(np.uint8)
+        palette = np.array([[0, 0, 0], [90, 90, 90], [180, 180, 180], [240, 240, 240]], np.uint8)
+        shots.append((page, 60, bytearray(palette[index].tobytes()), bytearray(palette.tobytes()), bytearray(index.tobytes())))
+    screens = spark.createDataFrame(shots, "page_id long, width int, image binary, palette binary, indices binary")
+    boxes = [(page, k, k % 3 * 9 - (k == 4), 2, 10 + k % 2 * 8, 12, "x") for page, n in ((1, 14), (2, 3), (7, 2)) for k in range(n)]
+    elements = spark.createDataFrame(boxes, "page_id long, idx int, x int, y int, width int, height int, outer_html string")
+    crops = visual.crop_elements(elements, screens)
+    assert "Broadcast" not in crops._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["page_id"], r["idx"]): r for r in crops.collect()}
+    assert sorted(rows) == [(p, k) for p, n in ((1, 14), (2, 3)) for k in range(n)]
+    whole = sorted(visual.visual_pairs(crops).collect())
+    monkeypatch.setattr(visual, "BLOCK", 4)
+    assert sorted(visual.visual_pairs(crops).collect()) == whole and len(whole) == 14 * 13 // 2 + 3
+    both = crops.select(*[F.col(c).alias(f"a_{c}") for c in crops.columns]).join(crops.select(*[F.col(c).alias(f"b_{c}") for c in crops.columns]), F.expr("a_page_id = b_page_id and a_idx < b_idx"))
+    columns_ = both.select("a_page_id", "a_idx", "b_idx", visual.summary_difference("a_pixels", "b_pixels"), visual.hist_difference(F.col("a_histogram"), F.col("b_histogram")), visual.compare_structure("a_", "b_"))
+    assert sorted(tuple(r) for r in columns_.collect()) == [tuple(r)[:6] for r in whole]
