@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagelattice.session import cut, unused
+
 # Limits of the same and of the different.
 SAME, DIFFERENT = 0.33, 0.66
 
@@ -50,9 +52,23 @@ def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 
 def pair_report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, colour, structure, triage and place: pairs of each kind by colour, those without a structure first."""
+    """keys, colour, structure, triage and place: pairs of each kind by colour, those without a structure first.
+
+    There are three kinds, so no task ranks one as a whole: the rows are sorted
+    over ranges and written once, and a row's place is its place in its range
+    and what the ranges before it hold of its kind.
+    """
+    small = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["triage", "colour", F.col("structure").isNotNull(), *keys]
+    at, kind, first, n = (unused(c, [*rows.columns, "triage", "place"]) for c in ("at", "range", "first", "n"))
     told = rows.withColumn("triage", triage(F.col("colour"), F.col("structure")))
-    return told.withColumn("place", F.row_number().over(Window.partitionBy("triage").orderBy("colour", F.col("structure").isNotNull(), *keys)))
+    # the higher bits of this number are the range, the lower ones the place in it
+    ranged = cut(told.repartitionByRange(small, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    ranged = ranged.withColumn(kind, F.shiftright(at, 33))
+    held = ranged.groupBy("triage", kind).agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("triage").orderBy(kind).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select("triage", kind, (before - F.col(first) + 1).alias(first))
+    return ranged.join(F.broadcast(starts), ["triage", kind]).withColumn("place", F.col(at) + F.col(first)).select(*told.columns, "place")
 
 
 def renamed(rows: DataFrame, names: dict[str, str], name: str = "name") -> DataFrame:

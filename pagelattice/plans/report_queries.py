@@ -72,7 +72,7 @@ def k9_pair_report(spark, sf_dir):
     """Pairs by their triage, in the order of their colours, those without a structure first."""
     structure = F.when(H("l_linenumber") % 3 > 0, (H("l_tax") * 6).cast("double"))
     rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (H("l_discount") * 5).cast("double").alias("colour"), structure.alias("structure"))
-    return evaluate.pair_report(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "triage", "place")
+    return evaluate.pair_report(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "triage", H("place").cast("int").alias("place"))
 
 
 @query(f"with recursive {O._ALL}, {O._REACH} select page_id, cluster_key, idx, cast(row_number() over (partition by page_id, cluster_key order by area desc, idx) as int) as place from keyed join box using (page_id, idx)")
