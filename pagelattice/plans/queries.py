@@ -21,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 NAMES = list(D.REGISTRY)
 VECTOR_EPS = 0.6
+#: Blocks of vectors that meet each other for the sake of many tasks, and the vectors of a block once there are more.
+MOST_BLOCKS, BLOCK_ROWS = 20, 16_000
 
 
 def query(f: Query) -> Query:
@@ -207,7 +209,7 @@ def w5_order(spark, sf_dir):
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.gaps(X.details(spark, sf_dir).select("page_id", "pos", "outer_html").join(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"))
+    return W.page_gaps(X.details(spark, sf_dir).select("page_id", "pos", "outer_html"), read_table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 @query
@@ -294,14 +296,17 @@ def _vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors within eps, block by block: every block of rows meets every other once.
 
     All pairs are what density clustering over a metric without an index asks
-    for; blocks keep a task's rows bounded, and only edges leave it.
+    for; blocks keep a task's rows bounded, and only edges leave it.  A vector
+    goes to every block, so there are few of them: enough for all tasks, then
+    one for each BLOCK_ROWS vectors, which are multiplied a part at a time.
     """
     import numpy as np
     import pandas as pd
 
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", H("embedding").cast("array<double>").alias("v"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", H("embedding").alias("v"))
     rows = rows.filter(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    blocks = max(4, -(-rows.count() // 2000))
+    n = rows.count()
+    blocks = max(4, min(MOST_BLOCKS, -(-n // 2000)), -(-n // BLOCK_ROWS))
     placed = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "vec_id", "v")
 
@@ -310,9 +315,11 @@ def _vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         first, second = (rows[rows["own"] == k].sort_values("vec_id") for k in (p, q))
         if first.empty or second.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = np.stack(first["v"].to_list()), np.stack(second["v"].to_list())
+        x, y = (np.stack(m["v"].to_list()).astype(float) for m in (first, second))
         x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
-        i, j = np.nonzero(1 - x @ y.T <= VECTOR_EPS)
+        step = max(1, 4_000_000 // len(y))
+        near = [np.nonzero(1 - x[at : at + step] @ y.T <= VECTOR_EPS) for at in range(0, len(x), step)]
+        i, j = np.concatenate([r + k * step for k, (r, _) in enumerate(near)]), np.concatenate([c for _, c in near])
         a, b = first["vec_id"].to_numpy()[i], second["vec_id"].to_numpy()[j]
         keep = (a < b) if p == q else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})

@@ -11,7 +11,8 @@ from pagelattice.functions import distances as D
 from pagelattice.functions import html, urls
 from pagelattice.functions import text as text_functions
 from pagelattice.functions.styles import STYLE_KEYS
-from pagelattice.operators import affinity, columns, describe, pairs, visual
+from pagelattice.operators import affinity, columns, describe, evaluate, pairs, visual
+from pagelattice.plans import queries
 from pagelattice.sources import fixtures
 
 KEYS = ["g"]
@@ -428,3 +429,42 @@ def test_pairs_of_crops_in_blocks_and_without_broadcasts(spark, monkeypatch):
     both = crops.select(*[F.col(c).alias(f"a_{c}") for c in crops.columns]).join(crops.select(*[F.col(c).alias(f"b_{c}") for c in crops.columns]), F.expr("a_page_id = b_page_id and a_idx < b_idx"))
     columns_ = both.select("a_page_id", "a_idx", "b_idx", visual.summary_difference("a_pixels", "b_pixels"), visual.hist_difference(F.col("a_histogram"), F.col("b_histogram")), visual.compare_structure("a_", "b_"))
     assert sorted(tuple(r) for r in columns_.collect()) == [tuple(r)[:6] for r in whole]
+
+
+def test_places_over_ranges(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice([0.0, 0.1, 0.3, 0.3, 0.9, None]), rng.choice([None, 0.0, 0.1, 0.31, 0.8])) for k in range(400)]
+    table = spark.createDataFrame(rows, "id int, colour double, structure double")
+    report = evaluate.pair_report(table, ["id"])
+    assert report.columns == ["id", "colour", "structure", "triage", "place"]
+    assert "rownumber" not in report._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    places = {}
+    for r in sorted(report.collect(), key=lambda r: (r["triage"], r["colour"] is not None, r["colour"] or 0.0, r["structure"] is not None, r["id"])):
+        places[r["triage"]] = places.get(r["triage"], 0) + 1
+        assert r["place"] == places[r["triage"]]
+    assert sum(places.values()) == 400 and len(places) == 3
+
+
+def test_gaps_of_sources_in_their_own_table(spark):
+    pages = spark.createDataFrame([(k, "".join(f"<p>{k}{i}</p>  <b>" for i in range(k + 1))) for k in range(4)] + [(9, "x")], "page_id int, html string")
+    parts = spark.createDataFrame([(k, i, f"<p>{k}{i}</p>") for k in range(4) for i in range(k + 1)] + [(2, 7, "absent"), (5, 0, "x")], "page_id int, pos int, outer_html string")
+    told = columns.page_gaps(parts, pages)
+    assert sorted(told.collect()) == sorted(columns.gaps(parts.join(pages, "page_id")).collect()) and told.count() == 6
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window" in line)
+    assert "html" not in window
+
+
+@pytest.mark.parametrize(("most", "rows"), [(1, 1000), (3, 1000), (1, 37)])
+def test_edges_of_vectors_in_blocks(spark, tmp_path, monkeypatch, most, rows):
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(230, 5))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(900, [0.0] * 5), (901, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(queries, "MOST_BLOCKS", most)
+    monkeypatch.setattr(queries, "BLOCK_ROWS", rows)
+    found = queries._vector_edges(spark, str(tmp_path))
+    x = vectors.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    expected = {(int(i), int(j)) for i, j in zip(*np.nonzero(1 - x @ x.T <= queries.VECTOR_EPS)) if i < j}
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected)
